@@ -1,0 +1,9 @@
+"""Registered jobs beyond the reports (ingest, sync, streaming); filled in later."""
+
+
+def extra_queries() -> dict:
+    return {}
+
+
+def extra_oracle() -> dict:
+    return {}

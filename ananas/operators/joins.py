@@ -1,0 +1,20 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+    """Hint a broadcast only for a side proven to hold at most ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows, so it stays cheap even when
+    the side turns out to be large; beyond the bound the plain DataFrame is
+    returned and Spark chooses a shuffle join (and AQE may still switch to a
+    broadcast from runtime sizes).
+    """
+    n = df.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(df), True
+    return df, False
