@@ -52,17 +52,26 @@ def with_total_row(
     The key comes out as text, ``label`` on the total row; ``_is_total`` tells
     the total from a group whose key is NULL. The total is computed from the
     rows, not summed from the groups, so distinct counts stay right.
+
+    A rollup over no rows has no total row, while the reference's total query
+    always returns one; a one-row fallback is folded into the (small) rollup
+    output so the total row exists, with NULL aggregates, even then.
     """
     keyed = df.withColumn("_k", key)
-    r = keyed.rollup("_k").agg(*aggs, F.grouping("_k").alias("_is_total"))
-    names = [c for c in r.columns if c not in ("_k", "_is_total")]
-    out = r.select(
+    r = keyed.rollup("_k").agg(*aggs, F.grouping("_k").alias("_g"))
+    names = [c for c in r.columns if c not in ("_k", "_g")]
+    types = dict((f.name, f.dataType) for f in r.schema.fields)
+    fallback = df.sparkSession.range(1).select(
+        *[F.lit(None).cast(types[n]).alias(n) for n in names],
+        F.lit(None).cast(types["_k"]).alias("_k"), F.lit(1).cast(types["_g"]).alias("_g"),
+    )
+    merged = r.unionByName(fallback).groupBy("_g", "_k").agg(*[F.max(n).alias(n) for n in names])
+    return merged.select(
         *names,
-        F.when(F.col("_is_total") == 1, F.lit(label)).otherwise(F.col("_k").cast("string")).alias(key_out),
-        F.col("_is_total").cast("boolean").alias("_is_total"),
+        F.when(F.col("_g") == 1, F.lit(label)).otherwise(F.col("_k").cast("string")).alias(key_out),
+        F.col("_g").cast("boolean").alias("_is_total"),
         F.col("_k").alias("_order"),
     )
-    return out
 
 
 def collect_scalars(parts: Sequence[DataFrame]) -> DataFrame:

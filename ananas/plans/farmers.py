@@ -81,7 +81,8 @@ def farmer_count_series(t: Tables) -> DataFrame:
         t.qp_farmer_raw, year_of("raw_dgathered"), "year_",
         [F.count_distinct(raw_person("strict")).alias("count_farmer")],
     )
-    return r.orderBy(F.col("_is_total").desc(), F.col("_order")).select("count_farmer", "year_")
+    count = F.when(F.col("_is_total"), F.coalesce("count_farmer", F.lit(0))).otherwise(F.col("count_farmer"))
+    return r.orderBy(F.col("_is_total").desc(), F.col("_order")).select(count.alias("count_farmer"), "year_")
 
 
 def farmer_count_permuni(t: Tables) -> DataFrame:
