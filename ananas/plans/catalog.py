@@ -24,6 +24,8 @@ def reports(as_of: dt.date = AS_OF, muni: str = MUNI, harvest_year: int = HARVES
         "farmers_directory": lambda t: farmers.farmers_directory(t, "strict"),
         "farmers_directory_ws": lambda t: farmers.farmers_directory(t, "ws"),
         "survey_directory": farmers.survey_directory,
+        "survey_names": farmers.survey_names,
+        "farmers_directory_page": lambda t: farmers.farmers_directory_page(t, "household", 3, 8),
         "farmer_count_total": farmers.farmer_count_total,
         "farmer_count_by_year": farmers.farmer_count_by_year,
         "farmer_count_series": farmers.farmer_count_series,

@@ -58,6 +58,18 @@ def survey_directory(t: Tables, ordered: bool = True) -> DataFrame:
     return out.orderBy("logs", "fullname") if ordered else out
 
 
+def survey_names(t: Tables) -> DataFrame:
+    """S11: the survey's name columns, every row (the unmounted tables page)."""
+    return t.qp_farmer_raw.select("logs", "f_id", "raw_fname", "raw_mname", "raw_lname")
+
+
+def farmers_directory_page(t: Tables, term: str | None = None, number: int = 1, size: int = 8) -> DataFrame:
+    """FA1 as the dashboard's table widget shows it: searched, sorted by id, one page."""
+    from ananas.operators.paging import page
+
+    return page(farmers_directory(t, "ws"), ["f_id"], number, size, term)
+
+
 def farmer_count_total(t: Tables) -> DataFrame:
     """FA4: distinct farmers (unseparated name key) in the survey."""
     return t.qp_farmer_raw.agg(F.count_distinct(raw_person("strict")).alias("count_farmer"))

@@ -137,6 +137,42 @@ def append(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None
     w.parquet(path)
 
 
+def load_feed(
+    spark: SparkSession,
+    source: str,
+    feed: Feed,
+    target: str,
+    rejects: str,
+    transform=None,
+    date_formats=DEFAULT_DATE_FORMATS,
+) -> tuple[int, int]:
+    """S3-S7 + S9 as one job: ingest every file under ``source`` not loaded
+    before, append accepted rows to ``target`` and rejects to ``rejects``.
+
+    Files already present in ``target`` (by ``_source``) are skipped, so a
+    repeated upload adds nothing; each append is one atomic write, so a
+    failed job leaves no partial rows. Returns (accepted, rejected) counts.
+    """
+    parsed = parse(read_text(spark, source, feed), feed, date_formats)
+    try:
+        loaded = spark.read.parquet(target).select("_source").distinct()
+        parsed = parsed.join(loaded, "_source", "left_anti")
+    except Exception as e:  # noqa: BLE001 - first load: no target yet
+        if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
+            raise
+    parsed = parsed.persist()
+    try:
+        good, bad = split(parsed)
+        if transform is not None:
+            good = transform(good)
+        good = with_ingest_id(good)
+        append(good, target)
+        append(bad, rejects)
+        return spark.read.parquet(target).count(), spark.read.parquet(rejects).count()
+    finally:
+        parsed.unpersist()
+
+
 def write_result(df: DataFrame, path: str) -> None:
     """S10: a report as JSON lines."""
     df.write.mode("overwrite").json(path)
