@@ -36,12 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     tests) is a fresh scratch folder created and set.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = spark.sparkContext.getCheckpointDir()
     if not conf:
         conf = tempfile.mkdtemp(prefix="ananas-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
-    spark.sparkContext.setCheckpointDir(conf)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
 
 

@@ -72,12 +72,18 @@ class Tables:
         dfs = {name: spark.read.parquet(f"{path}/{name}") for name in CURATED}
         return cls(**dfs, **kw)
 
-    def write(self, path: str) -> "Tables":
+    def write(self, path: str, files: int | None = None, max_records_per_file: int = 20_000_000) -> "Tables":
         """Write every table as parquet; return Tables reading them back.
 
-        Facts are sorted by their date within each file, so the date ranges the
-        reports filter on skip row groups by their min/max statistics.
+        Facts are range-partitioned by their date into ``files`` files
+        (default ``spark.sql.shuffle.partitions``, which a cluster sizes to
+        its data) and sorted within each, so a date-range filter skips whole
+        files and row groups by their min/max statistics, and every scan has
+        as many splits as files. ``max_records_per_file`` caps file size when
+        partitions are large. Dimensions are written as they are.
         """
+        spark = self.spark
+        n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
         sort_keys = {
             "qp_farmer_raw": "raw_dgathered", "harvest_data": "year_gathered",
             "qp_price": "date", "weather_data": "date", "pests": "id",
@@ -85,9 +91,9 @@ class Tables:
         for name in CURATED:
             df = getattr(self, name)
             if name in sort_keys:
-                df = df.sortWithinPartitions(sort_keys[name])
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
-        return Tables.from_curated(self.spark, path, dim_max_rows=self.dim_max_rows)
+                df = df.repartitionByRange(n, sort_keys[name]).sortWithinPartitions(sort_keys[name])
+            df.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).parquet(f"{path}/{name}")
+        return Tables.from_curated(spark, path, dim_max_rows=self.dim_max_rows)
 
     def cache(self, names=("qp_farmer_raw",)) -> "Tables":
         for name in names:
