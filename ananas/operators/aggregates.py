@@ -108,6 +108,7 @@ def number_rows(
     out: str = "row_number",
     buckets: int = 256,
     rel_error: float | None = None,
+    salt: int = 64,
 ) -> DataFrame:
     """``ROW_NUMBER() OVER (ORDER BY order_col)`` without a one-partition window.
 
@@ -117,10 +118,16 @@ def number_rows(
        task puts it in the same bucket;
     3. rows are numbered within their bucket (a window partitioned by
        bucket), and the bucket's offset is the running total of the bucket
-       counts: at most ``buckets`` rows, numbered on one task and broadcast.
-
-    Equal values share a bucket. ``order_col`` should be unique for the
-    numbers to be deterministic, as with the reference's ``ORDER BY id``.
+       counts: at most ``buckets * (salt + 1)`` rows, numbered on one task
+       and broadcast.
+
+    A value that fills more than one quantile step (it repeats in the bound
+    list, e.g. one value holding a third of the rows) is spread over
+    ``salt`` sub-buckets by a hash of the whole row. Equal values may be
+    numbered in any order, so the result is still a row numbering by
+    ``order_col``; the hot value's rows come first in its bucket, as it is
+    the bucket's lower bound. With a unique ``order_col`` (the reference
+    numbers by ``id``) the numbers are deterministic.
     """
     if rel_error is None:
         rel_error = 1.0 / (4 * buckets)
@@ -128,25 +135,33 @@ def number_rows(
     raw = df.approxQuantile(order_col, probs, rel_error) if buckets > 1 else []
     dtype = dict(df.dtypes)[order_col]
     if dtype in ("tinyint", "smallint", "int", "bigint"):
-        bounds = sorted({int(b) for b in raw})
-    else:
-        bounds = sorted(set(raw))
+        raw = [int(b) for b in raw]
+    bounds = sorted(set(raw))
+    hot = sorted({b for b in raw if raw.count(b) > 1})
     from pyspark.sql.window import Window
 
-    keyed = df.withColumn("_bucket", _bucket_of(F.col(order_col), bounds))
-    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    value = F.col(order_col)
+    keyed = df.withColumn("_bucket", _bucket_of(value, bounds))
+    if hot:
+        row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
+        keyed = keyed.withColumn(
+            "_sub", F.when(value.isin(*hot), F.pmod(row_hash, F.lit(salt))).otherwise(F.lit(salt)).cast("int")
+        )
+    else:
+        keyed = keyed.withColumn("_sub", F.lit(0))
+    counts = keyed.groupBy("_bucket", "_sub").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
-        "_bucket",
+        "_bucket", "_sub",
         F.coalesce(
-            F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            F.sum("_n").over(Window.orderBy("_bucket", "_sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_offset"),
     )
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.col(order_col)))
+    local = F.row_number().over(Window.partitionBy("_bucket", "_sub").orderBy(value))
     numbered = keyed.withColumn("_local", local)
     return (
-        numbered.join(F.broadcast(offsets), "_bucket", "inner")  # <= buckets rows
+        numbered.join(F.broadcast(offsets), ["_bucket", "_sub"], "inner")  # <= buckets * (salt + 1) rows
         .withColumn(out, (F.col("_offset") + F.col("_local")).cast("long"))
-        .drop("_bucket", "_offset", "_local")
+        .drop("_bucket", "_sub", "_offset", "_local")
     )
 
 

@@ -162,3 +162,14 @@ def test_pest_numbering_matches_plain_window(make_tables, spark):
     got = [(r.count_, r.name) for r in market.pest_list(t, "Pests", buckets=16).orderBy("count_").collect()]
     want = [(k + 1, f"n{i}") for k, i in enumerate(sorted(i for i in ids if i % 3))]
     assert got == want
+
+
+def test_numbering_spreads_a_hot_value(spark):
+    from ananas.operators.aggregates import number_rows
+
+    # one value holds half of the rows: it is salted over sub-buckets
+    data = [(7, f"hot{i}") for i in range(600)] + [(i, f"v{i}") for i in range(1, 601) if i != 7]
+    df = spark.createDataFrame(data, "id long, name string")
+    out = sorted((r.row_number, r.id) for r in number_rows(df, "id", buckets=16, salt=8).collect())
+    assert [n for n, _ in out] == list(range(1, len(data) + 1))
+    assert [i for _, i in out] == sorted(i for i, _ in data)
