@@ -17,7 +17,12 @@ def test_dashboard_bundle_runs_every_set(spark):
     sizes = {k: df.count() for k, df in bundle.items()}
     assert sizes["farmer_count"] == sizes["area_count"] - 0 and sizes["farmer_count"] >= 2
     assert sizes["cam_norte_municipality"] == 26 and sizes["donut_data"] == 1
-    t.qp_farmer_raw.unpersist()
+    # the sets that read the survey all read the one cached projection
+    survey_sets = ["farmer_count_peryear1", "general_pop1", "qp_area", "rbsba_table", "expected_harvest_table",
+                   "pineapple_population", "topproducer", "cam_norte_municipality", "farmer_count", "area_count",
+                   "total_expected_harvest", "population_percent"]
+    for k in survey_sets:
+        assert "InMemoryRelation" in bundle[k]._jdf.queryExecution().optimizedPlan().toString(), k
 
 
 def test_general_data_totals_is_one_row(synthetic):
