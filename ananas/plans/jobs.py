@@ -136,14 +136,14 @@ def ingest_weather(t: Tables) -> DataFrame:
     return good.select("date", "rain_amount")
 
 
-def stream_ingest_price(t: Tables, files: int = 4) -> DataFrame:
-    """ST1: the price feed dropped as several files into a folder watched by
-    a stream; the accepted table after the stream has caught up."""
-    src = staging_path(t.spark, "price-drop")
-    price_feed(t).repartition(files).write.option("header", True).csv(src)
+def stream_ingest_price(t: Tables) -> DataFrame:
+    """ST1: the price feed dropped into a folder watched by a stream (one file
+    per partition of the table, one file per micro-batch); the accepted table
+    after the stream has caught up."""
+    src = _write_csv(price_feed(t), staging_path(t.spark, "price-drop"))
     base = staging_path(t.spark, "price-stream")
     paths = stream.StreamPaths(source=src, output=f"{base}/out", checkpoint=f"{base}/checkpoint")
-    stream.run_once(t.spark, feeds.PRICE, paths)
+    stream.run_once(t.spark, feeds.PRICE, paths, max_files_per_trigger=1)
     return stream.read_accepted(t.spark, paths).drop("_source", "batch_id")
 
 

@@ -72,9 +72,10 @@ def start_feed_stream(
     return writer.start()
 
 
-def run_once(spark: SparkSession, feed: feeds.Feed, paths: StreamPaths, transform=None) -> None:
+def run_once(spark: SparkSession, feed: feeds.Feed, paths: StreamPaths, transform=None,
+             max_files_per_trigger: int | None = None) -> None:
     """Process every file now in the folder, then return."""
-    q = start_feed_stream(spark, feed, paths, transform, available_now=True)
+    q = start_feed_stream(spark, feed, paths, transform, available_now=True, max_files_per_trigger=max_files_per_trigger)
     q.awaitTermination()
     if q.exception():
         raise q.exception()

@@ -7,7 +7,9 @@ Prints one JSON line. Steps:
    write them as parquet (what ingest produces in production), timed;
 2. a warm-up pass of every report on the smallest scale (untimed, JIT);
 3. each report, run to completion with the ``noop`` sink (full execution,
-   no driver collect), timed one by one;
+   no driver collect), timed one by one; a report's time is the best of
+   ``BENCH_REPEAT`` runs (default 2), as single runs on a shared machine
+   vary by about 25%;
 4. ``dashboard``: the 21 result sets of the main page, submitted together
    from a thread pool over a cached survey projection, timed as one.
 """
@@ -51,11 +53,19 @@ def main() -> None:
         if name not in JOBS:
             run(fn(warm))
 
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
     times: dict[str, float] = {"curate": round(curate_sec, 3)}
+    first_total = 0.0
     for name, fn in reports().items():
-        start = time.time()
-        run(fn(curated))
-        times[name] = round(time.time() - start, 3)
+        best = float("inf")
+        for i in range(1 if name in JOBS else repeat):
+            start = time.time()
+            run(fn(curated))
+            took = time.time() - start
+            if i == 0 and name not in JOBS:
+                first_total += took
+            best = min(best, took)
+        times[name] = round(best, 3)
 
     fresh = Tables.from_curated(spark, curated_path(curated))
     start = time.time()
@@ -76,6 +86,8 @@ def main() -> None:
         "cpus": cpus,
         "reports": len([k for k in times if k not in JOBS and k not in ("curate", "dashboard")]),
         "jobs_seconds": round(sum(v for k, v in times.items() if k in JOBS), 3),
+        "repeat": repeat,
+        "first_run_report_seconds": round(first_total, 3),
     }))
 
 
