@@ -67,18 +67,23 @@ def area_all(t: Tables, as_of: dt.date, years: int = 5, total_label: str = PROVI
     year, for the last ``years`` calendar years.
 
     The total is over every survey row of the year, including rows whose
-    municipality is unknown, so it is its own aggregate and not a ROLLUP of
-    the per-municipality rows.
+    municipality is unknown, so the names are attached with a left join
+    (broadcast, size-checked) and one aggregate computes both grouping sets,
+    (year, municipality) and (year): a single scan of the survey. Groups of
+    the first set without a known municipality are dropped afterwards, as
+    the reference's inner join drops them.
     """
     first = as_of.year - (years - 1)
-    q = t.qp_farmer_raw.where(since_year("raw_dgathered", first))
-    j = q.select("raw_municipality", "raw_area", "raw_dgathered").join(
-        t.muni, F.col("raw_municipality") == F.col("muni_id"), "inner"
+    q = t.qp_farmer_raw.where(since_year("raw_dgathered", first)).select(
+        year_of("raw_dgathered").alias("year_gathered"), "raw_municipality", "raw_area"
     )
-    per_muni = j.groupBy(year_of("raw_dgathered").alias("year_gathered"), "raw_municipality", "muni_name").agg(
-        _area("sum_area_year")
-    ).select("sum_area_year", "year_gathered", "muni_name")
-    total = q.groupBy(year_of("raw_dgathered").alias("year_gathered")).agg(_area("sum_area_year")).select(
-        "sum_area_year", "year_gathered", F.lit(total_label).alias("muni_name")
+    j = q.join(t.muni, F.col("raw_municipality") == F.col("muni_id"), "left")
+    g = j.groupingSets(
+        [["year_gathered", "raw_municipality", "muni_id", "muni_name"], ["year_gathered"]],
+        "year_gathered", "raw_municipality", "muni_id", "muni_name",
+    ).agg(_area("sum_area_year"), F.grouping("raw_municipality").alias("_total"))
+    out = g.where((F.col("_total") == 1) | F.col("muni_id").isNotNull()).select(
+        "sum_area_year", "year_gathered",
+        F.when(F.col("_total") == 1, F.lit(total_label)).otherwise(F.col("muni_name")).alias("muni_name"),
     )
-    return per_muni.unionByName(total).orderBy("muni_name", "year_gathered")
+    return out.orderBy("muni_name", "year_gathered")

@@ -32,7 +32,6 @@ class Feed:
     name: str
     headers: Mapping[str, str]
     types: Mapping[str, str]  # column -> "date" | "date:<fmt>" | a Spark SQL type
-    keep: tuple[str, ...] = ()  # output column order
 
     def text_schema(self) -> T.StructType:
         return T.StructType([T.StructField(h, T.StringType(), True) for h in self.headers])

@@ -22,7 +22,9 @@ class Tables:
 
     Dimensions are checked once for size: ``muni`` is broadcast only when it
     holds at most ``dim_max_rows`` rows (a province has a dozen
-    municipalities), otherwise joins shuffle.
+    municipalities), otherwise joins shuffle. Dimension ids are unique
+    (``tbl_muni.muni_id``, ``tbl_barangay.brgy_id``); the sync jobs
+    (:mod:`ananas.operators.sync`) make their match keys unique themselves.
     """
 
     qp_farmer_raw: DataFrame

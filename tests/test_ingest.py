@@ -83,6 +83,16 @@ def test_weather_sheet(spark):
     assert [(r.ordinal, r._reject) for r in bad.collect()] == [(30, "date")]  # Feb 30
 
 
+def test_weather_day_from_label(spark):
+    # row 2 is missing: by position the 3rd becomes day 2, by label it stays day 3
+    lines = ["2021,Day,Mar", "1,1,0.5", "3,3,0.7"]
+    path = _write(staging_path(spark, "t-weather-label"), "w.csv", "\n".join(lines) + "\n")
+    by_pos = {r.date for r in weather.ingest_weather(spark, path)[0].collect()}
+    by_label = {r.date for r in weather.ingest_weather(spark, path, day_from="label")[0].collect()}
+    assert by_pos == {dt.date(2021, 3, 1), dt.date(2021, 3, 2)}
+    assert by_label == {dt.date(2021, 3, 1), dt.date(2021, 3, 3)}
+
+
 def test_weather_sheet_round_trip(spark):
     daily = spark.createDataFrame(
         [(dt.date(2019, 12, 31), Decimal("1.25")), (dt.date(2020, 2, 29), Decimal("0.00"))], "date date, rain_amount decimal(10,2)"
