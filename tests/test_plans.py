@@ -6,7 +6,7 @@ import io
 import pytest
 
 import __spark_entry__ as E
-from ananas.plans import area, market, population, registration
+from ananas.plans import area, farmers, gender, market, population, registration
 from ananas.plans.catalog import AS_OF
 from ananas.session import staging_path
 from ananas.sources.tables import Tables
@@ -34,11 +34,26 @@ def test_no_cartesian_product(spark, name):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-@pytest.mark.parametrize("fn", [registration.rbsba_table, registration.rbsba_by_year, registration.rbsba_status])
+@pytest.mark.parametrize("fn", [
+    registration.rbsba_table, registration.rbsba_by_year, registration.rbsba_status, registration.rbsba_per_muni,
+    registration.rbsba_percent_by_muni, gender.gender_line, farmers.farmer_classification,
+])
 def test_flag_counts_have_no_expand(synthetic, fn):
     assert "Expand" not in plan(fn(synthetic))
 
 
+def _survey_scans(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("/qp_farmer_raw]")
+
+
+@pytest.mark.parametrize("fn", [
+    lambda t: area.area_all(t, AS_OF), lambda t: population.population_change(t, AS_OF),
+    registration.rbsba_table, farmers.farmer_classification, gender.gender_line,
+])
+def test_one_survey_scan(curated, fn):
+    assert _survey_scans(fn(curated)) == 1
+
+
 def test_year_filter_reaches_the_scan(curated):
     p = plan(population.expected_harvest_total(curated, AS_OF))
     assert "PushedFilters: [IsNotNull(raw_dharvest), GreaterThanOrEqual(raw_dharvest,2001-01-01), LessThan(raw_dharvest,2002-01-01)]" in p
