@@ -136,6 +136,19 @@ def append(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None
     w.parquet(path)
 
 
+def _loaded_files(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path).select("_source").distinct()
+    except Exception as e:  # noqa: BLE001 - first load: no table yet
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+
+
+def _not_loaded(df: DataFrame, loaded: DataFrame | None) -> DataFrame:
+    return df if loaded is None else df.join(loaded, "_source", "left_anti")
+
+
 def load_feed(
     spark: SparkSession,
     source: str,
@@ -148,25 +161,20 @@ def load_feed(
     """S3-S7 + S9 as one job: ingest every file under ``source`` not loaded
     before, append accepted rows to ``target`` and rejects to ``rejects``.
 
-    Files already present in ``target`` (by ``_source``) are skipped, so a
-    repeated upload adds nothing; each append is one atomic write, so a
-    failed job leaves no partial rows. Returns (accepted, rejected) counts.
+    Each output skips the files it already holds (by ``_source``), so a
+    repeated upload adds nothing, and a job that died between the two
+    appends completes the missing one on rerun. Each append is one atomic
+    write. Returns the (accepted, rejected) row counts of the two tables.
     """
-    parsed = parse(read_text(spark, source, feed), feed, date_formats)
-    try:
-        loaded = spark.read.parquet(target).select("_source").distinct()
-        parsed = parsed.join(loaded, "_source", "left_anti")
-    except Exception as e:  # noqa: BLE001 - first load: no target yet
-        if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
-            raise
-    parsed = parsed.persist()
+    parsed = parse(read_text(spark, source, feed), feed, date_formats).persist()
     try:
         good, bad = split(parsed)
         if transform is not None:
             good = transform(good)
-        good = with_ingest_id(good)
-        append(good, target)
-        append(bad, rejects)
+        append(with_ingest_id(_not_loaded(good, _loaded_files(spark, target))), target)
+        bad_new = _not_loaded(bad, _loaded_files(spark, rejects))
+        if _loaded_files(spark, rejects) is None or not bad_new.isEmpty():
+            append(bad_new, rejects)
         return spark.read.parquet(target).count(), spark.read.parquet(rejects).count()
     finally:
         parsed.unpersist()

@@ -161,3 +161,25 @@ def test_sync_keeps_row_count(synthetic):
     assert sync_farmer_id(q, synthetic.farmer_demo).count() == n
     assert sync_barangay_id(q, synthetic.tbl_barangay).count() == n
     assert sync_municipality_id(q.withColumn("is_synced", F.lit(False)), synthetic.tbl_muni).count() == n
+
+
+def test_survey_stream_with_municipality_sync(spark):
+    src = staging_path(spark, "t-survey-drop")
+    body = "Alpha,b1,Ana,,Cruz,F,1980-02-03,1.5,100,2000-01-02,,2001-03-04,,R1,,Owner\n"
+    _write(src, "s1.csv", SURVEY_HEAD + "\n" + body)
+    base = staging_path(spark, "t-survey-stream")
+    paths = stream.StreamPaths(src, f"{base}/out", f"{base}/ckpt")
+    muni = spark.createDataFrame(DEFAULT_MUNI, "muni_id string, muni_name string")
+    stream.run_once(spark, feeds.SURVEY, paths, transform=lambda good: feeds.curate_survey(good, muni))
+    rows = stream.read_accepted(spark, paths).collect()
+    assert [(r.raw_municipality, r.raw_municipality_name, r.is_synced) for r in rows] == [("1", "Alpha", True)]
+
+
+def test_load_completes_a_half_done_job(spark):
+    src = staging_path(spark, "t-half-src")
+    _write(src, "a.csv", PRICE_CSV)
+    target, rejects = staging_path(spark, "t-half-out"), staging_path(spark, "t-half-rej")
+    good, bad = feeds.ingest(spark, src, feeds.PRICE)
+    feeds.append(feeds.with_ingest_id(good), target)  # the job died before writing its rejects
+    assert feeds.load_feed(spark, src, feeds.PRICE, target, rejects) == (1, 2)
+    assert feeds.load_feed(spark, src, feeds.PRICE, target, rejects) == (1, 2)
