@@ -32,6 +32,21 @@ def test_pct_matches_decimal_model(spark, pairs):
         assert r.p1 == mysql_pct(r.num, r.den, 1)
 
 
+def exact_pct(num, den, n):
+    if den == 0:
+        return None
+    return (Decimal(num) * 100 / Decimal(den)).quantize(Decimal(1).scaleb(-n), rounding=ROUND_DOWN)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(-10**9, 10**9), st.integers(-50, 50)), min_size=1, max_size=300))
+def test_exact_rational_pct(spark, pairs):
+    df = spark.createDataFrame(pairs, "num long, den long")
+    got = df.select("num", "den", mysql_ratio_pct("num", "den", 2, div_scale=None).alias("p")).collect()
+    for r in got:
+        assert r.p == exact_pct(r.num, r.den, 2)
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.decimals(min_value=-10**9, max_value=10**9, places=4, allow_nan=False), min_size=1, max_size=300))
 def test_truncate_cuts_toward_zero(spark, values):
