@@ -88,6 +88,7 @@ def reports(as_of: dt.date = AS_OF, muni: str = MUNI, harvest_year: int = HARVES
         "municipality_picklist": market.municipality_picklist,
         "general_data_totals": dashboard.general_data_totals,
         "general_data_price": lambda t: dashboard.general_data(t)["qp_price"],
+        "muni_dashboard": lambda t: dashboard.muni_dashboard(t, muni),
         # ingest, sync and streaming jobs (S2-S7, N1-N3, ST1)
         **jobs.JOBS,
     }

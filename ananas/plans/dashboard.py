@@ -23,6 +23,76 @@ def general_data_totals(t: Tables) -> DataFrame:
     ])
 
 
+def muni_dashboard(t: Tables, muni_name: str) -> DataFrame:
+    """The municipality page: registered farmers and total area of one
+    municipality in one row, 0 when there is none (the page's ``?? 0``)."""
+    parts = collect_scalars([farmers.muni_farmer_count(t, muni_name), area.muni_area_total(t, muni_name)])
+    return parts.select(
+        F.coalesce("Farmer_ID", F.lit(0)).cast("long").alias("farmer_count"),
+        F.coalesce("Area_count", F.lit(0).cast("decimal(38,2)")).alias("area_count"),
+    )
+
+
+def chart_data(t: Tables, as_of: dt.date) -> dict[str, DataFrame]:
+    """The chart-data route: ten result sets for the province charts."""
+    return {
+        "pineapple_population": population.population_by_muni_year(t),
+        "harvest_permuni": harvest.harvest_by_muni_year(t),
+        "general_pop": population.general_population_by_quarter(t),
+        "rbsba_per_year": registration.rbsba_by_year(t),
+        "gender_line": gender.gender_line(t),
+        "area_line": area.area_by_year(t, ("sum_area_year", "year_gathered")),
+        "area_all": area.area_all(t, as_of),
+        "female_age_stacked": gender.age_stacked(t, as_of, "F"),
+        "male_age_stacked": gender.age_stacked(t, as_of, "M"),
+        "rbsba_per_muni": registration.rbsba_per_muni(t),
+    }
+
+
+def farmer_count_api(t: Tables) -> dict[str, DataFrame]:
+    """Registered farmers per municipality, registration shares, total."""
+    return {
+        "qp_farmer_count": farmers.qp_farmer_count(t),
+        "rbsba_percent": registration.rbsba_percent_by_muni(t),
+        "total": farmers.demo_farmer_total(t),
+    }
+
+
+def farmer_age_api(t: Tables, as_of: dt.date) -> dict[str, DataFrame]:
+    """Age bands and the registration totals."""
+    return {"qp_farmer_age": gender.age_bands(t, as_of), "rbsba_status": registration.rbsba_status(t)}
+
+
+def farmer_permuni_api(t: Tables, muni_name: str | None = None) -> dict[str, DataFrame]:
+    """Distinct farmers per municipality and per year, or per year for one municipality."""
+    if muni_name is not None:
+        return {"farmer_count_peryear_permuni": farmers.farmer_count_peryear_permuni(t, muni_name)}
+    return {
+        "farmer_count_permuni": farmers.farmer_count_permuni(t),
+        "farmer_count_peryear": farmers.farmer_count_peryear(t),
+    }
+
+
+def harvest_api(t: Tables, as_of: dt.date, municipality: str | None = None, year: int | None = None) -> dict[str, DataFrame]:
+    """Harvest routes: by quarter (all municipalities), by year for one
+    municipality, by month for one year; prices and expected harvest."""
+    out = {
+        "qp_harvest": harvest.harvest_by_quarter(t, as_of),
+        "price": market.price_line(t),
+        "pie_data": population.expected_harvest_by_muni(t, as_of),
+        "line_expected_harvest": population.expected_harvest_by_month(t, as_of),
+        "treemap": area.area_treemap(t),
+        "weather": market.rain_by_year(t),
+        "common_pests": market.common_pest(t),
+        "land_area": area.area_ranking(t),
+    }
+    if municipality is not None:
+        out["qp_harvest_muni"] = harvest.muni_harvest_by_year(t, municipality)
+    if year is not None:
+        out["harvest_count"] = harvest.harvest_by_month(t, year)
+    return out
+
+
 def general_data(t: Tables) -> dict[str, DataFrame]:
     """DB1: the general-data route: yearly price (oldest first) and the totals."""
     return {

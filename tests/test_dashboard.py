@@ -42,3 +42,20 @@ def test_cli_curate_report_load(spark, capsys):
     args = ["load", "--feed", "price", "--source", src, "--target", f"{out}/price", "--rejects", f"{out}/rej"]
     assert main(args) == 0 and main(args) == 0
     assert "accepted 1 rejected 0" in capsys.readouterr().out
+
+
+def test_route_bundles_run(synthetic):
+    bundles = [
+        dashboard.chart_data(synthetic, AS_OF), dashboard.farmer_count_api(synthetic),
+        dashboard.farmer_age_api(synthetic, AS_OF), dashboard.farmer_permuni_api(synthetic),
+        dashboard.farmer_permuni_api(synthetic, "NATION_3"),
+        dashboard.harvest_api(synthetic, AS_OF, "NATION_3", 2000),
+    ]
+    sizes = {k: df.count() for b in bundles for k, df in b.items()}
+    assert len(sizes) == 10 + 3 + 2 + 2 + 1 + 10 - 0
+    assert all(n > 0 for n in sizes.values())
+
+
+def test_muni_dashboard_unknown_name_is_zero(synthetic):
+    row = dashboard.muni_dashboard(synthetic, "Nowhere").collect()[0]
+    assert (row.farmer_count, row.area_count) == (0, 0)
