@@ -40,14 +40,18 @@ def population_by_muni_year(t: Tables) -> DataFrame:
 
 
 def population_by_barangay_year(t: Tables, muni_name: str) -> DataFrame:
-    """PO2: population per barangay and year within one municipality."""
+    """PO2: population per barangay and year within one municipality.
+
+    Aggregated to (year, barangay id) before the barangay names are joined:
+    the barangay list may be too large to broadcast, and then only the
+    aggregates are shuffled for the join, not the survey rows."""
     j = survey_with_muni(t, "raw_population", "raw_dgathered", "raw_barangay").where(
         F.col("muni_name") == F.lit(muni_name)
     )
+    g = j.groupBy(year_of("raw_dgathered").alias("year_gathered"), "raw_barangay").agg(_pop())
     b = t.barangay.select("brgy_id", "brgy_name")
-    j = j.join(b, F.col("raw_barangay") == F.col("brgy_id"), "inner")
-    g = j.groupBy(year_of("raw_dgathered").alias("year_gathered"), "raw_barangay", "brgy_name").agg(_pop())
-    return g.orderBy(*id_sort_key("raw_barangay"), "year_gathered").select("population", "year_gathered", "brgy_name")
+    named = g.join(b, F.col("raw_barangay") == F.col("brgy_id"), "inner")
+    return named.orderBy(*id_sort_key("raw_barangay"), "year_gathered").select("population", "year_gathered", "brgy_name")
 
 
 def population_drilldown(t: Tables, place: str, province: str = PROVINCE_NAME) -> DataFrame:
