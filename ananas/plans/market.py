@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ananas.functions.exprs import avg_exact, id_sort_key, trunc_dec, year_of
+from ananas.functions.exprs import avg_exact, trunc_dec, year_of
 from ananas.operators.aggregates import number_rows
 from ananas.plans.common import PROVINCE_NAME
 from ananas.sources.tables import Tables
@@ -53,7 +53,7 @@ def pest_list(t: Tables, category: str, buckets: int = 256) -> DataFrame:
     of one window over every row on a single task."""
     p = t.pests.where(F.col("category") == F.lit(category)).select("id", "name", "description", "percent")
     n = number_rows(p, "id", "count_", buckets=buckets)
-    return n.select("count_", "name", "description", "percent")
+    return n.select("count_", "name", "description", "percent").orderBy("count_")
 
 
 def common_pest(t: Tables) -> DataFrame:
@@ -62,19 +62,16 @@ def common_pest(t: Tables) -> DataFrame:
 
 
 def municipality_picklist(t: Tables, province: str = PROVINCE_NAME) -> DataFrame:
-    """LI1: the province, then each municipality present in the survey, in
-    id order (ids as numbers, then name)."""
+    """LI1: the province, then each municipality present in the survey,
+    ordered by the length of its id (so ids sort as numbers by magnitude),
+    then by name."""
     q = t.qp_farmer_raw.select("raw_municipality").where(
         F.col("raw_municipality").isNotNull() & (F.col("raw_municipality") != "")
     ).distinct()
     j = q.join(t.muni, F.col("raw_municipality") == F.col("muni_id"), "inner")
     pairs = j.select(F.col("muni_name").alias("muni_select"), "raw_municipality").distinct()
-    ordered = pairs.select(
-        "muni_select", F.lit(1).alias("_head"),
-        *[k.alias(f"_k{i}") for i, k in enumerate(id_sort_key("raw_municipality"))],
-    )
+    ordered = pairs.select("muni_select", F.lit(1).alias("_head"), F.octet_length("raw_municipality").alias("_len"))
     head = t.spark.range(1).select(
-        F.lit(province).alias("muni_select"), F.lit(0).alias("_head"),
-        F.lit(None).cast("int").alias("_k0"), F.lit(None).cast("string").alias("_k1"),
+        F.lit(province).alias("muni_select"), F.lit(0).alias("_head"), F.lit(None).cast("int").alias("_len"),
     )
-    return ordered.unionByName(head).orderBy("_head", "_k0", "_k1", "muni_select").select("muni_select")
+    return ordered.unionByName(head).orderBy("_head", "_len", "muni_select").select("muni_select")

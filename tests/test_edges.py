@@ -126,6 +126,12 @@ def test_ids_sort_as_numbers(make_tables):
     assert [r.muni_select for r in market.municipality_picklist(t).collect()] == ["Camarines Norte", "Beta", "Nine", "Ten"]
 
 
+def test_picklist_orders_by_id_length_then_name(make_tables):
+    muni = [("10", "Zeta"), ("11", "Alpha"), ("9", "Omega")]
+    t = make_tables(tbl_muni=muni, qp_farmer_raw=[R(muni="10"), R(muni="11"), R(muni="9"), R(muni="")])
+    assert [r.muni_select for r in market.municipality_picklist(t).collect()] == ["Camarines Norte", "Omega", "Alpha", "Zeta"]
+
+
 def test_truncate_cuts_toward_zero(make_tables):
     t = make_tables(qp_farmer_raw=[R(area="-1.2399", gathered="2000-01-01"), R(area="0.0050", gathered="2001-01-01")])
     by_year = {r.year_: r.Area_count for r in area.area_by_year(t).collect()}
@@ -159,7 +165,7 @@ def test_pest_numbering_matches_plain_window(make_tables, spark):
     random.seed(7)
     ids = random.sample(range(1, 10_000), 500)
     t = make_tables(pests=[(i, "Pests" if i % 3 else "Weeds", f"n{i}", "d", 1.0, 1) for i in ids])
-    got = [(r.count_, r.name) for r in market.pest_list(t, "Pests", buckets=16).orderBy("count_").collect()]
+    got = [(r.count_, r.name) for r in market.pest_list(t, "Pests", buckets=16).collect()]
     want = [(k + 1, f"n{i}") for k, i in enumerate(sorted(i for i in ids if i % 3))]
     assert got == want
 
