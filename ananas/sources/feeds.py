@@ -123,9 +123,12 @@ def curate_survey(good: DataFrame, tbl_muni: DataFrame) -> DataFrame:
 
 
 def with_ingest_id(df: DataFrame) -> DataFrame:
-    """Surrogate key from the source file and the row's position in the read,
-    instead of a global auto-increment (which a distributed write lacks)."""
-    return df.withColumn("ingest_id", F.xxhash64(F.col("_source"), F.monotonically_increasing_id()))
+    """Surrogate key instead of a global auto-increment (which a distributed
+    write lacks): the pair (``_source``, ``ingest_row``). ``ingest_row`` is
+    unique within one load job and each file is loaded by exactly one job, so
+    the pair is unique in the table; unlike a 64-bit hash of the two it
+    cannot collide, whatever the row count."""
+    return df.withColumn("ingest_row", F.monotonically_increasing_id())
 
 
 def append(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:

@@ -116,5 +116,5 @@ def test_reloading_a_file_adds_nothing(spark):
     with open(f"{src}/b.csv", "w") as fh:
         fh.write("DATE,Medium,Large,BUYER/SELLER\n2001-01-07,1,2,Ana\n")
     assert feeds.load_feed(spark, src, feeds.PRICE, target, rejects) == (2, 1)
-    ids = [r.ingest_id for r in spark.read.parquet(target).collect()]
-    assert len(set(ids)) == 2
+    keys = [(r._source, r.ingest_row) for r in spark.read.parquet(target).collect()]
+    assert len(set(keys)) == 2
