@@ -23,6 +23,12 @@ from ananas.operators.sync import sync_municipality_id
 from ananas.sources import schemas
 
 DEFAULT_DATE_FORMATS = ("yyyy-MM-dd",)
+CORRUPT = "_corrupt_record"
+
+
+def csv_options() -> dict[str, str]:
+    """Reader options shared by the batch and streaming feeds."""
+    return {"header": "true", "enforceSchema": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 
 @dataclass(frozen=True)
@@ -34,7 +40,10 @@ class Feed:
     types: Mapping[str, str]  # column -> "date" | "date:<fmt>" | a Spark SQL type
 
     def text_schema(self) -> T.StructType:
-        return T.StructType([T.StructField(h, T.StringType(), True) for h in self.headers])
+        """Every header as text, plus the corrupt-record column that keeps
+        the raw line of a row with too few or too many cells."""
+        fields = [T.StructField(h, T.StringType(), True) for h in self.headers]
+        return T.StructType(fields + [T.StructField(CORRUPT, T.StringType(), True)])
 
 
 SURVEY = Feed(
@@ -63,12 +72,9 @@ def read_text(spark: SparkSession, path: str, feed: Feed) -> DataFrame:
     check each file's header against them, so a file with other or
     reordered columns fails loudly instead of shifting values between
     columns. ``_source`` is the file each row came from."""
-    raw = (
-        spark.read.schema(feed.text_schema()).option("header", True).option("enforceSchema", False)
-        .option("mode", "PERMISSIVE").csv(path)
-    )
+    raw = spark.read.schema(feed.text_schema()).options(**csv_options()).csv(path)
     return raw.select(
-        *[F.col(f"`{h}`").alias(h) for h in feed.headers],
+        *[F.col(f"`{h}`").alias(h) for h in feed.headers], CORRUPT,
         F.col("_metadata.file_path").alias("_source"),
     )
 
@@ -81,9 +87,23 @@ def _parse(cell: Column, kind: str, date_formats) -> Column:
 
 
 def parse(text: DataFrame, feed: Feed, date_formats=DEFAULT_DATE_FORMATS) -> DataFrame:
-    """Typed columns plus ``_reject`` (NULL when the row is good, else the
-    names of the cells that failed to parse)."""
+    """Typed columns plus ``_reject``: NULL when the row is good, else
+    ``malformed`` (too few or too many cells), ``empty`` (every cell blank)
+    or the names of the cells that failed to parse.
+
+    The ``empty`` check reads every cell, which also keeps every column in
+    the CSV parser's required schema: with Spark's CSV column pruning, a
+    query needing only some columns would otherwise not see a short row as
+    malformed."""
     cols, problems = [], []
+    if CORRUPT in text.columns:
+        problems.append(F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed")))
+    all_blank = None
+    for header in feed.headers:
+        cell = F.trim(F.col(f"`{header}`"))
+        blank = cell.isNull() | (cell == "")
+        all_blank = blank if all_blank is None else all_blank & blank
+    problems.append(F.when(all_blank, F.lit("empty")))
     for header, name in feed.headers.items():
         cell = F.trim(F.col(f"`{header}`"))
         if name in feed.types:

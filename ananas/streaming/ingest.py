@@ -62,7 +62,7 @@ def start_feed_stream(
     (e.g. N2 for the survey feed, a stream-static join with the municipality
     list). With ``available_now`` the stream processes what is in the folder
     and stops."""
-    reader = spark.readStream.schema(feed.text_schema()).option("header", True).option("enforceSchema", False)
+    reader = spark.readStream.schema(feed.text_schema()).options(**feeds.csv_options())
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     text = reader.csv(paths.source).withColumn("_source", F.col("_metadata.file_path"))

@@ -33,6 +33,15 @@ def test_price_rejects_do_not_raise(spark):
     assert sorted(r._reject for r in bad.collect()) == ["date", "med_price"]
 
 
+def test_wrong_cell_count_is_rejected(spark):
+    text = "DATE,Medium,Large,BUYER/SELLER\n2001-01-05,1,2,Juan\n2001-01-06,1,2\n2001-01-07,1,2,x,extra\n,,,\n"
+    path = _write(staging_path(spark, "t-malformed"), "a.csv", text)
+    good, bad = feeds.ingest(spark, path, feeds.PRICE)
+    assert good.count() == 1 and good.select("date").count() == 1
+    assert [r.date for r in good.select("date").collect()] == [dt.date(2001, 1, 5)]
+    assert sorted(r._reject for r in bad.collect()) == ["empty", "malformed", "malformed"]
+
+
 def test_header_order_is_checked(spark):
     path = _write(staging_path(spark, "t-price-bad"), "a.csv", "Large,DATE,Medium,BUYER/SELLER\n1,2001-01-01,2,x\n")
     good, _ = feeds.ingest(spark, path, feeds.PRICE)
