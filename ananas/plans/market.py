@@ -71,7 +71,9 @@ def municipality_picklist(t: Tables, province: str = PROVINCE_NAME) -> DataFrame
     j = q.join(t.muni, F.col("raw_municipality") == F.col("muni_id"), "inner")
     pairs = j.select(F.col("muni_name").alias("muni_select"), "raw_municipality").distinct()
     ordered = pairs.select("muni_select", F.lit(1).alias("_head"), F.octet_length("raw_municipality").alias("_len"))
+    name_type = ordered.schema["muni_select"].dataType  # keeps a collation, if the tables have one
     head = t.spark.range(1).select(
-        F.lit(province).alias("muni_select"), F.lit(0).alias("_head"), F.lit(None).cast("int").alias("_len"),
+        F.lit(province).cast(name_type).alias("muni_select"), F.lit(0).alias("_head"),
+        F.lit(None).cast("int").alias("_len"),
     )
     return ordered.unionByName(head).orderBy("_head", "_len", "muni_select").select("muni_select")

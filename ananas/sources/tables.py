@@ -102,6 +102,23 @@ class Tables:
             df.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).parquet(f"{path}/{name}")
         return Tables.from_curated(spark, path, dim_max_rows=self.dim_max_rows)
 
+    def with_collation(self, collation: str = "UTF8_LCASE") -> "Tables":
+        """Tables whose text columns compare, group and count under
+        ``collation`` (MySQL's default collation ignores case, and accents;
+        Spark's ``UTF8_LCASE`` / ``UNICODE_CI_AI`` do the same), so 'Ana' and
+        'ANA' are one farmer and a municipality name matches in any case.
+        Values are unchanged; the default stays binary."""
+        from pyspark.sql import types as T
+
+        def collate(df: DataFrame) -> DataFrame:
+            return df.select(*[
+                F.collate(F.col(f"`{f.name}`"), collation).alias(f.name) if isinstance(f.dataType, T.StringType)
+                else F.col(f"`{f.name}`") for f in df.schema.fields
+            ])
+
+        dfs = {name: collate(getattr(self, name)) for name in CURATED}
+        return Tables(**dfs, dim_max_rows=self.dim_max_rows)
+
     def cache(self, names=("qp_farmer_raw",)) -> "Tables":
         for name in names:
             setattr(self, name, getattr(self, name).cache())

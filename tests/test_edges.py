@@ -179,3 +179,15 @@ def test_numbering_spreads_a_hot_value(spark):
     out = sorted((r.row_number, r.id) for r in number_rows(df, "id", buckets=16, salt=8).collect())
     assert [n for n, _ in out] == list(range(1, len(data) + 1))
     assert [i for _, i in out] == sorted(i for i, _ in data)
+
+
+def test_collation_makes_names_case_insensitive(make_tables):
+    rows_ = [R(fname="Ana", mname="M", lname="Cruz"), R(fname="ANA", mname="m", lname="cruz")]
+    t = make_tables(qp_farmer_raw=rows_)
+    assert rows(farmers.farmer_count_total(t)) == [(2,)]
+    ci = t.with_collation("UTF8_LCASE")
+    assert rows(farmers.farmer_count_total(ci)) == [(1,)]
+    assert rows(farmers.farmer_count_permuni(ci)) == [(1, "Alpha")]
+    assert rows(farmers.muni_farmer_count(ci, "alpha")) == [(0,)]  # farmer_demo is empty here
+    assert rows(area.muni_area_total(ci, "ALPHA")) == [(D("2.00"),)]
+    assert [r.muni_select for r in market.municipality_picklist(ci).collect()] == ["Camarines Norte", "Alpha"]
