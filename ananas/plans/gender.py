@@ -50,13 +50,16 @@ def gender_totals(t: Tables, div_scale: int | None = 4) -> DataFrame:
     )
 
 
-def gender_line(t: Tables) -> DataFrame:
-    """GE3: distinct men and women surveyed per year, only years with both."""
+def gender_line(t: Tables, require_all: bool = True) -> DataFrame:
+    """GE3: distinct men and women surveyed per year, only years with both
+    (``require_all=False``: every year with a man or a woman)."""
     c = flag_counts(
         t.qp_farmer_raw, [year_of("raw_dgathered").alias("year_dg")], raw_person("ws"),
         {"male_count": F.col("raw_gender") == "M", "female_count": F.col("raw_gender") == "F"}, total=None,
     )
-    c = c.where((F.col("male_count") > 0) & (F.col("female_count") > 0) & F.col("year_dg").isNotNull())
+    both = (F.col("male_count") > 0) & (F.col("female_count") > 0)
+    some = (F.col("male_count") > 0) | (F.col("female_count") > 0)
+    c = c.where((both if require_all else some) & F.col("year_dg").isNotNull())
     return c.select("year_dg", "male_count", "female_count").orderBy("year_dg")
 
 

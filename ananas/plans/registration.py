@@ -51,35 +51,39 @@ def rbsba_percent_by_muni(t: Tables, div_scale: int | None = 4) -> DataFrame:
     ).orderBy("muni_name")
 
 
-def rbsba_by_year(t: Tables, div_scale: int | None = 4) -> DataFrame:
+def rbsba_by_year(t: Tables, div_scale: int | None = 4, require_all: bool = True) -> DataFrame:
     """RG3: registered share per year, for years with both kinds of farmer.
 
-    A NULL year never matches in the reference's joins, so it is dropped."""
+    A NULL year never matches in the reference's joins, so it is dropped.
+    ``require_all=False`` keeps years with only one kind (its count 0)."""
     c = flag_counts(
         t.qp_farmer_raw, [year_of("raw_dgathered").alias("year_dg1")], raw_person("ws"),
         _flags("registered_count", "unregistered_count"),
     )
-    c = c.where((F.col("registered_count") > 0) & (F.col("unregistered_count") > 0) & F.col("year_dg1").isNotNull())
+    both = (F.col("registered_count") > 0) & (F.col("unregistered_count") > 0)
+    c = c.where((both if require_all else F.lit(True)) & F.col("year_dg1").isNotNull())
     return c.select(
         mysql_ratio_pct("registered_count", "total_num", 1, div_scale).alias("registered"),
         "year_dg1", "registered_count", "unregistered_count", "total_num",
     ).orderBy("year_dg1")
 
 
-def _both_sides(t: Tables) -> DataFrame:
+def _both_sides(t: Tables, require_all: bool = True) -> DataFrame:
     c = flag_counts(
         t.qp_farmer_raw, ["raw_municipality"], raw_person("ws"),
         _flags("rbsba_registered", "rbsba_unregistered"),
     )
-    c = c.where((F.col("rbsba_registered") > 0) & (F.col("rbsba_unregistered") > 0))
+    if require_all:
+        c = c.where((F.col("rbsba_registered") > 0) & (F.col("rbsba_unregistered") > 0))
     return _with_muni(t, c)
 
 
-def rbsba_table(t: Tables, div_scale: int | None = 4) -> DataFrame:
+def rbsba_table(t: Tables, div_scale: int | None = 4, require_all: bool = True) -> DataFrame:
     """RG4: both counts, total and both shares (TRUNCATE 2) per municipality,
-    for municipalities with both kinds of farmer. Output names keep the
-    source spelling ``registred_percentage``."""
-    c = _both_sides(t)
+    for municipalities with both kinds of farmer (``require_all=False``: all
+    municipalities). Output names keep the source spelling
+    ``registred_percentage``."""
+    c = _both_sides(t, require_all)
     return c.select(
         "rbsba_registered", "rbsba_unregistered", "total_num",
         mysql_ratio_pct("rbsba_registered", "total_num", 2, div_scale).alias("registred_percentage"),
@@ -88,9 +92,9 @@ def rbsba_table(t: Tables, div_scale: int | None = 4) -> DataFrame:
     ).orderBy("muni_name")
 
 
-def rbsba_per_muni(t: Tables) -> DataFrame:
+def rbsba_per_muni(t: Tables, require_all: bool = True) -> DataFrame:
     """RG5: both counts per municipality, most registered first."""
-    c = _both_sides(t)
+    c = _both_sides(t, require_all)
     return c.select("rbsba_registered", "rbsba_unregistered", "muni_name").orderBy(
         F.col("rbsba_registered").desc(), "muni_name"
     )

@@ -33,6 +33,8 @@ def test_one_sided_municipality(make_tables):
     assert [r.muni_name for r in registration.rbsba_table(t).collect()] == ["Alpha"]
     assert [r.muni_name for r in registration.rbsba_per_muni(t).collect()] == ["Alpha"]
     assert sorted(r.muni_name for r in registration.rbsba_percent_by_muni(t).collect()) == ["Alpha", "Beta"]
+    kept = {r.muni_name: (r.rbsba_registered, r.rbsba_unregistered) for r in registration.rbsba_table(t, require_all=False).collect()}
+    assert kept == {"Alpha": (1, 1), "Beta": (1, 0)}
 
 
 def test_one_sided_year(make_tables):
@@ -41,6 +43,7 @@ def test_one_sided_year(make_tables):
         R(fname="C", gender="M", gathered="1999-01-01"),
     ])
     assert rows(gender.gender_line(t)) == [(2000, 1, 1)]
+    assert rows(gender.gender_line(t, require_all=False)) == [(1999, 1, 0), (2000, 1, 1)]
 
 
 def test_person_on_both_sides(make_tables):
