@@ -74,7 +74,8 @@ class Tables:
         dfs = {name: spark.read.parquet(f"{path}/{name}") for name in CURATED}
         return cls(**dfs, **kw)
 
-    def write(self, path: str, files: int | None = None, max_records_per_file: int = 20_000_000) -> "Tables":
+    def write(self, path: str, files: int | None = None, max_records_per_file: int = 20_000_000,
+              parallel: int = 4) -> "Tables":
         """Write every table as parquet; return Tables reading them back.
 
         Facts are range-partitioned by their date into ``files`` files
@@ -84,15 +85,19 @@ class Tables:
         as many splits as files. The range key is (date, hash of the row): a
         date holding a third of all rows is cut across many files instead of
         landing in one task. ``max_records_per_file`` caps file size.
-        Dimensions are written as they are.
+        Dimensions are written as they are. The tables are independent, so
+        up to ``parallel`` writes run as concurrent Spark jobs.
         """
+        from concurrent.futures import ThreadPoolExecutor
+
         spark = self.spark
         n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
         sort_keys = {
             "qp_farmer_raw": "raw_dgathered", "harvest_data": "year_gathered",
             "qp_price": "date", "weather_data": "date", "pests": "id",
         }
-        for name in CURATED:
+
+        def write_one(name: str) -> None:
             df = getattr(self, name)
             if name in sort_keys:
                 key = sort_keys[name]
@@ -100,6 +105,9 @@ class Tables:
                 df = (df.withColumn("_spread", spread).repartitionByRange(n, key, "_spread")
                       .sortWithinPartitions(key).drop("_spread"))
             df.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).parquet(f"{path}/{name}")
+
+        with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+            list(pool.map(write_one, CURATED))
         return Tables.from_curated(spark, path, dim_max_rows=self.dim_max_rows)
 
     def with_collation(self, collation: str = "UTF8_LCASE") -> "Tables":
