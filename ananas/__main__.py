@@ -2,6 +2,7 @@
 
     python -m ananas curate  --sf-dir /root/testdata/sf0.1 --out PATH
     python -m ananas load    --feed survey --source DIR --target PATH --rejects PATH [--muni PATH]
+    python -m ananas stream  --feed price --source DIR --out DIR --checkpoint DIR [--once] [--muni PATH]
     python -m ananas report  NAME --curated PATH [--as-of 2001-06-30] [--muni NATION_3] [--year 2000] [--out PATH]
     python -m ananas list
 """
@@ -25,6 +26,13 @@ def main(argv=None) -> int:
     ld.add_argument("--target", required=True)
     ld.add_argument("--rejects", required=True)
     ld.add_argument("--muni", help="tbl_muni parquet, for the survey feed's municipality ids")
+    st = sub.add_parser("stream", help="ingest new CSV files dropped into a folder (Structured Streaming)")
+    st.add_argument("--feed", required=True, choices=["survey", "soil", "price", "harvest", "pests"])
+    st.add_argument("--source", required=True)
+    st.add_argument("--out", required=True)
+    st.add_argument("--checkpoint", required=True)
+    st.add_argument("--once", action="store_true", help="process the files present now, then stop")
+    st.add_argument("--muni", help="tbl_muni parquet, for the survey feed's municipality ids")
     r = sub.add_parser("report", help="run one registered report")
     r.add_argument("name")
     r.add_argument("--curated", required=True)
@@ -50,7 +58,7 @@ def main(argv=None) -> int:
     if a.cmd == "curate":
         Tables.from_synthetic(spark, a.sf_dir).write(a.out)
         return 0
-    if a.cmd == "load":
+    if a.cmd in ("load", "stream"):
         feed = feeds.FEEDS[a.feed]
         transform = None
         if a.feed == "survey":
@@ -58,8 +66,17 @@ def main(argv=None) -> int:
                 p.error("--muni is required for the survey feed")
             muni = spark.read.parquet(a.muni)
             transform = lambda good: feeds.curate_survey(good, muni)
-        ok, bad = feeds.load_feed(spark, a.source, feed, a.target, a.rejects, transform)
-        print(f"accepted {ok} rejected {bad}")
+        if a.cmd == "load":
+            ok, bad = feeds.load_feed(spark, a.source, feed, a.target, a.rejects, transform)
+            print(f"accepted {ok} rejected {bad}")
+            return 0
+        from ananas.streaming import ingest as stream
+
+        paths = stream.StreamPaths(a.source, a.out, a.checkpoint)
+        if a.once:
+            stream.run_once(spark, feed, paths, transform)
+        else:
+            stream.start_feed_stream(spark, feed, paths, transform, available_now=False).awaitTermination()
         return 0
     as_of = dt.date.fromisoformat(a.as_of) if a.as_of else AS_OF
     table = reports(as_of, a.muni or MUNI, a.year or HARVEST_YEAR)
