@@ -126,7 +126,8 @@ def number_rows(
     ``salt`` sub-buckets by a hash of the whole row. Equal values may be
     numbered in any order, so the result is still a row numbering by
     ``order_col``; the hot value's rows come first in its bucket, as it is
-    the bucket's lower bound. With a unique ``order_col`` (the reference
+    the bucket's lower bound. NULLs come first, as in an ascending SQL sort,
+    and are spread the same way. With a unique ``order_col`` (the reference
     numbers by ``id``) the numbers are deterministic.
     """
     if rel_error is None:
@@ -141,14 +142,11 @@ def number_rows(
     from pyspark.sql.window import Window
 
     value = F.col(order_col)
-    keyed = df.withColumn("_bucket", _bucket_of(value, bounds))
-    if hot:
-        row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
-        keyed = keyed.withColumn(
-            "_sub", F.when(value.isin(*hot), F.pmod(row_hash, F.lit(salt))).otherwise(F.lit(salt)).cast("int")
-        )
-    else:
-        keyed = keyed.withColumn("_sub", F.lit(0))
+    # NULLs sort first (bucket -1) and, like a hot value, are spread by a row hash
+    keyed = df.withColumn("_bucket", F.when(value.isNull(), F.lit(-1)).otherwise(_bucket_of(value, bounds)))
+    spread = value.isNull() | value.isin(*hot) if hot else value.isNull()
+    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
+    keyed = keyed.withColumn("_sub", F.when(spread, F.pmod(row_hash, F.lit(salt))).otherwise(F.lit(salt)).cast("int"))
     counts = keyed.groupBy("_bucket", "_sub").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_bucket", "_sub",

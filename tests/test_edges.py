@@ -194,3 +194,13 @@ def test_collation_makes_names_case_insensitive(make_tables):
     assert rows(farmers.muni_farmer_count(ci, "alpha")) == [(0,)]  # farmer_demo is empty here
     assert rows(area.muni_area_total(ci, "ALPHA")) == [(D("2.00"),)]
     assert [r.muni_select for r in market.municipality_picklist(ci).collect()] == ["Camarines Norte", "Alpha"]
+
+
+def test_numbering_puts_nulls_first(spark):
+    from ananas.operators.aggregates import number_rows
+
+    data = [(None, f"n{i}") for i in range(50)] + [(i, f"v{i}") for i in range(1, 101)]
+    df = spark.createDataFrame(data, "id long, name string")
+    out = sorted((r.row_number, r.id) for r in number_rows(df, "id", buckets=8, salt=4).collect())
+    assert [n for n, _ in out] == list(range(1, 151))
+    assert all(i is None for _, i in out[:50]) and [i for _, i in out[50:]] == list(range(1, 101))
