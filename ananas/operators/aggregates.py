@@ -109,6 +109,7 @@ def number_rows(
     buckets: int = 256,
     rel_error: float | None = None,
     salt: int = 64,
+    ordered: bool = False,
 ) -> DataFrame:
     """``ROW_NUMBER() OVER (ORDER BY order_col)`` without a one-partition window.
 
@@ -128,7 +129,8 @@ def number_rows(
     ``order_col``; the hot value's rows come first in its bucket, as it is
     the bucket's lower bound. NULLs come first, as in an ascending SQL sort,
     and are spread the same way. With a unique ``order_col`` (the reference
-    numbers by ``id``) the numbers are deterministic.
+    numbers by ``id``) the numbers are deterministic. ``ordered=True``
+    returns the rows in number order.
     """
     if rel_error is None:
         rel_error = 1.0 / (4 * buckets)
@@ -155,12 +157,16 @@ def number_rows(
         ).alias("_offset"),
     )
     local = F.row_number().over(Window.partitionBy("_bucket", "_sub").orderBy(value))
-    numbered = keyed.withColumn("_local", local)
-    return (
+    # range-partitioned on the bucket key, so partitions come out in number order and a
+    # final sort by number needs no further exchange
+    numbered = keyed.repartitionByRange("_bucket", "_sub").withColumn("_local", local)
+    result = (
         numbered.join(F.broadcast(offsets), ["_bucket", "_sub"], "inner")  # <= buckets * (salt + 1) rows
         .withColumn(out, (F.col("_offset") + F.col("_local")).cast("long"))
-        .drop("_bucket", "_sub", "_offset", "_local")
     )
+    if ordered:
+        result = result.orderBy("_bucket", "_sub", order_col)
+    return result.drop("_bucket", "_sub", "_offset", "_local")
 
 
 def rank_small(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:

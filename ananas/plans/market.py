@@ -52,8 +52,8 @@ def pest_list(t: Tables, category: str, buckets: int = 256) -> DataFrame:
     window per bucket and a broadcast running total of bucket sizes, instead
     of one window over every row on a single task."""
     p = t.pests.where(F.col("category") == F.lit(category)).select("id", "name", "description", "percent")
-    n = number_rows(p, "id", "count_", buckets=buckets)
-    return n.select("count_", "name", "description", "percent").orderBy("count_")
+    n = number_rows(p, "id", "count_", buckets=buckets, ordered=True)
+    return n.select("count_", "name", "description", "percent")
 
 
 def common_pest(t: Tables) -> DataFrame:
