@@ -16,6 +16,15 @@ def _norm(v):
     return repr(round(v, 6)) if isinstance(v, float) else repr(v)
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "date": "DATE"}
+
+
+def _duck_type(spark_type: str) -> str:
+    if spark_type.startswith("decimal"):
+        return spark_type.upper().replace(" ", "")
+    return _TYPES.get(spark_type, spark_type)
+
+
 def _bag(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return collections.Counter(tuple(_norm(r[i]) for i in order) for r in rows)
@@ -43,6 +52,8 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(s_cols) == sorted(d_cols)
     assert len(s_rows) == len(d_rows)
     assert _bag(s_cols, s_rows) == _bag(d_cols, d_rows)
+    d_types = {r[0]: r[1].replace(" ", "") for r in duck.execute(f"describe {E.oracle_sql()[name]}").fetchall()}
+    assert {c: _duck_type(t) for c, t in df.dtypes} == d_types
 
 
 def test_entry_smoke(spark):
