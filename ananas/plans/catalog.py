@@ -17,6 +17,9 @@ HARVEST_YEAR = 2000
 
 Report = Callable[[Tables], DataFrame]
 
+# Registered a second time under the blueprint's key (same plan as another entry).
+ALIASES = frozenset({"column_projection_scan", "general_data"})
+
 
 def reports(as_of: dt.date = AS_OF, muni: str = MUNI, harvest_year: int = HARVEST_YEAR) -> dict[str, Report]:
     return {
@@ -25,6 +28,7 @@ def reports(as_of: dt.date = AS_OF, muni: str = MUNI, harvest_year: int = HARVES
         "farmers_directory_ws": lambda t: farmers.farmers_directory(t, "ws"),
         "survey_directory": farmers.survey_directory,
         "survey_names": farmers.survey_names,
+        "column_projection_scan": farmers.survey_names,
         "farmers_directory_page": lambda t: farmers.farmers_directory_page(t, "household", 3, 8),
         "farmer_count_total": farmers.farmer_count_total,
         "farmer_count_by_year": farmers.farmer_count_by_year,
@@ -88,6 +92,7 @@ def reports(as_of: dt.date = AS_OF, muni: str = MUNI, harvest_year: int = HARVES
         "municipality_picklist": market.municipality_picklist,
         "general_data_totals": dashboard.general_data_totals,
         "general_data_price": lambda t: dashboard.general_data(t)["qp_price"],
+        "general_data": dashboard.general_data_totals,
         "muni_dashboard": lambda t: dashboard.muni_dashboard(t, muni),
         # ingest, sync and streaming jobs (S2-S7, N1-N3, ST1)
         **jobs.JOBS,

@@ -147,6 +147,39 @@ def stream_ingest_price(t: Tables) -> DataFrame:
     return stream.read_accepted(t.spark, paths).drop("_source", "batch_id")
 
 
+def csv_source(t: Tables) -> DataFrame:
+    """S1: the price feed read back as text, every field a string."""
+    path = _write_csv(price_feed(t), staging_path(t.spark, "csv-source"))
+    return feeds.read_text(t.spark, path, feeds.PRICE).drop("_source", feeds.CORRUPT)
+
+
+def table_scan(t: Tables) -> DataFrame:
+    """S8: a curated table written as parquet and scanned back."""
+    path = staging_path(t.spark, "table-scan")
+    t.qp_price.write.mode("overwrite").parquet(path)
+    return feeds.read_table(t.spark, path).select("date", "med_price", "lg_price")
+
+
+def append_sink(t: Tables) -> DataFrame:
+    """S9: the price feed loaded twice into an empty table with ``load_feed``;
+    the second load adds nothing, so the table equals the feed."""
+    src = _write_csv(price_feed(t), staging_path(t.spark, "append-src"))
+    target, rejects = staging_path(t.spark, "append-out"), staging_path(t.spark, "append-rej")
+    for _ in range(2):
+        feeds.load_feed(t.spark, src, feeds.PRICE, target, rejects)
+    return feeds.read_table(t.spark, target).select("date", "med_price", "lg_price", "buyer_seller")
+
+
+def result_sink(t: Tables) -> DataFrame:
+    """S10: a report (AR5) written as JSON lines and read back with its schema."""
+    from ananas.plans import area
+
+    report = area.area_ranking(t)
+    path = staging_path(t.spark, "result-sink")
+    feeds.write_result(report, path)
+    return t.spark.read.schema(report.schema).json(path)
+
+
 def sync_farmer_id_job(t: Tables) -> DataFrame:
     """N1 on survey rows uploaded unsynced (``f_id = '1'``)."""
     q = t.qp_farmer_raw.withColumn("f_id", F.lit("1"))
@@ -174,6 +207,11 @@ def sync_barangay_id_job(t: Tables) -> DataFrame:
 
 
 JOBS = {
+    "csv_source": csv_source,
+    "table_scan": table_scan,
+    "append_sink": append_sink,
+    "result_sink": result_sink,
+    "stream_ingest": stream_ingest_price,
     "ingest_farmer_survey": ingest_farmer_survey,
     "ingest_price": ingest_price,
     "ingest_harvest": ingest_harvest,

@@ -71,10 +71,11 @@ def read_text(spark: SparkSession, path: str, feed: Feed) -> DataFrame:
     The feed's headers are the schema and ``enforceSchema=false`` makes Spark
     check each file's header against them, so a file with other or
     reordered columns fails loudly instead of shifting values between
-    columns. ``_source`` is the file each row came from."""
+    columns. A blank cell is ``''``, as the upload form reads it.
+    ``_source`` is the file each row came from."""
     raw = spark.read.schema(feed.text_schema()).options(**csv_options()).csv(path)
     return raw.select(
-        *[F.col(f"`{h}`").alias(h) for h in feed.headers], CORRUPT,
+        *[F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(h) for h in feed.headers], CORRUPT,
         F.col("_metadata.file_path").alias("_source"),
     )
 
