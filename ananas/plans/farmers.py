@@ -11,6 +11,16 @@ from ananas.plans.common import farmers_with_muni, raw_person, survey_with_muni
 from ananas.sources.tables import Tables
 
 
+def distinct_farmers(key, alias: str, approx_rsd: float | None = None):
+    """``COUNT(DISTINCT key)``: exact by default; with ``approx_rsd`` a
+    HyperLogLog++ estimate with that relative standard deviation, which
+    shuffles one small sketch per group and map task instead of the distinct
+    (group, key) pairs."""
+    if approx_rsd is None:
+        return F.count_distinct(key).alias(alias)
+    return F.approx_count_distinct(key, approx_rsd).alias(alias)
+
+
 def _fullname(mode: str, first: str, middle: str, last: str):
     if mode == "strict":  # CONCAT: a NULL part makes the name NULL
         return F.concat(F.col(first), F.lit(" "), F.col(middle), F.lit(" "), F.col(last))
@@ -70,17 +80,17 @@ def farmers_directory_page(t: Tables, term: str | None = None, number: int = 1,
     return page(farmers_directory(t, "ws"), ["f_id"], number, size, term)
 
 
-def farmer_count_total(t: Tables) -> DataFrame:
+def farmer_count_total(t: Tables, approx_rsd: float | None = None) -> DataFrame:
     """FA4: distinct farmers (unseparated name key) in the survey."""
-    return t.qp_farmer_raw.agg(F.count_distinct(raw_person("strict")).alias("count_farmer"))
+    return t.qp_farmer_raw.agg(distinct_farmers(raw_person("strict"), "count_farmer", approx_rsd))
 
 
-def farmer_count_by_year(t: Tables) -> DataFrame:
+def farmer_count_by_year(t: Tables, approx_rsd: float | None = None) -> DataFrame:
     """FA5: distinct farmers per year gathered (a NULL year is a group)."""
     q = t.qp_farmer_raw
     return (
         q.groupBy(year_of("raw_dgathered").alias("year_"))
-        .agg(F.count_distinct(raw_person("strict")).alias("count_farmer"))
+        .agg(distinct_farmers(raw_person("strict"), "count_farmer", approx_rsd))
         .select("count_farmer", "year_")
         .orderBy("year_")
     )
@@ -97,35 +107,35 @@ def farmer_count_series(t: Tables) -> DataFrame:
     return r.orderBy(F.col("_is_total").desc(), F.col("_order")).select(count.alias("count_farmer"), "year_")
 
 
-def farmer_count_permuni(t: Tables) -> DataFrame:
+def farmer_count_permuni(t: Tables, approx_rsd: float | None = None) -> DataFrame:
     """FA7: distinct farmers (``CONCAT_WS`` key) per municipality, ascending."""
     j = survey_with_muni(t, "raw_fname", "raw_mname", "raw_lname")
     return (
         j.groupBy("raw_municipality", "muni_name")
-        .agg(F.count_distinct(raw_person("ws")).alias("farmer_count_per_muni"))
+        .agg(distinct_farmers(raw_person("ws"), "farmer_count_per_muni", approx_rsd))
         .select("farmer_count_per_muni", "muni_name")
         .orderBy("farmer_count_per_muni", "muni_name")
     )
 
 
-def farmer_count_peryear(t: Tables) -> DataFrame:
+def farmer_count_peryear(t: Tables, approx_rsd: float | None = None) -> DataFrame:
     """FA8: distinct farmers per year, only rows with a known municipality."""
     j = survey_with_muni(t, "raw_fname", "raw_mname", "raw_lname", "raw_dgathered")
     return (
         j.groupBy(year_of("raw_dgathered").alias("year_gathered"))
-        .agg(F.count_distinct(raw_person("ws")).alias("farmer_count_per_year"))
+        .agg(distinct_farmers(raw_person("ws"), "farmer_count_per_year", approx_rsd))
         .select("farmer_count_per_year", "year_gathered")
         .orderBy("year_gathered")
     )
 
 
-def farmer_count_peryear_permuni(t: Tables, muni_name: str) -> DataFrame:
+def farmer_count_peryear_permuni(t: Tables, muni_name: str, approx_rsd: float | None = None) -> DataFrame:
     """FA9: FA8 for one municipality name."""
     j = survey_with_muni(t, "raw_fname", "raw_mname", "raw_lname", "raw_dgathered")
     return (
         j.where(F.col("muni_name") == F.lit(muni_name))
         .groupBy(year_of("raw_dgathered").alias("year_gathered"), "muni_name")
-        .agg(F.count_distinct(raw_person("ws")).alias("farmer_count_per_year"))
+        .agg(distinct_farmers(raw_person("ws"), "farmer_count_per_year", approx_rsd))
         .select("farmer_count_per_year", "year_gathered", "muni_name")
         .orderBy("year_gathered")
     )

@@ -204,3 +204,9 @@ def test_numbering_puts_nulls_first(spark):
     out = sorted((r.row_number, r.id) for r in number_rows(df, "id", buckets=8, salt=4).collect())
     assert [n for n, _ in out] == list(range(1, 151))
     assert all(i is None for _, i in out[:50]) and [i for _, i in out[50:]] == list(range(1, 101))
+
+
+def test_accent_insensitive_collation(make_tables):
+    t = make_tables(qp_farmer_raw=[R(fname="José", mname="M", lname="Cruz"), R(fname="JOSE", mname="m", lname="cruz")])
+    assert rows(farmers.farmer_count_total(t.with_collation("UTF8_LCASE"))) == [(2,)]
+    assert rows(farmers.farmer_count_total(t.with_collation("UNICODE_CI_AI"))) == [(1,)]

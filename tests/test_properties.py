@@ -118,3 +118,10 @@ def test_reloading_a_file_adds_nothing(spark):
     assert feeds.load_feed(spark, src, feeds.PRICE, target, rejects) == (2, 1)
     keys = [(r._source, r.ingest_row) for r in spark.read.parquet(target).collect()]
     assert len(set(keys)) == 2
+
+
+def test_approximate_distinct_is_close(synthetic):
+    exact = {r.muni_name: r.farmer_count_per_muni for r in farmers.farmer_count_permuni(synthetic).collect()}
+    approx = {r.muni_name: r.farmer_count_per_muni for r in farmers.farmer_count_permuni(synthetic, approx_rsd=0.02).collect()}
+    assert set(exact) == set(approx)
+    assert all(abs(approx[k] - exact[k]) <= max(2, 0.1 * exact[k]) for k in exact)
