@@ -196,8 +196,9 @@ def load_feed(
         if transform is not None:
             good = transform(good)
         append(with_ingest_id(_not_loaded(good, _loaded_files(spark, target))), target)
-        bad_new = _not_loaded(bad, _loaded_files(spark, rejects))
-        if _loaded_files(spark, rejects) is None or not bad_new.isEmpty():
+        loaded_rejects = _loaded_files(spark, rejects)
+        bad_new = _not_loaded(bad, loaded_rejects)
+        if loaded_rejects is None or not bad_new.isEmpty():
             append(bad_new, rejects)
         return spark.read.parquet(target).count(), spark.read.parquet(rejects).count()
     finally:
