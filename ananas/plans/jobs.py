@@ -147,6 +147,18 @@ def stream_ingest_price(t: Tables) -> DataFrame:
     return stream.read_accepted(t.spark, paths).drop("_source", "batch_id")
 
 
+def stream_ingest_survey(t: Tables) -> DataFrame:
+    """ST1 + N2: the survey feed through the drop-folder stream; each
+    micro-batch replaces municipality names by ids (a stream-static join
+    with the municipality list)."""
+    src = _write_csv(survey_feed(t), staging_path(t.spark, "survey-drop"))
+    base = staging_path(t.spark, "survey-stream")
+    paths = stream.StreamPaths(source=src, output=f"{base}/out", checkpoint=f"{base}/checkpoint")
+    muni = t.tbl_muni
+    stream.run_once(t.spark, feeds.SURVEY, paths, transform=lambda good: feeds.curate_survey(good, muni))
+    return stream.read_accepted(t.spark, paths).select(*SURVEY_OUT)
+
+
 def csv_source(t: Tables) -> DataFrame:
     """S1: the price feed read back as text, every field a string."""
     path = _write_csv(price_feed(t), staging_path(t.spark, "csv-source"))
@@ -212,6 +224,7 @@ JOBS = {
     "append_sink": append_sink,
     "result_sink": result_sink,
     "stream_ingest": stream_ingest_price,
+    "stream_ingest_survey": stream_ingest_survey,
     "ingest_farmer_survey": ingest_farmer_survey,
     "ingest_price": ingest_price,
     "ingest_harvest": ingest_harvest,
