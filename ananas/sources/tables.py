@@ -69,10 +69,43 @@ class Tables:
         return cls(**adapters.domain_tables(raw), **kw)
 
     @classmethod
-    def from_curated(cls, spark: SparkSession, path: str, **kw) -> "Tables":
-        """Curated parquet tables written by :meth:`write`."""
+    def from_curated(cls, spark: SparkSession, path: str, validate: bool = True, **kw) -> "Tables":
+        """Curated parquet tables written by :meth:`write` (or by any job that
+        follows :mod:`ananas.sources.schemas`); checked with :meth:`validate`."""
         dfs = {name: spark.read.parquet(f"{path}/{name}") for name in CURATED}
-        return cls(**dfs, **kw)
+        t = cls(**dfs, **kw)
+        return t.validate() if validate else t
+
+    def validate(self) -> "Tables":
+        """Check every table has the columns of its curated schema with a
+        compatible type (same type family; decimals of any precision, text of
+        any collation). Extra columns are allowed. Only schemas are read."""
+        from ananas.sources import schemas
+
+        expected = {
+            "qp_farmer_raw": schemas.QP_FARMER_RAW, "farmer_demo": schemas.FARMER_DEMO,
+            "tbl_muni": schemas.TBL_MUNI, "tbl_barangay": schemas.TBL_BARANGAY,
+            "harvest_data": schemas.HARVEST_DATA, "qp_price": schemas.QP_PRICE,
+            "weather_data": schemas.WEATHER_DATA, "pests": schemas.PESTS,
+        }
+
+        def family(t) -> str:
+            name = t.typeName()
+            if name in ("byte", "short", "integer", "long"):
+                return "integral"
+            return name
+
+        problems = []
+        for name, schema in expected.items():
+            have = {f.name: f.dataType for f in getattr(self, name).schema.fields}
+            for f in schema.fields:
+                if f.name not in have:
+                    problems.append(f"{name}.{f.name} is missing")
+                elif family(have[f.name]) != family(f.dataType):
+                    problems.append(f"{name}.{f.name} is {have[f.name].simpleString()}, expected {f.dataType.simpleString()}")
+        if problems:
+            raise ValueError("curated tables do not match their schemas: " + "; ".join(problems))
+        return self
 
     def write(self, path: str, files: int | None = None, max_records_per_file: int = 20_000_000,
               parallel: int = 4) -> "Tables":

@@ -210,3 +210,14 @@ def test_accent_insensitive_collation(make_tables):
     t = make_tables(qp_farmer_raw=[R(fname="José", mname="M", lname="Cruz"), R(fname="JOSE", mname="m", lname="cruz")])
     assert rows(farmers.farmer_count_total(t.with_collation("UTF8_LCASE"))) == [(2,)]
     assert rows(farmers.farmer_count_total(t.with_collation("UNICODE_CI_AI"))) == [(1,)]
+
+
+def test_validate_names_missing_and_mistyped_columns(make_tables, spark):
+    import pytest
+
+    t = make_tables()
+    assert t.validate() is t
+    bad = make_tables()
+    bad.qp_price = bad.qp_price.drop("lg_price").withColumn("date", bad.qp_price["date"].cast("string"))
+    with pytest.raises(ValueError, match=r"qp_price.date is string, expected date; qp_price.lg_price is missing"):
+        bad.validate()
