@@ -57,18 +57,19 @@ def start_feed_stream(
     transform=None,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
+    interval: str = "30 seconds",
 ) -> StreamingQuery:
     """Start the stream for one feed. ``transform`` runs on accepted rows
     (e.g. N2 for the survey feed, a stream-static join with the municipality
     list). With ``available_now`` the stream processes what is in the folder
-    and stops."""
+    and stops; otherwise it looks for new files every ``interval``."""
     reader = spark.readStream.schema(feed.text_schema()).options(**feeds.csv_options())
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     text = reader.csv(paths.source).withColumn("_source", F.col("_metadata.file_path"))
     parsed = feeds.parse(text, feed)
     writer = parsed.writeStream.foreachBatch(_write_batch(paths, transform)).option("checkpointLocation", paths.checkpoint)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     return writer.start()
 
 

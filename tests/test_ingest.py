@@ -192,3 +192,19 @@ def test_load_completes_a_half_done_job(spark):
     feeds.append(feeds.with_ingest_id(good), target)  # the job died before writing its rejects
     assert feeds.load_feed(spark, src, feeds.PRICE, target, rejects) == (1, 2)
     assert feeds.load_feed(spark, src, feeds.PRICE, target, rejects) == (1, 2)
+
+
+def test_continuous_stream_picks_up_new_files(spark):
+    src = staging_path(spark, "t-live-drop")
+    _write(src, "a.csv", "DATE,Medium,Large,BUYER/SELLER\n2001-03-01,1,2,x\n")
+    base = staging_path(spark, "t-live")
+    paths = stream.StreamPaths(src, f"{base}/out", f"{base}/ckpt")
+    q = stream.start_feed_stream(spark, feeds.PRICE, paths, available_now=False, interval="1 second")
+    try:
+        q.processAllAvailable()
+        assert stream.read_accepted(spark, paths).count() == 1
+        _write(src, "b.csv", "DATE,Medium,Large,BUYER/SELLER\n2001-03-02,1,2,y\n2001-03-03,1,2,z\n")
+        q.processAllAvailable()
+        assert stream.read_accepted(spark, paths).count() == 3
+    finally:
+        q.stop()
