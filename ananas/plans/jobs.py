@@ -19,6 +19,9 @@ from ananas.sources import feeds, weather
 from ananas.sources.tables import Tables
 from ananas.streaming import ingest as stream
 
+# Files per micro-batch, so a large drop is processed in bounded batches.
+STREAM_FILES_PER_BATCH = 1000
+
 SURVEY_OUT = (
     "raw_municipality", "raw_barangay", "raw_fname", "raw_mname", "raw_lname", "raw_gender", "raw_bdate",
     "raw_area", "raw_population", "raw_dgathered", "raw_dharvest", "RBSBA", "tenurial",
@@ -155,7 +158,8 @@ def stream_ingest_survey(t: Tables) -> DataFrame:
     base = staging_path(t.spark, "survey-stream")
     paths = stream.StreamPaths(source=src, output=f"{base}/out", checkpoint=f"{base}/checkpoint")
     muni = t.tbl_muni
-    stream.run_once(t.spark, feeds.SURVEY, paths, transform=lambda good: feeds.curate_survey(good, muni))
+    stream.run_once(t.spark, feeds.SURVEY, paths, transform=lambda good: feeds.curate_survey(good, muni),
+                    max_files_per_trigger=STREAM_FILES_PER_BATCH)
     return stream.read_accepted(t.spark, paths).select(*SURVEY_OUT)
 
 
