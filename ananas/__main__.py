@@ -33,6 +33,7 @@ def main(argv=None) -> int:
     st.add_argument("--checkpoint", required=True)
     st.add_argument("--once", action="store_true", help="process the files present now, then stop")
     st.add_argument("--muni", help="tbl_muni parquet, for the survey feed's municipality ids")
+    st.add_argument("--max-files", type=int, default=1000, help="files per micro-batch (bounds batch size)")
     r = sub.add_parser("report", help="run one registered report")
     r.add_argument("name")
     r.add_argument("--curated", required=True)
@@ -74,9 +75,10 @@ def main(argv=None) -> int:
 
         paths = stream.StreamPaths(a.source, a.out, a.checkpoint)
         if a.once:
-            stream.run_once(spark, feed, paths, transform)
+            stream.run_once(spark, feed, paths, transform, max_files_per_trigger=a.max_files)
         else:
-            stream.start_feed_stream(spark, feed, paths, transform, available_now=False).awaitTermination()
+            stream.start_feed_stream(spark, feed, paths, transform, available_now=False,
+                                     max_files_per_trigger=a.max_files).awaitTermination()
         return 0
     as_of = dt.date.fromisoformat(a.as_of) if a.as_of else AS_OF
     table = reports(as_of, a.muni or MUNI, a.year or HARVEST_YEAR)
