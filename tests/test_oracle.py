@@ -62,3 +62,11 @@ def test_entry_smoke(spark):
     assert len(rows) > 0
     assert df.columns == ["muni_name", "sum_area", "area_rank"]
     assert [r.area_rank for r in rows] == list(range(1, len(rows) + 1))
+
+
+def test_oracle_uses_the_catalog_parameters():
+    from ananas import oracle
+    from ananas.plans import catalog
+
+    assert (oracle.AS_OF_YEAR, oracle.MUNI, oracle.HARVEST_YEAR) == (catalog.AS_OF.year, catalog.MUNI, catalog.HARVEST_YEAR)
+    assert "2001 - year(" in oracle.age("b") and (catalog.AS_OF.month, catalog.AS_OF.day) == (6, 30)
