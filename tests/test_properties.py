@@ -125,3 +125,28 @@ def test_approximate_distinct_is_close(synthetic):
     approx = {r.muni_name: r.farmer_count_per_muni for r in farmers.farmer_count_permuni(synthetic, approx_rsd=0.02).collect()}
     assert set(exact) == set(approx)
     assert all(abs(approx[k] - exact[k]) <= max(2, 0.1 * exact[k]) for k in exact)
+
+
+_names = st.sampled_from([None, "", "A", "B", "AB"])
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([None, "1", "2"]), _names, _names, _names, st.sampled_from([None, "", "R", " "])),
+                min_size=1, max_size=120))
+def test_flag_counts_match_brute_force(spark, rows):
+    df = spark.createDataFrame(rows, "g string, f string, m string, l string, r string")
+    person = F.concat_ws("|", "f", "m", "l")
+    reg = F.coalesce(F.col("r"), F.lit("")) != ""
+    got = {r.g: (r.reg, r.unreg, r.total_num) for r in flag_counts(
+        df, ["g"], person, {"reg": reg, "unreg": ~reg}).collect()}
+
+    def key(f, m, l):
+        return "|".join(p for p in (f, m, l) if p is not None)
+
+    want = {}
+    for g in {row[0] for row in rows}:
+        mine = [row for row in rows if row[0] == g]
+        regs = {key(*row[1:4]) for row in mine if (row[4] or "") != ""}
+        unregs = {key(*row[1:4]) for row in mine if (row[4] or "") == ""}
+        want[g] = (len(regs), len(unregs), len({key(*row[1:4]) for row in mine}))
+    assert got == want
