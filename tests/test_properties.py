@@ -150,3 +150,15 @@ def test_flag_counts_match_brute_force(spark, rows):
         unregs = {key(*row[1:4]) for row in mine if (row[4] or "") == ""}
         want[g] = (len(regs), len(unregs), len({key(*row[1:4]) for row in mine}))
     assert got == want
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-5, 5), st.integers(-10**6, 10**6)), min_size=1, max_size=300))
+def test_number_rows_is_an_ordered_numbering(spark, values):
+    from ananas.operators.aggregates import number_rows
+
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v long, tag long")
+    out = sorted((r.n, r.v) for r in number_rows(df, "v", "n", buckets=8, salt=4).collect())
+    assert [n for n, _ in out] == list(range(1, len(values) + 1))
+    order = [(v is not None, v if v is not None else 0) for _, v in out]
+    assert order == sorted(order)
