@@ -162,3 +162,17 @@ def test_number_rows_is_an_ordered_numbering(spark, values):
     assert [n for n, _ in out] == list(range(1, len(values) + 1))
     order = [(v is not None, v if v is not None else 0) for _, v in out]
     assert order == sorted(order)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([None, 1999, 2000]), st.sampled_from([None, "a", "b", "c"])), max_size=60))
+def test_total_row_matches_brute_force(spark, rows):
+    from ananas.operators.aggregates import with_total_row
+
+    df = spark.createDataFrame(rows, "y long, k string")
+    out = {(r.key, r._is_total): r.n for r in with_total_row(
+        df, F.col("y"), "key", [F.count_distinct("k").alias("n")]).collect()}
+    want = {("all", True): len({k for _, k in rows if k is not None}) if rows else None}
+    for y in {y for y, _ in rows}:
+        want[(None if y is None else str(y), False)] = len({k for yy, k in rows if yy == y and k is not None})
+    assert out == want
