@@ -176,3 +176,17 @@ def test_total_row_matches_brute_force(spark, rows):
     for y in {y for y, _ in rows}:
         want[(None if y is None else str(y), False)] = len({k for yy, k in rows if yy == y and k is not None})
     assert out == want
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.dates(min_value=__import__("datetime").date(1900, 1, 1), max_value=__import__("datetime").date(2030, 12, 31)),
+                min_size=1, max_size=200),
+       st.dates(min_value=__import__("datetime").date(1990, 1, 1), max_value=__import__("datetime").date(2030, 12, 31)))
+def test_age_is_completed_years(spark, births, as_of):
+    from ananas.functions.exprs import age_at
+
+    df = spark.createDataFrame([(b,) for b in births], "b date")
+    for r in df.select("b", age_at("b", as_of).alias("age")).collect():
+        b = r.b
+        want = as_of.year - b.year - ((as_of.month, as_of.day) < (b.month, b.day))
+        assert r.age == want
