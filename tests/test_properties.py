@@ -190,3 +190,17 @@ def test_age_is_completed_years(spark, births, as_of):
         b = r.b
         want = as_of.year - b.year - ((as_of.month, as_of.day) < (b.month, b.day))
         assert r.age == want
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.one_of(st.integers(-10**12, 10**12).map(str),
+                          st.decimals(min_value=-10**9, max_value=10**9, places=4, allow_nan=False).map(str)),
+                min_size=1, max_size=100))
+def test_format_currency_matches_the_page_regex(spark, texts):
+    import re
+
+    from ananas.functions.exprs import THOUSANDS_PATTERN, format_currency
+
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for r in df.select("s", format_currency("s").alias("out")).collect():
+        assert r.out == re.sub(THOUSANDS_PATTERN, r"\1,", r.s)
