@@ -204,3 +204,18 @@ def test_format_currency_matches_the_page_regex(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     for r in df.select("s", format_currency("s").alias("out")).collect():
         assert r.out == re.sub(THOUSANDS_PATTERN, r"\1,", r.s)
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.dictionaries(
+    st.dates(min_value=__import__("datetime").date(1999, 1, 1), max_value=__import__("datetime").date(2001, 12, 31)),
+    st.decimals(min_value=0, max_value=999, places=2, allow_nan=False), min_size=1, max_size=80))
+def test_weather_sheets_round_trip(spark, daily):
+    from ananas.sources import weather
+
+    df = spark.createDataFrame(sorted(daily.items()), "date date, rain_amount decimal(10,2)")
+    path = staging_path(spark, "t-weather-prop")
+    weather.write_sheets(df, path)
+    good, bad = weather.ingest_weather(spark, path)
+    assert sorted((r.date, r.rain_amount) for r in good.collect()) == sorted(daily.items())
+    assert bad.count() == 0
