@@ -219,3 +219,48 @@ def test_weather_sheets_round_trip(spark, daily):
     good, bad = weather.ingest_weather(spark, path)
     assert sorted((r.date, r.rain_amount) for r in good.collect()) == sorted(daily.items())
     assert bad.count() == 0
+
+
+_good_date = st.dates(min_value=__import__("datetime").date(1990, 1, 1),
+                      max_value=__import__("datetime").date(2030, 12, 31)).map(lambda d: d.isoformat())
+_good_num = st.decimals(min_value=-10**6, max_value=10**6, places=2, allow_nan=False).map(str)
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.tuples(st.one_of(_good_date, st.sampled_from(["2001-13-01", "x", "2001-02-30"])),
+                          st.one_of(_good_num, st.sampled_from(["abc", "1,5"])),
+                          _good_num, st.sampled_from(["", "Juan", "Ana, Co"])), min_size=1, max_size=60))
+def test_feed_parse_matches_a_model(spark, rows):
+    import csv
+    import datetime as dt
+    import os
+
+    src = staging_path(spark, "t-feed-prop")
+    os.makedirs(src)
+    with open(f"{src}/p.csv", "w", newline="") as fh:
+        w = csv.writer(fh)
+        w.writerow(["DATE", "Medium", "Large", "BUYER/SELLER"])
+        w.writerows(rows)
+    good, bad = feeds.ingest(spark, src, feeds.PRICE)
+
+    def date_ok(s):
+        try:
+            dt.date.fromisoformat(s)
+            return True
+        except ValueError:
+            return False
+
+    def num_ok(s):
+        try:
+            Decimal(s)
+            return "," not in s
+        except Exception:  # noqa: BLE001
+            return False
+
+    want_good = sorted((dt.date.fromisoformat(d), Decimal(m), Decimal(lg), b)
+                       for d, m, lg, b in rows if date_ok(d) and num_ok(m))
+    got_good = sorted((r.date, r.med_price, r.lg_price, r.buyer_seller) for r in good.collect())
+    assert got_good == want_good
+    want_bad = sorted(",".join(n for n, ok in (("date", date_ok(d)), ("med_price", num_ok(m))) if not ok)
+                      for d, m, _, _ in rows if not (date_ok(d) and num_ok(m)))
+    assert sorted(r._reject for r in bad.collect()) == want_bad
