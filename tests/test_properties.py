@@ -264,3 +264,29 @@ def test_feed_parse_matches_a_model(spark, rows):
     want_bad = sorted(",".join(n for n, ok in (("date", date_ok(d)), ("med_price", num_ok(m))) if not ok)
                       for d, m, _, _ in rows if not (date_ok(d) and num_ok(m)))
     assert sorted(r._reject for r in bad.collect()) == want_bad
+
+
+_part = st.sampled_from([None, "", "A", "B", "AB"])
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(_part, _part, _part), min_size=1, max_size=40),
+       st.lists(st.tuples(st.integers(1, 99).map(str), _part, _part, _part), max_size=40))
+def test_sync_farmer_id_matches_brute_force(spark, survey, demo):
+    from ananas.operators.sync import sync_farmer_id
+
+    s = spark.createDataFrame([("1", *r) for r in survey], "f_id string, raw_fname string, raw_mname string, raw_lname string")
+    d = spark.createDataFrame(demo, "f_id string, f_name string, m_name string, l_name string")
+    got = sorted((r.raw_fname or "~", r.raw_mname or "~", r.raw_lname or "~", r.f_id)
+                 for r in sync_farmer_id(s, d).collect())
+
+    def name(parts):
+        return None if any(p is None for p in parts) else "".join(parts)
+
+    best = {}
+    for fid, *parts in demo:
+        n = name(parts)
+        if n is not None:
+            best[n] = max(best.get(n, fid), fid)
+    want = sorted((f or "~", m or "~", l or "~", best.get(name((f, m, l)), "1")) for f, m, l in survey)
+    assert got == want
