@@ -290,3 +290,20 @@ def test_sync_farmer_id_matches_brute_force(spark, survey, demo):
             best[n] = max(best.get(n, fid), fid)
     want = sorted((f or "~", m or "~", l or "~", best.get(name((f, m, l)), "1")) for f, m, l in survey)
     assert got == want
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([None, "Pob", "San", "7"]), st.sampled_from([None, "1", "2"])), min_size=1, max_size=40),
+       st.lists(st.tuples(st.integers(1, 99).map(str), st.sampled_from(["Pob", "San", "Bay"]), st.sampled_from(["1", "2", "3"])),
+                max_size=20))
+def test_sync_barangay_matches_brute_force(spark, survey, dim):
+    from ananas.operators.sync import sync_barangay_id
+
+    s = spark.createDataFrame(survey, "raw_barangay string, raw_municipality string")
+    d = spark.createDataFrame(dim, "brgy_id string, brgy_name string, muni_id string")
+    got = sorted(((r.raw_barangay or "~"), (r.raw_municipality or "~")) for r in sync_barangay_id(s, d).collect())
+    best = {}
+    for bid, bname, mid in dim:
+        best[(bname, mid)] = max(best.get((bname, mid), bid), bid)
+    want = sorted(((best.get((b, m), b) or "~"), (m or "~")) for b, m in survey)
+    assert got == want
