@@ -62,3 +62,17 @@ def test_route_bundles_run(synthetic):
 def test_muni_dashboard_unknown_name_is_zero(synthetic):
     row = dashboard.muni_dashboard(synthetic, "Nowhere").collect()[0]
     assert (row.farmer_count, row.area_count) == (0, 0)
+
+
+def test_cli_report_takes_the_clock(spark, capsys):
+    import datetime as dt
+
+    from ananas.plans import population
+
+    out = staging_path(spark, "t-cli-clock")
+    assert main(["curate", "--sf-dir", SF_SMALL, "--out", f"{out}/cur"]) == 0
+    capsys.readouterr()
+    assert main(["report", "expected_harvest_total", "--curated", f"{out}/cur", "--as-of", "1998-03-01"]) == 0
+    printed = capsys.readouterr().out
+    want = population.expected_harvest_total(Tables.from_synthetic(spark, SF_SMALL), dt.date(1998, 3, 1)).collect()[0]
+    assert f"'expected_harvest': {want.expected_harvest}" in printed
