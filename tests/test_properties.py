@@ -307,3 +307,20 @@ def test_sync_barangay_matches_brute_force(spark, survey, dim):
         best[(bname, mid)] = max(best.get((bname, mid), bid), bid)
     want = sorted(((best.get((b, m), b) or "~"), (m or "~")) for b, m in survey)
     assert got == want
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["Ana Cruz", "ben diaz", None, "ANA B"]), st.sampled_from(["Alpha", "beta", None])),
+                min_size=1, max_size=40),
+       st.sampled_from(["", "ana", "ANA alpha", "z", "cruz  beta"]), st.integers(1, 3), st.integers(1, 7))
+def test_search_and_page_match_a_model(spark, rows, term, number, size):
+    df = spark.createDataFrame([(i, n, m) for i, (n, m) in enumerate(rows)], "id long, name string, muni string")
+    got = [r.id for r in page(df, ["id"], number, size, term).collect()]
+    words = term.lower().split()
+
+    def hit(i, n, m):
+        cells = [str(i), (n or "").lower(), (m or "").lower()]
+        return all(any(w in c for c in cells if c) for w in words)
+
+    found = [i for i, (n, m) in enumerate(rows) if hit(i, n, m)]
+    assert got == found[(number - 1) * size: number * size]
