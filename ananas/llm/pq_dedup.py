@@ -212,6 +212,7 @@ def _links(classes: DataFrame, cosine: float, probes: int, sample_rows: int, blo
     queries = queries.withColumn("item_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks", "parts")
     items = items.join(visits.withColumnRenamed("list", "home"), ["label", "home"]).withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("blocks", "parts")
     items = items.withColumnRenamed("home", "list")
+    items = items.toDF(*items.columns)  # columns of their own, for a join with rows of the same table
     key = ["label", "list", "item_block", "query_block"]
     join = _join(index, cosine)
     return queries.groupBy(*key).cogroup(items.groupBy(*key)).applyInPandas(join, "cls long, n long, to long")

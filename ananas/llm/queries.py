@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ananas.llm import decontaminate, langid, licenses, mixing, ngram_join, pq_dedup, secrets, suffix_dedup, toxicity, warc
+from ananas.llm.oracle import oracle_sql  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +72,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_suffix_dedup": op10,
         "pipeline": corpus_pipeline.run,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

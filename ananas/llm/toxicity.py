@@ -23,8 +23,8 @@ from ananas.llm.shared import small_side, written
 SAMPLE_ROWS = 6000
 #: Words the model looks at, besides the identity terms.
 WORDS = 1500
-#: A word must be in this many sampled texts.
-LEAST_TEXTS = 5
+#: A word must be in this many sampled texts, with this evidence (log-likelihood ratio, in nats) against chance.
+LEAST_TEXTS, LEAST_EVIDENCE = 5, 10.0
 FAIRNESS, RIDGE, STEPS = 2.0, 0.02, 400
 
 # Identity terms; terms at one place of two lists of an axis are counterparts.
@@ -95,7 +95,7 @@ def telling_words(sample: DataFrame, words: int = WORDS, least: int = LEAST_TEXT
     c = sample.mapInArrow(distinct, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("x"), F.sum(1 - F.col("toxic")).alias("y"))
     both = (F.col("x") + F.col("y")) / (a + b)
     part = lambda k, n: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n * both))).otherwise(0.0)
-    c = c.filter(F.col("x") + F.col("y") >= least).withColumn("g", part("x", a) + part("y", b))
+    c = c.filter(F.col("x") + F.col("y") >= least).withColumn("g", part("x", a) + part("y", b)).filter(F.col("g") >= LEAST_EVIDENCE)
     return [r["word"] for r in c.orderBy(F.desc("g"), "word").limit(words).collect()]  # the model's size
 
 
