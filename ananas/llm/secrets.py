@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 4000
 #: Evidence for a random string, in nats: in total, and per character.
 LEAST_TOTAL, LEAST_MEAN = 12.0, 0.6
+#: Weight of single characters in the model of pairs.
+PRIOR = 8.0
 #: Shortest token that the models judge.
 LEAST_LENGTH = 16
 
@@ -57,14 +59,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def labelled_strings(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(s, random): words of sampled documents, and digests of them in the usual alphabets.
+    """(s, random): tokens of sampled documents too short to be judged, and digests of them in the usual alphabets.
 
     Digests are random strings by construction: hex, base 64, base 36 in capitals.
     """
     n = docs.count()
     share = min(1.0, sample_docs / max(n, 1))
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    words = d.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]{4,}"), 0)).alias("s")).select("s", F.lit(False).alias("random"))
+    words = d.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{4,}"), 0)).alias("s")).filter(F.length("s") < LEAST_LENGTH).select("s", F.lit(False).alias("random"))
     sha = F.sha2(F.concat_ws("|", "doc_id", "text"), 256)
     kinds = F.array(sha, F.base64(F.unhex(sha)), *[F.conv(F.substring(sha, i, 15), 16, 36) for i in (1, 16, 31, 46)])
     made = d.select(F.explode(kinds).alias("s")).select("s", F.lit(True).alias("random"))
@@ -72,16 +74,20 @@ def labelled_strings(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFra
 
 
 def train(strings: DataFrame) -> np.ndarray:
-    """Log-likelihood ratio of each pair of neighbours, random over ordinary, smoothed by 0.5."""
+    """Log-likelihood ratio of each pair of neighbours, random over ordinary.
+
+    What follows a character is smoothed by what characters occur at all, as by PRIOR more pairs.
+    """
     size = len(ALPHABET)
     pairs = strings.filter("length(s) > 1").select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substr(F.col("s"), i, F.lit(2)))).alias("pair"))
     rows = pairs.groupBy("random", "pair").agg(F.count("*").alias("n")).collect()  # at most 2 x alphabet^2
-    counts = np.full((2, size, size), 0.5)
+    counts = np.zeros((2, size, size))
     for r in rows:
         a, b = ALPHABET.find(r["pair"][0]), ALPHABET.find(r["pair"][1])
         if a >= 0 and b >= 0:
             counts[int(r["random"]), a, b] += r["n"]
-    # a pair no ordinary word has says little: its ratio is held
+    overall = counts.sum(axis=1, keepdims=True) + 0.5
+    counts += PRIOR * overall / overall.sum(axis=2, keepdims=True)
     logp = np.log(counts / counts.sum(axis=2, keepdims=True))
     out = np.zeros((size + 1, size + 1))
     out[:size, :size] = np.clip(logp[1] - logp[0], -4, 4)
