@@ -30,22 +30,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+#: Scratch folders of local applications whose session names none.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for lineage cuts and staged files.
 
     Read from ``spark.checkpoint.dir``; only when the session has none and
     runs in local mode (as in tests) is a fresh scratch folder created and
-    set. On a cluster a machine-local folder would not be shared, so an
-    unset directory is an error there.
+    kept for the application. On a cluster a machine-local folder would not
+    be shared, so an unset directory is an error there.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    conf = sc.getConf().get("spark.checkpoint.dir")
     if not conf:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        conf = tempfile.mkdtemp(prefix="ananas-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(conf)
+        conf = _LOCAL.setdefault(sc.applicationId, "") or tempfile.mkdtemp(prefix="ananas-ckpt-")
+        _LOCAL[sc.applicationId] = conf
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(conf)
     return conf.rstrip("/")
 
 

@@ -1,7 +1,6 @@
 import datetime as dt
 import os
 import sys
-import tempfile
 from decimal import Decimal
 
 import pytest
@@ -27,8 +26,6 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ananas-test-ckpt-"))
     yield s
 
 
