@@ -53,15 +53,13 @@ def round_div(num: ColumnOrName, den: ColumnOrName, scale: int) -> Column:
     return F.when(den.isNull() | (den == 0), F.lit(None)).otherwise(value).cast(f"decimal(38,{scale})")
 
 
-def mysql_ratio_pct(num: ColumnOrName, den: ColumnOrName, n: int, div_scale: int | None = 4) -> Column:
-    """``TRUNCATE(num / den * 100, n)`` as MySQL computes it on whole numbers.
-
-    MySQL gives an exact division the scale of the dividend plus
-    ``div_precision_increment`` (4 by default) and rounds half away from zero
-    there; the product by 100 is exact and ``TRUNCATE`` then cuts toward zero.
-    So 2 of 3 is 0.6667 -> 66.67. ``div_scale=None`` truncates the exact
-    rational instead (66.66). A zero or NULL denominator gives NULL.
-    Result type ``decimal(38, n)``.
+def mysql_ratio_pct(num: ColumnOrName, den: ColumnOrName, n: int, div_scale: int | None = None) -> Column:
+    """``TRUNCATE(num / den * 100, n)`` of whole numbers.
+
+    The exact ratio is cut toward zero: 2 of 3 is 66.66. With ``div_scale``
+    the quotient is first rounded half away from zero at that many places,
+    as a displayed division would be (4 places: 0.6667 -> 66.67). A zero or
+    NULL denominator gives NULL. Result type ``decimal(38, n)``.
     """
     num, den = _c(num), _c(den)
     if div_scale is None:

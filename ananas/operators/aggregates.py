@@ -75,6 +75,15 @@ def with_total_row(
     )
 
 
+def sums_with_total_row(df: DataFrame, key: Column, key_out: str, value: str, agg, name: str) -> DataFrame:
+    """Sums of ``value`` by ``key`` and in total, as :func:`with_total_row` gives them.
+
+    The rows are summed by key first; only that small result is rolled up,
+    exactly, and ``agg`` (which may cut places) sees the sum."""
+    sums = df.groupBy(key.alias("_y")).agg(F.sum(value).alias("_s"))
+    return with_total_row(sums, F.col("_y"), key_out, [agg(F.sum("_s")).alias(name)])
+
+
 def collect_scalars(parts: Sequence[DataFrame]) -> DataFrame:
     """Put several one-row results side by side without a cross join.
 

@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ananas.operators.joins import bounded_broadcast
 
-DIM_MAX_ROWS = 1_000_000
 
 
 def sync_farmer_id(survey: DataFrame, farmer_demo: DataFrame) -> DataFrame:
@@ -37,10 +35,9 @@ def sync_municipality_id(survey: DataFrame, tbl_muni: DataFrame, unsynced: str =
     """N2: replace the municipality name by its id on rows not yet synced.
 
     ``unsynced`` names a boolean column (False = just ingested); rows whose
-    name is unknown keep it. The municipality list is small and checked for
-    size before it is broadcast."""
+    name is unknown keep it. Spark broadcasts the municipality list while it
+    is small."""
     dim = tbl_muni.groupBy(F.col("muni_name").alias("_mname")).agg(F.max("muni_id").alias("_mid"))
-    dim, _ = bounded_broadcast(dim, DIM_MAX_ROWS)
     j = survey.join(dim, F.col("raw_municipality") == F.col("_mname"), "left")
     todo = ~F.coalesce(F.col(unsynced), F.lit(False)) if unsynced in survey.columns else F.lit(True)
     new = F.when(todo & F.col("_mid").isNotNull(), F.col("_mid")).otherwise(F.col("raw_municipality"))
@@ -57,7 +54,6 @@ def sync_barangay_id(survey: DataFrame, tbl_barangay: DataFrame) -> DataFrame:
     dim = tbl_barangay.groupBy(F.col("brgy_name").alias("_bname"), F.col("muni_id").alias("_bmuni")).agg(
         F.max("brgy_id").alias("_bid")
     )
-    dim, _ = bounded_broadcast(dim, DIM_MAX_ROWS)
     j = survey.join(
         dim, (F.col("raw_barangay") == F.col("_bname")) & (F.col("raw_municipality") == F.col("_bmuni")), "left"
     )

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ananas.functions.exprs import since_year, trunc_dec, year_of
-from ananas.operators.aggregates import rank_small, with_total_row
-from ananas.plans.common import PROVINCE_TOTAL_LABEL, survey_with_muni
+from ananas.operators.aggregates import rank_small, sums_with_total_row
+from ananas.plans.common import PROVINCE_TOTAL_LABEL, named_muni, survey_with_muni
 from ananas.sources.tables import Tables
 
 
@@ -32,7 +32,7 @@ def area_by_year(t: Tables, names: tuple[str, str] = ("Area_count", "year_")) ->
 
 def area_series(t: Tables) -> DataFrame:
     """AR3: total as row ``year_='all'`` (0 when there is no area), then AR2."""
-    r = with_total_row(t.qp_farmer_raw, year_of("raw_dgathered"), "year_", [_area("Area_count")])
+    r = sums_with_total_row(t.qp_farmer_raw, year_of("raw_dgathered"), "year_", "raw_area", lambda s: trunc_dec(s, 2), "Area_count")
     value = F.when(F.col("_is_total"), F.coalesce("Area_count", F.lit(0).cast("decimal(38,2)"))).otherwise(F.col("Area_count"))
     return r.orderBy(F.col("_is_total").desc(), "_order").select(value.alias("Area_count"), "year_")
 
@@ -44,8 +44,8 @@ def muni_area_total(t: Tables, muni_name: str) -> DataFrame:
 
 
 def _area_per_muni(t: Tables, value: str, name: str) -> DataFrame:
-    j = survey_with_muni(t, "raw_area")
-    return j.groupBy("raw_municipality", "muni_name").agg(_area(value)).select(F.col("muni_name").alias(name), value)
+    g = t.qp_farmer_raw.groupBy("raw_municipality").agg(_area(value))
+    return named_muni(t, g).select(F.col("muni_name").alias(name), value)
 
 
 def area_ranking(t: Tables) -> DataFrame:
@@ -66,23 +66,20 @@ def area_all(t: Tables, as_of: dt.date, years: int = 5, total_label: str = PROVI
     """AR7: area per municipality and year, plus the provincial total per
     year, for the last ``years`` calendar years.
 
-    The total is over every survey row of the year, including rows whose
-    municipality is unknown, so the names are attached with a left join
-    (broadcast, size-checked) and one aggregate computes both grouping sets,
-    (year, municipality) and (year): a single scan of the survey. Groups of
-    the first set without a known municipality are dropped afterwards, as
-    the reference's inner join drops them.
+    The survey is scanned once and summed by (year, municipality id); the
+    total, over every row of the year, and the names, which drop unknown
+    municipalities as an inner join does, come from that small result.
     """
     first = as_of.year - (years - 1)
-    q = t.qp_farmer_raw.where(since_year("raw_dgathered", first)).select(
-        year_of("raw_dgathered").alias("year_gathered"), "raw_municipality", "raw_area"
-    )
-    j = q.join(t.muni, F.col("raw_municipality") == F.col("muni_id"), "left")
-    g = j.groupingSets(
+    q = t.qp_farmer_raw.where(since_year("raw_dgathered", first))
+    g = q.groupBy(year_of("raw_dgathered").alias("year_gathered"), "raw_municipality").agg(F.sum("raw_area").alias("_s"))
+    j = g.join(t.muni, F.col("raw_municipality") == F.col("muni_id"), "left")
+    cut = trunc_dec(F.sum("_s"), 2).alias("sum_area_year")
+    both = j.groupingSets(
         [["year_gathered", "raw_municipality", "muni_id", "muni_name"], ["year_gathered"]],
         "year_gathered", "raw_municipality", "muni_id", "muni_name",
-    ).agg(_area("sum_area_year"), F.grouping("raw_municipality").alias("_total"))
-    out = g.where((F.col("_total") == 1) | F.col("muni_id").isNotNull()).select(
+    ).agg(cut, F.grouping("raw_municipality").alias("_total"))
+    out = both.where((F.col("_total") == 1) | F.col("muni_id").isNotNull()).select(
         "sum_area_year", "year_gathered",
         F.when(F.col("_total") == 1, F.lit(total_label)).otherwise(F.col("muni_name")).alias("muni_name"),
     )

@@ -18,7 +18,7 @@ HARVEST_YEAR = 2000
 Report = Callable[[Tables], DataFrame]
 
 # Registered a second time under the blueprint's key (same plan as another entry).
-ALIASES = frozenset({"column_projection_scan", "general_data"})
+ALIASES = frozenset({"column_projection_scan", "stream_ingest"})
 
 
 def reports(as_of: dt.date = AS_OF, muni: str = MUNI, harvest_year: int = HARVEST_YEAR) -> dict[str, Report]:
@@ -63,6 +63,7 @@ def reports(as_of: dt.date = AS_OF, muni: str = MUNI, harvest_year: int = HARVES
         "population_change": lambda t: population.population_change(t, as_of),
         "population_change_display": lambda t: population.population_change_display(t, as_of),
         "top_producer": population.top_producer,
+        "top_producer_first": lambda t: population.top_producer(t, top=1),
         "expected_harvest_total": lambda t: population.expected_harvest_total(t, as_of),
         "expected_harvest_by_muni": lambda t: population.expected_harvest_by_muni(t, as_of),
         "expected_harvest_ranked": lambda t: population.expected_harvest_ranked(t, as_of),
@@ -92,7 +93,7 @@ def reports(as_of: dt.date = AS_OF, muni: str = MUNI, harvest_year: int = HARVES
         "municipality_picklist": market.municipality_picklist,
         "general_data_totals": dashboard.general_data_totals,
         "general_data_price": lambda t: dashboard.general_data(t)["qp_price"],
-        "general_data": dashboard.general_data_totals,
+        "general_data": dashboard.general_data_page,
         "muni_dashboard": lambda t: dashboard.muni_dashboard(t, muni),
         # ingest, sync and streaming jobs (S2-S7, N1-N3, ST1)
         **jobs.JOBS,

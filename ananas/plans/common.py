@@ -24,6 +24,12 @@ def survey_with_muni(t: Tables, *cols: str) -> DataFrame:
     return q.join(t.muni, F.col("raw_municipality") == F.col("muni_id"), "inner")
 
 
+def named_muni(t: Tables, df: DataFrame, id_col: str = "raw_municipality") -> DataFrame:
+    """Rows already aggregated by municipality id, with its name; unknown ids
+    drop out. Ids are unique, so no group is split or doubled."""
+    return df.join(t.muni, F.col(id_col) == F.col("muni_id"), "inner")
+
+
 def farmers_with_muni(t: Tables, *cols: str) -> DataFrame:
     f = t.farmer_demo
     if cols:

@@ -101,6 +101,16 @@ def general_data(t: Tables) -> dict[str, DataFrame]:
     }
 
 
+def general_data_page(t: Tables) -> DataFrame:
+    """DB1 in one result: a row for each year's price (``part = 'price'``) and
+    one with the totals (``part = 'totals'``)."""
+    parts = general_data(t)
+    price = parts["qp_price"].select(F.lit("price").alias("part"), "year_", "qp_price")
+    totals = parts["totals"].select(F.lit("totals").alias("part"), "*")
+    both = price.unionByName(totals, allowMissingColumns=True)
+    return both.select("part", "year_", "qp_price", "Farmer_ID", "Area_count", "production_count").orderBy("part", "year_")
+
+
 # The survey columns the main dashboard reads.
 DASHBOARD_SURVEY_COLUMNS = (
     "raw_municipality", "raw_fname", "raw_mname", "raw_lname", "raw_area", "raw_population",
@@ -115,7 +125,7 @@ def dashboard_tables(t: Tables) -> Tables:
     executor's blocks are recomputed from the scan."""
     q = t.qp_farmer_raw.select(*DASHBOARD_SURVEY_COLUMNS).cache()
     q.count()
-    return dataclasses.replace(t, qp_farmer_raw=q, _checked=dict(t._checked))
+    return dataclasses.replace(t, qp_farmer_raw=q)
 
 
 def dashboard_bundle(t: Tables, as_of: dt.date, cache: bool = True) -> dict[str, DataFrame]:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ananas.functions.exprs import is_blank, year_of
+from ananas.functions.exprs import id_sort_key, is_blank, year_of
 from ananas.operators.aggregates import flag_counts, with_total_row
-from ananas.plans.common import farmers_with_muni, raw_person, survey_with_muni
+from ananas.plans.common import farmers_with_muni, named_muni, raw_person, survey_with_muni
 from ananas.sources.tables import Tables
 
 
@@ -77,7 +77,7 @@ def farmers_directory_page(t: Tables, term: str | None = None, number: int = 1,
     """FA1 as the dashboard's table widget shows it: searched, sorted by id, one page."""
     from ananas.operators.paging import page
 
-    return page(farmers_directory(t, "ws"), ["f_id"], number, size, term)
+    return page(farmers_directory(t, "ws"), id_sort_key("f_id"), number, size, term)
 
 
 def farmer_count_total(t: Tables, approx_rsd: float | None = None) -> DataFrame:
@@ -99,10 +99,8 @@ def farmer_count_by_year(t: Tables, approx_rsd: float | None = None) -> DataFram
 def farmer_count_series(t: Tables) -> DataFrame:
     """FA6: the total as row ``year_='all'``, then FA5. The total counts each
     farmer once, so it is not the sum of the years."""
-    r = with_total_row(
-        t.qp_farmer_raw, year_of("raw_dgathered"), "year_",
-        [F.count_distinct(raw_person("strict")).alias("count_farmer")],
-    )
+    seen = t.qp_farmer_raw.select(year_of("raw_dgathered").alias("_y"), raw_person("strict").alias("_p")).distinct()
+    r = with_total_row(seen, F.col("_y"), "year_", [F.count_distinct("_p").alias("count_farmer")])
     count = F.when(F.col("_is_total"), F.coalesce("count_farmer", F.lit(0))).otherwise(F.col("count_farmer"))
     return r.orderBy(F.col("_is_total").desc(), F.col("_order")).select(count.alias("count_farmer"), "year_")
 
@@ -149,10 +147,8 @@ def muni_farmer_count(t: Tables, muni_name: str) -> DataFrame:
 
 def qp_farmer_count(t: Tables) -> DataFrame:
     """FA11: registered farmers per municipality."""
-    f = farmers_with_muni(t)
-    return f.groupBy("f_municipality", "muni_name").agg(F.count(F.lit(1)).alias("farmer_count")).select(
-        "farmer_count", "muni_name"
-    )
+    g = t.farmer_demo.groupBy("f_municipality").agg(F.count(F.lit(1)).alias("farmer_count"))
+    return named_muni(t, g, "f_municipality").select("farmer_count", "muni_name")
 
 
 def demo_farmer_total(t: Tables) -> DataFrame:

@@ -19,7 +19,7 @@ from ananas.functions.exprs import (
     year_of,
 )
 from ananas.operators.aggregates import flag_counts
-from ananas.plans.common import farmers_with_muni, raw_person
+from ananas.plans.common import named_muni, raw_person
 from ananas.sources.tables import Tables
 
 
@@ -29,14 +29,13 @@ def _is(gender: str):
 
 def gender_by_muni(t: Tables) -> DataFrame:
     """GE1: registered men and women per municipality, by total."""
-    f = farmers_with_muni(t, "f_gender")
-    g = f.groupBy("f_municipality", "muni_name").agg(sum_flag(_is("M")).alias("Male"), sum_flag(_is("F")).alias("Female"))
-    return g.select(
+    g = t.farmer_demo.groupBy("f_municipality").agg(sum_flag(_is("M")).alias("Male"), sum_flag(_is("F")).alias("Female"))
+    return named_muni(t, g, "f_municipality").select(
         F.col("muni_name").alias("f_municipality"), "Male", "Female", (F.col("Male") + F.col("Female")).alias("total")
     ).orderBy("total", "f_municipality")
 
 
-def gender_totals(t: Tables, div_scale: int | None = 4) -> DataFrame:
+def gender_totals(t: Tables, div_scale: int | None = None) -> DataFrame:
     """GE2: one row, men, women and their shares of (men + women), TRUNCATE 2.
 
     With no man or woman the shares are NULL (``NULLIF`` guard), and with no

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ananas.functions.exprs import in_year, long_month, since_year, trunc_dec, year_of
-from ananas.operators.aggregates import with_total_row
+from ananas.operators.aggregates import sums_with_total_row
 from ananas.sources.tables import Tables
 
 
@@ -34,7 +34,7 @@ def harvest_by_year(t: Tables) -> DataFrame:
 
 def harvest_series(t: Tables) -> DataFrame:
     """HA3: total as row ``year_='all'`` (0 when empty), then HA2."""
-    r = with_total_row(t.harvest_data, year_of("year_gathered"), "year_", [_prod("production_count")])
+    r = sums_with_total_row(t.harvest_data, year_of("year_gathered"), "year_", "Production", lambda s: trunc_dec(s, 2), "production_count")
     value = F.when(
         F.col("_is_total"), F.coalesce("production_count", F.lit(0).cast("decimal(38,2)"))
     ).otherwise(F.col("production_count"))

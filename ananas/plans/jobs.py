@@ -141,12 +141,12 @@ def ingest_weather(t: Tables) -> DataFrame:
 
 def stream_ingest_price(t: Tables) -> DataFrame:
     """ST1: the price feed dropped into a folder watched by a stream (one file
-    per partition of the table, one file per micro-batch); the accepted table
-    after the stream has caught up."""
+    per partition of the table, micro-batches of many files); the accepted
+    table after the stream has caught up."""
     src = _write_csv(price_feed(t), staging_path(t.spark, "price-drop"))
     base = staging_path(t.spark, "price-stream")
     paths = stream.StreamPaths(source=src, output=f"{base}/out", checkpoint=f"{base}/checkpoint")
-    stream.run_once(t.spark, feeds.PRICE, paths, max_files_per_trigger=1)
+    stream.run_once(t.spark, feeds.PRICE, paths, max_files_per_trigger=STREAM_FILES_PER_BATCH)
     return stream.read_accepted(t.spark, paths).drop("_source", "batch_id")
 
 
@@ -173,7 +173,7 @@ def table_scan(t: Tables) -> DataFrame:
     """S8: a curated table written as parquet and scanned back."""
     path = staging_path(t.spark, "table-scan")
     t.qp_price.write.mode("overwrite").parquet(path)
-    return feeds.read_table(t.spark, path).select("date", "med_price", "lg_price")
+    return feeds.read_table(t.spark, path)
 
 
 def append_sink(t: Tables) -> DataFrame:
@@ -216,8 +216,8 @@ def sync_barangay_id_job(t: Tables) -> DataFrame:
     """N3 on survey rows whose barangay arrived as a name: matched on (name,
     municipality), so a village named in another municipality keeps its name."""
     b = t.barangay.select(F.col("brgy_id").alias("_bid"), F.col("brgy_name").alias("_bname"))
-    q = t.qp_farmer_raw.join(b, F.col("raw_barangay") == F.col("_bid"), "inner").select(
-        "logs", "raw_municipality", F.col("_bname").alias("raw_barangay")
+    q = t.qp_farmer_raw.join(b, F.col("raw_barangay") == F.col("_bid"), "left").select(
+        "logs", "raw_municipality", F.coalesce("_bname", "raw_barangay").alias("raw_barangay")
     )
     return sync_barangay_id(q, t.tbl_barangay)
 

@@ -24,7 +24,7 @@ from ananas.functions.exprs import (
     year_of,
 )
 from ananas.operators.aggregates import rank_small
-from ananas.plans.common import PROVINCE_NAME, survey_with_muni
+from ananas.plans.common import PROVINCE_NAME, named_muni, survey_with_muni
 from ananas.sources.tables import Tables
 
 
@@ -34,9 +34,8 @@ def _pop(alias: str = "population"):
 
 def population_by_muni_year(t: Tables) -> DataFrame:
     """PO1: population per municipality and year; ids sort as numbers."""
-    j = survey_with_muni(t, "raw_population", "raw_dgathered")
-    g = j.groupBy(year_of("raw_dgathered").alias("year_gathered"), "raw_municipality", "muni_name").agg(_pop())
-    return g.orderBy(*id_sort_key("raw_municipality"), "year_gathered").select("population", "year_gathered", "muni_name")
+    g = t.qp_farmer_raw.groupBy(year_of("raw_dgathered").alias("year_gathered"), "raw_municipality").agg(_pop())
+    return named_muni(t, g).orderBy(*id_sort_key("raw_municipality"), "year_gathered").select("population", "year_gathered", "muni_name")
 
 
 def population_by_barangay_year(t: Tables, muni_name: str) -> DataFrame:
@@ -72,7 +71,7 @@ def general_population_by_quarter(t: Tables) -> DataFrame:
     return g.orderBy("_first").select("population", "year_gathereds", "quarters", label.alias("year_gathered"))
 
 
-def population_change(t: Tables, as_of: dt.date, div_scale: int | None = 4) -> DataFrame:
+def population_change(t: Tables, as_of: dt.date, div_scale: int | None = None) -> DataFrame:
     """PO4: last year's population against the year before, per municipality.
 
     One scan of the two years with conditional sums; a municipality needs
@@ -114,9 +113,8 @@ def population_change_display(t: Tables, as_of: dt.date, as_text: bool = False)
 def top_producer(t: Tables, top: int | None = None) -> DataFrame:
     """PO5: population per municipality, largest first; ``top`` keeps the
     first rows (the page shows row 0)."""
-    j = survey_with_muni(t, "raw_population")
-    g = j.groupBy("raw_municipality", "muni_name").agg(_pop()).select("population", "muni_name")
-    out = g.orderBy(F.col("population").desc(), "muni_name")
+    g = t.qp_farmer_raw.groupBy("raw_municipality").agg(_pop())
+    out = named_muni(t, g).select("population", "muni_name").orderBy(F.col("population").desc(), "muni_name")
     return out.limit(top) if top else out
 
 
@@ -128,10 +126,9 @@ def expected_harvest_total(t: Tables, as_of: dt.date) -> DataFrame:
 
 def expected_harvest_by_muni(t: Tables, as_of: dt.date) -> DataFrame:
     """HV2: HV1 per municipality (``expected_harvest, municipality``)."""
-    q = t.qp_farmer_raw.where(in_year("raw_dharvest", as_of.year)).select("raw_municipality", "raw_population")
-    j = q.join(t.muni, F.col("raw_municipality") == F.col("muni_id"), "inner")
-    g = j.groupBy("raw_municipality", "muni_name").agg(_pop("expected_harvest"))
-    return g.select("expected_harvest", F.col("muni_name").alias("municipality"))
+    q = t.qp_farmer_raw.where(in_year("raw_dharvest", as_of.year))
+    g = q.groupBy("raw_municipality").agg(_pop("expected_harvest"))
+    return named_muni(t, g).select("expected_harvest", F.col("muni_name").alias("municipality"))
 
 
 def expected_harvest_ranked(t: Tables, as_of: dt.date) -> DataFrame:

@@ -39,7 +39,7 @@ def rbsba_status(t: Tables) -> DataFrame:
     )
 
 
-def rbsba_percent_by_muni(t: Tables, div_scale: int | None = 4) -> DataFrame:
+def rbsba_percent_by_muni(t: Tables, div_scale: int | None = None) -> DataFrame:
     """RG2: share of registered farmers per municipality (TRUNCATE 1).
 
     Only municipalities with at least one registered farmer."""
@@ -51,7 +51,7 @@ def rbsba_percent_by_muni(t: Tables, div_scale: int | None = 4) -> DataFrame:
     ).orderBy("muni_name")
 
 
-def rbsba_by_year(t: Tables, div_scale: int | None = 4, require_all: bool = True) -> DataFrame:
+def rbsba_by_year(t: Tables, div_scale: int | None = None, require_all: bool = True) -> DataFrame:
     """RG3: registered share per year, for years with both kinds of farmer.
 
     A NULL year never matches in the reference's joins, so it is dropped.
@@ -78,7 +78,7 @@ def _both_sides(t: Tables, require_all: bool = True) -> DataFrame:
     return _with_muni(t, c)
 
 
-def rbsba_table(t: Tables, div_scale: int | None = 4, require_all: bool = True) -> DataFrame:
+def rbsba_table(t: Tables, div_scale: int | None = None, require_all: bool = True) -> DataFrame:
     """RG4: both counts, total and both shares (TRUNCATE 2) per municipality,
     for municipalities with both kinds of farmer (``require_all=False``: all
     municipalities). Output names keep the source spelling

@@ -13,7 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ananas.operators.joins import bounded_broadcast
 
 Reader = Callable[[str], DataFrame]
 
@@ -103,7 +102,7 @@ def qp_farmer_raw(read: Reader) -> DataFrame:
 
 
 def harvest_data(read: Reader) -> DataFrame:
-    nation, _ = bounded_broadcast(read("nation").select("n_nationkey", "n_name"), 100_000)
+    nation = read("nation").select("n_nationkey", "n_name")
     supp = read("supplier").select("s_suppkey", "s_name", "s_nationkey")
     place = supp.join(nation, supp.s_nationkey == nation.n_nationkey, "inner")
     li = read("lineitem").select("l_suppkey", "l_extendedprice", "l_discount", "l_shipdate")

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ananas.operators.joins import bounded_broadcast
 
 CURATED = (
     "qp_farmer_raw", "farmer_demo", "tbl_muni", "tbl_barangay",
@@ -20,9 +19,9 @@ CURATED = (
 class Tables:
     """The domain tables as DataFrames.
 
-    Dimensions are checked once for size: ``muni`` is broadcast only when it
-    holds at most ``dim_max_rows`` rows (a province has a dozen
-    municipalities), otherwise joins shuffle. Dimension ids are unique
+    Joins carry no hints: Spark broadcasts a dimension below
+    ``spark.sql.autoBroadcastJoinThreshold`` bytes and shuffles a larger one,
+    and no job runs while a plan is built. Dimension ids are unique
     (``tbl_muni.muni_id``, ``tbl_barangay.brgy_id``); the sync jobs
     (:mod:`ananas.operators.sync`) make their match keys unique themselves.
     """
@@ -36,27 +35,18 @@ class Tables:
     weather_data: DataFrame
     pests: DataFrame
     soil_test_kit: DataFrame | None = None
-    dim_max_rows: int = 100_000
-    _checked: dict = field(default_factory=dict, repr=False)
 
     @property
     def spark(self) -> SparkSession:
         return self.qp_farmer_raw.sparkSession
 
-    def _dim(self, name: str) -> DataFrame:
-        if name not in self._checked:
-            self._checked[name] = bounded_broadcast(getattr(self, name), self.dim_max_rows)[0]
-        return self._checked[name]
-
     @property
     def muni(self) -> DataFrame:
-        """``tbl_muni`` with its size checked (broadcast when small)."""
-        return self._dim("tbl_muni")
+        return self.tbl_muni
 
     @property
     def barangay(self) -> DataFrame:
-        """``tbl_barangay`` with its size checked (broadcast when small)."""
-        return self._dim("tbl_barangay")
+        return self.tbl_barangay
 
     # ------------------------------------------------------------ loaders
 
@@ -141,7 +131,7 @@ class Tables:
 
         with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
             list(pool.map(write_one, CURATED))
-        return Tables.from_curated(spark, path, dim_max_rows=self.dim_max_rows)
+        return Tables.from_curated(spark, path)
 
     def with_collation(self, collation: str = "UTF8_LCASE") -> "Tables":
         """Tables whose text columns compare, group and count under
@@ -158,7 +148,7 @@ class Tables:
             ])
 
         dfs = {name: collate(getattr(self, name)) for name in CURATED}
-        return Tables(**dfs, dim_max_rows=self.dim_max_rows)
+        return Tables(**dfs)
 
     def cache(self, names=("qp_farmer_raw",)) -> "Tables":
         for name in names:

@@ -59,7 +59,7 @@ def main() -> None:
         "raw_municipality",
         F.when(F.pmod(F.xxhash64("logs", "raw_lname"), F.lit(3)) != 0, F.lit("1")).otherwise(F.col("raw_municipality")),
     )
-    skewed = dataclasses.replace(t, qp_farmer_raw=hot, _checked={})
+    skewed = dataclasses.replace(t, qp_farmer_raw=hot)
     spark.sparkContext.setJobGroup("two_phase", "RG4 two-phase flag counts")
     registration.rbsba_table(skewed).write.format("noop").mode("overwrite").save()
     spark.sparkContext.setJobGroup("collect_set", "per-municipality collect_set")

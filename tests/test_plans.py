@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 from ananas.plans import area, farmers, gender, market, population, registration
-from ananas.plans.catalog import AS_OF
+from ananas.plans.catalog import AS_OF, reports
 from ananas.session import staging_path
 from ananas.sources.tables import Tables
 from tests.conftest import SF_SMALL
@@ -26,7 +26,7 @@ def curated(spark):
     return t.write(staging_path(spark, "curated"))
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(reports()))
 def test_no_cartesian_product(spark, name):
     p = plan(E.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
