@@ -21,19 +21,21 @@ def main(argv=None) -> int:
     c.add_argument("--sf-dir", required=True)
     c.add_argument("--out", required=True)
     ld = sub.add_parser("load", help="ingest a folder of CSV files of one feed (idempotent per file)")
-    ld.add_argument("--feed", required=True, choices=["survey", "soil", "price", "harvest", "pests"])
+    ld.add_argument("--feed", required=True, choices=["survey", "soil", "price", "harvest", "pests", "weather"])
     ld.add_argument("--source", required=True)
-    ld.add_argument("--target", required=True)
-    ld.add_argument("--rejects", required=True)
-    ld.add_argument("--muni", help="tbl_muni parquet, for the survey feed's municipality ids")
+    ld.add_argument("--target", required=True, help="the table's folder: rows, rejects and ledger")
     st = sub.add_parser("stream", help="ingest new CSV files dropped into a folder (Structured Streaming)")
-    st.add_argument("--feed", required=True, choices=["survey", "soil", "price", "harvest", "pests"])
+    st.add_argument("--feed", required=True, choices=["survey", "soil", "price", "harvest", "pests", "weather"])
     st.add_argument("--source", required=True)
     st.add_argument("--out", required=True)
     st.add_argument("--checkpoint", required=True)
     st.add_argument("--once", action="store_true", help="process the files present now, then stop")
-    st.add_argument("--muni", help="tbl_muni parquet, for the survey feed's municipality ids")
     st.add_argument("--max-files", type=int, default=1000, help="files per micro-batch (bounds batch size)")
+    for x in (ld, st):
+        x.add_argument("--muni", help="tbl_muni parquet, for the survey feed's municipality ids (N2)")
+        x.add_argument("--farmers", help="farmer_demo parquet, for its farmer ids (N1)")
+        x.add_argument("--barangay", help="tbl_barangay parquet, for its barangay ids (N3)")
+        x.add_argument("--date-format", action="append", help="a date pattern of the feed; may be repeated")
     r = sub.add_parser("report", help="run one registered report")
     r.add_argument("name")
     r.add_argument("--curated", required=True)
@@ -60,25 +62,24 @@ def main(argv=None) -> int:
         Tables.from_synthetic(spark, a.sf_dir).write(a.out)
         return 0
     if a.cmd in ("load", "stream"):
-        feed = feeds.FEEDS[a.feed]
-        transform = None
+        from ananas.sources import weather
+
+        read = weather.ingest_weather if a.feed == "weather" else feeds.feed_reader(feeds.FEEDS[a.feed], a.date_format or feeds.DEFAULT_DATE_FORMATS)
+        key, transform = feeds.KEYS.get(a.feed), None
         if a.feed == "survey":
             if not a.muni:
                 p.error("--muni is required for the survey feed")
-            muni = spark.read.parquet(a.muni)
-            transform = lambda good: feeds.curate_survey(good, muni)
+            muni, demo, brgy = (spark.read.parquet(x) if x else None for x in (a.muni, a.farmers, a.barangay))
+            transform = lambda good: feeds.curate_survey(good, muni, demo, brgy)
         if a.cmd == "load":
-            ok, bad = feeds.load_feed(spark, a.source, feed, a.target, a.rejects, transform)
+            ok, bad = feeds.load_files(spark, feeds.list_files(spark, a.source), a.target, read, transform, key)
             print(f"accepted {ok} rejected {bad}")
             return 0
         from ananas.streaming import ingest as stream
 
         paths = stream.StreamPaths(a.source, a.out, a.checkpoint)
-        if a.once:
-            stream.run_once(spark, feed, paths, transform, max_files_per_trigger=a.max_files)
-        else:
-            stream.start_feed_stream(spark, feed, paths, transform, available_now=False,
-                                     max_files_per_trigger=a.max_files).awaitTermination()
+        q = stream.start_stream(spark, paths, read, transform, key, available_now=a.once, max_files_per_trigger=a.max_files)
+        q.awaitTermination()
         return 0
     as_of = dt.date.fromisoformat(a.as_of) if a.as_of else AS_OF
     table = reports(as_of, a.muni or MUNI, a.year or HARVEST_YEAR)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ananas.operators.sync import sync_barangay_id, sync_farmer_id, sync_municipality_id
+from ananas.plans import area, market
 from ananas.session import staging_path
 from ananas.sources import feeds, weather
 from ananas.sources.tables import Tables
@@ -147,7 +148,7 @@ def stream_ingest_price(t: Tables) -> DataFrame:
     base = staging_path(t.spark, "price-stream")
     paths = stream.StreamPaths(source=src, output=f"{base}/out", checkpoint=f"{base}/checkpoint")
     stream.run_once(t.spark, feeds.PRICE, paths, max_files_per_trigger=STREAM_FILES_PER_BATCH)
-    return stream.read_accepted(t.spark, paths).drop("_source", "batch_id")
+    return stream.read_accepted(t.spark, paths).drop("_source", "load_id")
 
 
 def stream_ingest_survey(t: Tables) -> DataFrame:
@@ -166,7 +167,7 @@ def stream_ingest_survey(t: Tables) -> DataFrame:
 def csv_source(t: Tables) -> DataFrame:
     """S1: the price feed read back as text, every field a string."""
     path = _write_csv(price_feed(t), staging_path(t.spark, "csv-source"))
-    return feeds.read_text(t.spark, path, feeds.PRICE).drop("_source", feeds.CORRUPT)
+    return feeds.read_text(t.spark, path, feeds.PRICE).drop("_source", feeds.CORRUPT, feeds.MISSING)
 
 
 def table_scan(t: Tables) -> DataFrame:
@@ -180,16 +181,14 @@ def append_sink(t: Tables) -> DataFrame:
     """S9: the price feed loaded twice into an empty table with ``load_feed``;
     the second load adds nothing, so the table equals the feed."""
     src = _write_csv(price_feed(t), staging_path(t.spark, "append-src"))
-    target, rejects = staging_path(t.spark, "append-out"), staging_path(t.spark, "append-rej")
+    target = staging_path(t.spark, "append-out")
     for _ in range(2):
-        feeds.load_feed(t.spark, src, feeds.PRICE, target, rejects)
-    return feeds.read_table(t.spark, target).select("date", "med_price", "lg_price", "buyer_seller")
+        feeds.load_feed(t.spark, src, feeds.PRICE, target)
+    return feeds.read_loaded(t.spark, target).select("date", "med_price", "lg_price", "buyer_seller")
 
 
 def result_sink(t: Tables) -> DataFrame:
     """S10: a report (AR5) written as JSON lines and read back with its schema."""
-    from ananas.plans import area
-
     report = area.area_ranking(t)
     path = staging_path(t.spark, "result-sink")
     feeds.write_result(report, path)
@@ -222,7 +221,35 @@ def sync_barangay_id_job(t: Tables) -> DataFrame:
     return sync_barangay_id(q, t.tbl_barangay)
 
 
+def load_to_area_ranking(t: Tables) -> DataFrame:
+    """S3 + N2, N1, N3 + S9, then AR5: survey CSV files loaded into a table that the report reads."""
+    src = _write_csv(survey_feed(t), staging_path(t.spark, "survey-load"))
+    target = staging_path(t.spark, "survey-table")
+    feeds.load_feed(t.spark, src, feeds.SURVEY, target,
+                    lambda good: feeds.curate_survey(good, t.tbl_muni, t.farmer_demo, t.tbl_barangay))
+    return area.area_ranking(t.with_loaded(survey=target))
+
+
+def load_to_common_pest(t: Tables) -> DataFrame:
+    """S7 + S9, then PE2 over the loaded catalogue."""
+    src = _write_csv(pest_feed(t), staging_path(t.spark, "pest-load"))
+    target = staging_path(t.spark, "pest-table")
+    feeds.load_feed(t.spark, src, feeds.PESTS, target)
+    return market.common_pest(t.with_loaded(pests=target))
+
+
+def load_to_rain_by_year(t: Tables) -> DataFrame:
+    """S2 + S9, then WE1 over the loaded sheets."""
+    src, target = staging_path(t.spark, "weather-load"), staging_path(t.spark, "weather-table")
+    weather.write_sheets(daily_rain(t), src)
+    feeds.load_weather(t.spark, src, target)
+    return market.rain_by_year(t.with_loaded(weather=target))
+
+
 JOBS = {
+    "load_to_area_ranking": load_to_area_ranking,
+    "load_to_common_pest": load_to_common_pest,
+    "load_to_rain_by_year": load_to_rain_by_year,
     "csv_source": csv_source,
     "table_scan": table_scan,
     "append_sink": append_sink,

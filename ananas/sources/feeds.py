@@ -1,6 +1,6 @@
 """CSV feeds -> curated tables (S1, S3-S7, S9), with a rejects side table.
 
-Every feed is read as text with a header (S1), its header names are mapped
+Every feed is read as text by the names in its header (S1), the names are mapped
 to curated columns, each typed column is parsed with a ``try_*`` function,
 and a row whose non-blank cell fails to parse goes to the rejects table with
 the reason instead of raising. Text cells stay text, a blank cell is ``''``
@@ -12,23 +12,34 @@ jobs here and the drop-folder stream in :mod:`ananas.streaming.ingest`.
 
 from __future__ import annotations
 
+import csv
+import functools
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from ananas.operators.sync import sync_municipality_id
+from ananas.operators.sync import sync_barangay_id, sync_farmer_id, sync_municipality_id
 from ananas.sources import schemas
 
-DEFAULT_DATE_FORMATS = ("yyyy-MM-dd",)
+# A day or month may have one digit or two, as MySQL reads dates.
+DEFAULT_DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d")
 CORRUPT = "_corrupt_record"
+MISSING = "_missing"
 
 
-def csv_options() -> dict[str, str]:
-    """Reader options shared by the batch and streaming feeds."""
-    return {"header": "true", "enforceSchema": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+def csv_options(multi_line: bool = True) -> dict[str, str]:
+    """Reader options of the feeds: doubled quotes, quoted line breaks, the raw
+    line of a row with too few or too many cells. Quoted line breaks need a
+    whole file in one task; ``multi_line=False`` splits large files instead."""
+    return {
+        "header": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"',
+        "multiLine": str(multi_line).lower(), "columnPruning": "false",
+    }
 
 
 @dataclass(frozen=True)
@@ -39,12 +50,6 @@ class Feed:
     headers: Mapping[str, str]
     types: Mapping[str, str]  # column -> "date" | "date:<fmt>" | a Spark SQL type
 
-    def text_schema(self) -> T.StructType:
-        """Every header as text, plus the corrupt-record column that keeps
-        the raw line of a row with too few or too many cells."""
-        fields = [T.StructField(h, T.StringType(), True) for h in self.headers]
-        return T.StructType(fields + [T.StructField(CORRUPT, T.StringType(), True)])
-
 
 SURVEY = Feed(
     "survey", schemas.SURVEY_HEADERS,
@@ -65,19 +70,57 @@ PESTS = Feed("pests", schemas.PEST_HEADERS, {"report_count": "bigint"})
 FEEDS = {f.name: f for f in (SURVEY, SOIL, PRICE, HARVEST, PESTS)}
 
 
-def read_text(spark: SparkSession, path: str, feed: Feed) -> DataFrame:
-    """S1: a folder (or file) of CSVs with a header row, every field as text.
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file``: every file under ``path``; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+        F.col("_metadata.file_path").alias("file")
+    )
+
+
+def layouts(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """Files by their header line (a few layouts; the file names are the reader's own list)."""
+    if not files:
+        return {}
+    first = spark.read.text(files).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("pos"), "value",
+    ).where("at = 0").groupBy("file").agg(F.min_by("value", "pos").alias("header"))
+    out: dict[str, list[str]] = {}
+    for r in first.orderBy("file").collect():
+        out.setdefault(r["header"], []).append(r["file"])
+    return out
 
-    The feed's headers are the schema and ``enforceSchema=false`` makes Spark
-    check each file's header against them, so a file with other or
-    reordered columns fails loudly instead of shifting values between
-    columns. A blank cell is ``''``, as the upload form reads it.
+
+def read_files(spark: SparkSession, files: list[str], feed: Feed, multi_line: bool = True) -> DataFrame:
+    """S1: CSV files with a header row, every field as trimmed text.
+
+    Cells are found by the name in each file's header, as the upload form
+    finds them: the order of columns does not matter, others are ignored (of
+    two with one name the last counts), and a column that the feed needs but
+    the file lacks is named in ``_missing``. A blank cell is ``''``.
     ``_source`` is the file each row came from."""
-    raw = spark.read.schema(feed.text_schema()).options(**csv_options()).csv(path)
-    return raw.select(
-        *[F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(h) for h in feed.headers], CORRUPT,
-        F.col("_metadata.file_path").alias("_source"),
-    )
+    parts = []
+    for header, own in layouts(spark, files).items():
+        names = [n.strip() for n in next(csv.reader([header.lstrip("\ufeff")]), [])]
+        at = {n: i for i, n in enumerate(names)}
+        fields = [T.StructField(f"c{i}", T.StringType(), True) for i in range(max(1, len(names)))]
+        schema = T.StructType(fields + [T.StructField(CORRUPT, T.StringType(), True)])
+        raw = spark.read.schema(schema).options(**csv_options(multi_line)).csv(own)
+        missing = ";".join(h for h in feed.headers if h not in at)
+        cells = [F.trim(F.coalesce(F.col(f"c{at[h]}"), F.lit(""))) if h in at else F.lit("") for h in feed.headers]
+        parts.append(raw.select(
+            *[c.alias(h) for c, h in zip(cells, feed.headers)], CORRUPT,
+            F.lit(missing or None).cast("string").alias(MISSING), F.col("_metadata.file_path").alias("_source"),
+        ))
+    if not parts:
+        text = [T.StructField(n, T.StringType(), True) for n in (*feed.headers, CORRUPT, MISSING, "_source")]
+        return spark.createDataFrame([], T.StructType(text))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def read_text(spark: SparkSession, path: str, feed: Feed) -> DataFrame:
+    """S1 over every file under ``path``."""
+    return read_files(spark, [r["file"] for r in list_files(spark, path).collect()], feed)
 
 
 def _parse(cell: Column, kind: str, date_formats) -> Column:
@@ -89,16 +132,14 @@ def _parse(cell: Column, kind: str, date_formats) -> Column:
 
 def parse(text: DataFrame, feed: Feed, date_formats=DEFAULT_DATE_FORMATS) -> DataFrame:
     """Typed columns plus ``_reject``: NULL when the row is good, else
-    ``malformed`` (too few or too many cells), ``empty`` (every cell blank)
-    or the names of the cells that failed to parse.
-
-    The ``empty`` check reads every cell, which also keeps every column in
-    the CSV parser's required schema: with Spark's CSV column pruning, a
-    query needing only some columns would otherwise not see a short row as
-    malformed."""
+    ``malformed`` (too few or too many cells), ``header`` with the columns the
+    file lacks, ``empty`` (every cell blank) or the names of the cells that
+    failed to parse."""
     cols, problems = [], []
     if CORRUPT in text.columns:
         problems.append(F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed")))
+    if MISSING in text.columns:
+        problems.append(F.concat(F.lit("header:"), F.col(MISSING)))
     all_blank = None
     for header in feed.headers:
         cell = F.trim(F.col(f"`{header}`"))
@@ -130,79 +171,156 @@ def ingest(spark: SparkSession, path: str, feed: Feed, date_formats=DEFAULT_DATE
     return split(parse(read_text(spark, path, feed), feed, date_formats))
 
 
-def curate_survey(good: DataFrame, tbl_muni: DataFrame) -> DataFrame:
-    """S3 + N2: survey rows in the curated shape.
+def curate_survey(good: DataFrame, tbl_muni: DataFrame, farmer_demo: DataFrame | None = None,
+                  tbl_barangay: DataFrame | None = None) -> DataFrame:
+    """S3 + N2, then N1 and N3 where their tables are given: survey rows in the curated shape.
 
     The feed carries place *names*; ``raw_municipality`` becomes the
     municipality id where the name is known (N2) and keeps the name
-    otherwise, the name stays in ``raw_municipality_name``. New rows are
-    marked ``is_synced`` rather than with a magic ``f_id``."""
+    otherwise, the name stays in ``raw_municipality_name``. ``f_id`` is the
+    registered farmer of that name (N1), the barangay name becomes its id
+    within the municipality (N3). New rows are marked ``is_synced`` rather
+    than with a magic ``f_id``."""
     rows = good.withColumn("raw_municipality", F.col("raw_municipality_name")).withColumn(
         "raw_barangay", F.col("raw_barangay_name")
     ).withColumn("f_id", F.lit(None).cast("string")).withColumn("is_synced", F.lit(False))
-    return sync_municipality_id(rows, tbl_muni)
-
-
-def with_ingest_id(df: DataFrame) -> DataFrame:
-    """Surrogate key instead of a global auto-increment (which a distributed
-    write lacks): the pair (``_source``, ``ingest_row``). ``ingest_row`` is
-    unique within one load job and each file is loaded by exactly one job, so
-    the pair is unique in the table; unlike a 64-bit hash of the two it
-    cannot collide, whatever the row count."""
-    return df.withColumn("ingest_row", F.monotonically_increasing_id())
-
-
-def append(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """S9: append to a parquet table (one atomic write per job)."""
-    w = df.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
-def _loaded_files(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).select("_source").distinct()
-    except Exception as e:  # noqa: BLE001 - first load: no table yet
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
-
-
-def _not_loaded(df: DataFrame, loaded: DataFrame | None) -> DataFrame:
-    return df if loaded is None else df.join(loaded, "_source", "left_anti")
-
-
-def load_feed(
-    spark: SparkSession,
-    source: str,
-    feed: Feed,
-    target: str,
-    rejects: str,
-    transform=None,
-    date_formats=DEFAULT_DATE_FORMATS,
-) -> tuple[int, int]:
-    """S3-S7 + S9 as one job: ingest every file under ``source`` not loaded
-    before, append accepted rows to ``target`` and rejects to ``rejects``.
-
-    Each output skips the files it already holds (by ``_source``), so a
-    repeated upload adds nothing, and a job that died between the two
-    appends completes the missing one on rerun. Each append is one atomic
-    write. Returns the (accepted, rejected) row counts of the two tables.
+    rows = sync_municipality_id(rows, tbl_muni)
+    if farmer_demo is not None:
+        rows = sync_farmer_id(rows, farmer_demo)
+    return sync_barangay_id(rows, tbl_barangay) if tbl_barangay is not None else rows
+
+
+def pest_catalogue(loaded: DataFrame) -> DataFrame:
+    """S7 as the reports read it: each entry's share of its category's reports
+    in percent, and its rank there (entries with equal counts share one).
+
+    Ranks come from the distinct report counts of a category, so no category
+    is sorted as a whole."""
+    tally = loaded.groupBy("category", "report_count").agg(F.count(F.lit(1)).alias("_n"))
+    by = Window.partitionBy("category")
+    above = by.orderBy(F.col("report_count").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    tally = tally.select(
+        F.col("category").alias("_c"), F.col("report_count").alias("_r"),
+        (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).cast("int").alias("rank"),
+        (F.col("report_count") * 100.0 / F.sum(F.col("report_count") * F.col("_n")).over(by)).alias("percent"),
+    )
+    same = loaded["category"].eqNullSafe(F.col("_c")) & loaded["report_count"].eqNullSafe(F.col("_r"))
+    return loaded.join(tally, same, "left").select(*loaded.columns, "percent", "rank")
+
+
+# ------------------------------------------------------------------ loads
+
+# A table is a folder: rows/load_id=.., rejects/load_id=.. and the ledger, which
+# names each file with the load that holds it. A load exists once the ledger has it.
+LEDGER = "file string, load_id string, accepted long, rejected long, last_key long"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has staged."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def ledger(spark: SparkSession, target: str) -> DataFrame:
+    if not _exists(spark, f"{target}/ledger"):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(f"{target}/ledger")
+
+
+def _published(spark: SparkSession, target: str, part: str) -> DataFrame | None:
+    loads = [r["load_id"] for r in ledger(spark, target).select("load_id").distinct().orderBy("load_id").collect()]
+    paths = [f"{target}/{part}/load_id={x}" for x in loads]
+    return spark.read.option("basePath", f"{target}/{part}").parquet(*paths) if paths else None
+
+
+def read_loaded(spark: SparkSession, target: str) -> DataFrame:
+    """The rows of all published loads of a table."""
+    rows = _published(spark, target, "rows")
+    if rows is None:
+        raise ValueError(f"nothing is loaded in {target}")
+    return rows
+
+
+def read_rejects(spark: SparkSession, target: str) -> DataFrame:
+    """The rejects of all published loads of a table, with their reasons."""
+    bad = _published(spark, target, "rejects")
+    if bad is None:
+        raise ValueError(f"nothing is loaded in {target}")
+    return bad
+
+
+def with_keys(df: DataFrame, first: int, row: str = "_row") -> DataFrame:
+    """``df`` with ``key`` from ``first`` on, increasing and unique: each task's rows follow the
+    last of the task before. ``row`` is a written ``monotonically_increasing_id``."""
+    task, local = F.shiftright(row, 33), F.col(row).bitwiseAND((1 << 33) - 1)
+    ends = df.groupBy(task.alias("_task")).agg((F.max(local) + 1).alias("_width"))  # a row a task
+    before = F.sum("_width").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("_task", F.coalesce(before, F.lit(0)).alias("_before"))
+    keyed = df.withColumn("_task", task).join(ends, "_task")
+    return keyed.withColumn("key", (F.lit(first) + F.col("_before") + local).cast("long")).drop("_task", "_before")
+
+
+def load_files(spark: SparkSession, files: DataFrame, target: str, read, transform=None, key: str | None = None) -> tuple[int, int]:
+    """Load those of ``files`` (``file``) that the ledger doesn't have; returns the table's (accepted, rejected) counts.
+
+    ``read(spark, paths)`` gives (good rows, rejects), ``transform`` curates the
+    good ones. Only new files are read, once. Rows and rejects are written to
+    folders of this load, and one ledger file publishes both: a load that died
+    before that is not seen, and its files are loaded again. ``key`` names a
+    column that numbers the table's rows. One loader writes to a table at a time.
     """
-    parsed = parse(read_text(spark, source, feed), feed, date_formats).persist()
-    try:
-        good, bad = split(parsed)
-        if transform is not None:
-            good = transform(good)
-        append(with_ingest_id(_not_loaded(good, _loaded_files(spark, target))), target)
-        loaded_rejects = _loaded_files(spark, rejects)
-        bad_new = _not_loaded(bad, loaded_rejects)
-        if loaded_rejects is None or not bad_new.isEmpty():
-            append(bad_new, rejects)
-        return spark.read.parquet(target).count(), spark.read.parquet(rejects).count()
-    finally:
-        parsed.unpersist()
+    known = ledger(spark, target)
+    new = [r["file"] for r in files.join(known, "file", "left_anti").distinct().orderBy("file").collect()]
+    done = known.agg(F.coalesce(F.max("last_key"), F.lit(0)).alias("k"), F.countDistinct("load_id").alias("n")).first()
+    if new:
+        load_id = f"{done['n']:06d}-{uuid.uuid4().hex[:12]}"
+        rows, rejects, staged = f"{target}/rows/load_id={load_id}", f"{target}/rejects/load_id={load_id}", f"{target}/staged/{load_id}"
+        good, bad = read(spark, new)
+        good.withColumn("_row", F.monotonically_increasing_id()).write.parquet(f"{staged}/good")
+        bad.write.parquet(rejects)
+        good = spark.read.parquet(f"{staged}/good")
+        if key:
+            good = with_keys(good, done["k"] + 1).withColumnRenamed("key", key)
+        good = good.drop("_row")
+        (transform(good) if transform else good).write.parquet(rows)
+        last = spark.read.parquet(rows).agg(F.max(key)).first()[0] if key else None
+        by_file = lambda path, name: spark.read.parquet(path).groupBy(F.col("_source").alias("file")).agg(F.count(F.lit(1)).alias(name))
+        entry = spark.createDataFrame([(f,) for f in new], "file string")
+        entry = entry.join(by_file(rows, "accepted"), "file", "left").join(by_file(rejects, "rejected"), "file", "left")
+        entry.select(
+            "file", F.lit(load_id).alias("load_id"), F.coalesce("accepted", F.lit(0)).alias("accepted"),
+            F.coalesce("rejected", F.lit(0)).alias("rejected"), F.lit(last or done["k"]).cast("long").alias("last_key"),
+        ).coalesce(1).write.mode("append").parquet(f"{target}/ledger")
+        drop_path(spark, staged)
+    total = ledger(spark, target).agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r")).first()
+    return total["a"] or 0, total["r"] or 0
+
+
+def feed_reader(feed: Feed, date_formats=DEFAULT_DATE_FORMATS, multi_line: bool = True):
+    """``read`` of :func:`load_files` for a CSV feed."""
+    return lambda spark, paths: split(parse(read_files(spark, paths, feed, multi_line), feed, date_formats))
+
+
+#: The column that numbers the rows of a feed's table.
+KEYS = {"survey": "logs", "pests": "id"}
+
+
+def load_feed(spark: SparkSession, source: str, feed: Feed, target: str, transform=None,
+              date_formats=DEFAULT_DATE_FORMATS) -> tuple[int, int]:
+    """S3-S7 + S9 as one job: load every file under ``source`` that ``target`` doesn't have yet."""
+    return load_files(spark, list_files(spark, source), target, feed_reader(feed, date_formats), transform, KEYS.get(feed.name))
+
+
+def load_weather(spark: SparkSession, source: str, target: str, day_from: str = "ordinal") -> tuple[int, int]:
+    """S2 + S9: load every calendar sheet under ``source`` that ``target`` doesn't have yet."""
+    from ananas.sources import weather
+
+    return load_files(spark, list_files(spark, source), target, lambda s, paths: weather.ingest_weather(s, paths, day_from))
 
 
 def write_result(df: DataFrame, path: str) -> None:

@@ -17,22 +17,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-MAX_COLUMNS = 16
-
 # Month-name prefixes in calendar order.
 MONTH_PREFIXES = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
-def read_sheets(spark: SparkSession, path: str, max_columns: int = MAX_COLUMNS) -> DataFrame:
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType(), True) for i in range(max_columns)])
-    raw = (
-        spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
-        .option("recursiveFileLookup", True).csv(path)
-    )
-    return raw.select(F.array(*[F.col(f"c{i}") for i in range(max_columns)]).alias("cells"),
+# A comma with an even number of quotes after it ends a cell.
+CELL_END = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def read_sheets(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines of the sheets as arrays of all their cells, however many there are."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path)
+    cells = F.split(F.regexp_replace("value", "^\ufeff|\r$", ""), CELL_END, -1)
+    bare = F.transform(cells, lambda c: F.replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+    return raw.select(F.transform(bare, lambda c: F.when(c != "", c)).alias("cells"),
                       F.col("_metadata.file_path").alias("_source"),
                       F.monotonically_increasing_id().alias("_pos"))
 
@@ -56,7 +56,7 @@ def parse_sheets(sheets: DataFrame, day_from: str = "ordinal") -> tuple[DataFram
         "_source", "ordinal", "cells", "header",
         F.trim(F.try_element_at(F.filter(F.col("header"), is_num), F.lit(1))).alias("_year_text"),
         F.try_element_at(text_cols, F.lit(1))["i"].alias("_label_pos"),
-        F.slice(text_cols, 2, MAX_COLUMNS).alias("_months"),
+        F.slice(text_cols, F.lit(2), F.size(text_cols)).alias("_months"),
     )
     cells = rows.select(
         "_source", "ordinal", "header", "_year_text", "cells",
@@ -85,7 +85,7 @@ def parse_sheets(sheets: DataFrame, day_from: str = "ordinal") -> tuple[DataFram
     return good, bad
 
 
-def ingest_weather(spark: SparkSession, path: str, day_from: str = "ordinal") -> tuple[DataFrame, DataFrame]:
+def ingest_weather(spark: SparkSession, path: str | list[str], day_from: str = "ordinal") -> tuple[DataFrame, DataFrame]:
     return parse_sheets(read_sheets(spark, path), day_from)
 
 

@@ -1,12 +1,10 @@
 """ST1: drop-folder ingest with Structured Streaming.
 
-Each feed has a folder; new CSV files are picked up once (the file source
-remembers processed files in the checkpoint), parsed by the same function as
-the batch jobs, and each micro-batch writes its accepted rows and its rejects
-to folders named after the batch id with ``overwrite``. A batch replayed
-after a failure therefore rewrites the same output instead of doubling it,
-which makes the whole stream exactly-once per file; running it again over
-the same folder adds nothing.
+Each feed has a folder. The stream finds new files (their contents are not
+read by it), and each micro-batch hands its files to the same loader as the
+batch jobs: one parse, one table, one ledger. A batch replayed after a
+failure finds its files in the ledger and adds nothing, so every file is
+loaded exactly once, by whichever of stream and batch job comes first.
 """
 
 from __future__ import annotations
@@ -26,28 +24,9 @@ class StreamPaths:
     output: str
     checkpoint: str
 
-    @property
-    def accepted(self) -> str:
-        return f"{self.output}/accepted"
 
-    @property
-    def rejects(self) -> str:
-        return f"{self.output}/rejects"
-
-
-def _write_batch(paths: StreamPaths, transform):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = batch.persist()
-        try:
-            good, bad = feeds.split(parsed)
-            if transform is not None:
-                good = transform(good)
-            good.write.mode("overwrite").parquet(f"{paths.accepted}/batch_id={batch_id}")
-            bad.write.mode("overwrite").parquet(f"{paths.rejects}/batch_id={batch_id}")
-        finally:
-            parsed.unpersist()
-
-    return write
+# Fixed value: the schema of Spark's binaryFile source.
+FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def start_feed_stream(
@@ -63,24 +42,38 @@ def start_feed_stream(
     (e.g. N2 for the survey feed, a stream-static join with the municipality
     list). With ``available_now`` the stream processes what is in the folder
     and stops; otherwise it looks for new files every ``interval``."""
-    reader = spark.readStream.schema(feed.text_schema()).options(**feeds.csv_options())
+    return start_stream(spark, paths, feeds.feed_reader(feed), transform, feeds.KEYS.get(feed.name),
+                        available_now, max_files_per_trigger, interval)
+
+
+def start_stream(spark: SparkSession, paths: StreamPaths, read, transform=None, key: str | None = None,
+                 available_now: bool = True, max_files_per_trigger: int | None = None,
+                 interval: str = "30 seconds") -> StreamingQuery:
+    """The stream for any ``read`` of :func:`ananas.sources.feeds.load_files`."""
+    reader = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    text = reader.csv(paths.source).withColumn("_source", F.col("_metadata.file_path"))
-    parsed = feeds.parse(text, feed)
-    writer = parsed.writeStream.foreachBatch(_write_batch(paths, transform)).option("checkpointLocation", paths.checkpoint)
+    files = reader.load(paths.source).select(F.col("_metadata.file_path").alias("file"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        feeds.load_files(batch.sparkSession, batch, paths.output, read, transform, key)
+
+    writer = files.writeStream.foreachBatch(write).option("checkpointLocation", paths.checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     return writer.start()
 
 
-def run_once(spark: SparkSession, feed: feeds.Feed, paths: StreamPaths, transform=None,
-             max_files_per_trigger: int | None = None) -> None:
-    """Process every file now in the folder, then return."""
-    q = start_feed_stream(spark, feed, paths, transform, available_now=True, max_files_per_trigger=max_files_per_trigger)
+def _finish(q: StreamingQuery) -> None:
     q.awaitTermination()
     if q.exception():
         raise q.exception()
 
 
+def run_once(spark: SparkSession, feed: feeds.Feed, paths: StreamPaths, transform=None,
+             max_files_per_trigger: int | None = None) -> None:
+    """Process every file now in the folder, then return."""
+    _finish(start_feed_stream(spark, feed, paths, transform, available_now=True, max_files_per_trigger=max_files_per_trigger))
+
+
 def read_accepted(spark: SparkSession, paths: StreamPaths) -> DataFrame:
-    return spark.read.parquet(paths.accepted)
+    return feeds.read_loaded(spark, paths.output)

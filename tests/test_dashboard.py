@@ -39,12 +39,12 @@ def test_cli_curate_report_load(spark, capsys):
     os.makedirs(src)
     with open(f"{src}/p.csv", "w") as fh:
         fh.write("DATE,Medium,Large,BUYER/SELLER\n2001-01-05,10.50,12.25,Juan\n")
-    args = ["load", "--feed", "price", "--source", src, "--target", f"{out}/price", "--rejects", f"{out}/rej"]
+    args = ["load", "--feed", "price", "--source", src, "--target", f"{out}/price"]
     assert main(args) == 0 and main(args) == 0
     assert "accepted 1 rejected 0" in capsys.readouterr().out
     sargs = ["stream", "--feed", "price", "--source", src, "--out", f"{out}/s", "--checkpoint", f"{out}/ck", "--once"]
     assert main(sargs) == 0 and main(sargs) == 0
-    assert spark.read.parquet(f"{out}/s/accepted").count() == 1
+    assert spark.read.parquet(f"{out}/s/rows").count() == 1
 
 
 def test_route_bundles_run(synthetic):

@@ -42,15 +42,31 @@ def test_wrong_cell_count_is_rejected(spark):
     assert sorted(r._reject for r in bad.collect()) == ["empty", "malformed", "malformed"]
 
 
-def test_header_order_is_checked(spark):
-    path = _write(staging_path(spark, "t-price-bad"), "a.csv", "Large,DATE,Medium,BUYER/SELLER\n1,2001-01-01,2,x\n")
-    good, _ = feeds.ingest(spark, path, feeds.PRICE)
-    try:
-        good.collect()
-        raised = False
-    except Exception:  # noqa: BLE001
-        raised = True
-    assert raised
+def test_cells_are_found_by_header_name(spark):
+    path = staging_path(spark, "t-price-names")
+    _write(path, "a.csv", "Large,More,DATE,Medium,BUYER/SELLER\n1,q,2020-1-8,2,x\n")
+    _write(path, "b.csv", "DATE,Medium,Large\n2001-01-02,1,2\n")  # lacks a column: rejects, and the others are read
+    _write(path, "c.csv", "\ufeffDATE,Medium,Large,BUYER/SELLER\n2001/1/3,1,2,y\n")
+    _write(path, "d.csv", "")
+    good, bad = feeds.ingest(spark, path, feeds.PRICE)
+    got = sorted((r.date, r.med_price, r.lg_price, r.buyer_seller) for r in good.collect())
+    assert got == [(dt.date(2001, 1, 3), Decimal(1), Decimal(2), "y"), (dt.date(2020, 1, 8), Decimal(2), Decimal(1), "x")]
+    assert [r._reject for r in bad.collect()] == ["header:BUYER/SELLER"]
+
+
+def test_quotes_blanks_and_quoted_breaks(spark):
+    text = 'DATE,Medium,Large,BUYER/SELLER\n2001-01-02,1,2,"Ba ""sud"" x"\n2001-01-03, 1 ,2, Daet \n2001-01-04,1,2,"two\nlines, one"\n'
+    path = _write(staging_path(spark, "t-dialect"), "a.csv", text)
+    good, bad = feeds.ingest(spark, path, feeds.PRICE)
+    assert [r.buyer_seller for r in good.orderBy("date").collect()] == ['Ba "sud" x', "Daet", "two\nlines, one"]
+    assert bad.count() == 0
+
+
+def test_wide_weather_sheet_keeps_every_cell(spark):
+    heads = ["Day", "2020"] + ["Jan", "Feb"] * 12
+    path = _write(staging_path(spark, "t-wide"), "w.csv", ",".join(heads) + "\n" + ",".join(["1", "x"] + [str(i) for i in range(24)]) + "\n")
+    good, bad = weather.ingest_weather(spark, path)
+    assert sorted(int(r.rain_amount) for r in good.collect()) == list(range(24)) and bad.count() == 0
 
 
 SURVEY_HEAD = ",".join(feeds.SURVEY.headers)
@@ -125,7 +141,8 @@ def test_stream_is_exactly_once(spark):
     _write(src, "b.csv", "DATE,Medium,Large,BUYER/SELLER\n2001-02-01,1,2,x\n2001-02-02,1,2,y\n")
     stream.run_once(spark, feeds.PRICE, paths)
     assert stream.read_accepted(spark, paths).count() == 3
-    assert spark.read.parquet(paths.rejects).count() == 2
+    assert feeds.read_rejects(spark, paths.output).count() == 2
+    assert feeds.load_feed(spark, src, feeds.PRICE, paths.output) == (3, 2)  # a batch load of the same folder adds nothing
 
 
 def test_sync_farmer_id(spark):
@@ -184,14 +201,55 @@ def test_survey_stream_with_municipality_sync(spark):
     assert [(r.raw_municipality, r.raw_municipality_name, r.is_synced) for r in rows] == [("1", "Alpha", True)]
 
 
-def test_load_completes_a_half_done_job(spark):
-    src = staging_path(spark, "t-half-src")
+def test_unpublished_load_is_loaded_again(spark):
+    src, target = staging_path(spark, "t-half-src"), staging_path(spark, "t-half-out")
+    _write(src, "a.csv", PRICE_CSV)
+    good, _ = feeds.ingest(spark, src, feeds.PRICE)
+    good.write.parquet(f"{target}/rows/load_id=000000-dead")  # a load that died before its ledger entry
+    assert feeds.load_feed(spark, src, feeds.PRICE, target) == (1, 2)
+    assert feeds.load_feed(spark, src, feeds.PRICE, target) == (1, 2)
+    assert feeds.read_loaded(spark, target).count() == 1 and feeds.read_rejects(spark, target).count() == 2
+
+
+def test_a_failed_load_keeps_all_files_for_the_next(spark):
+    src, target = staging_path(spark, "t-fail-src"), staging_path(spark, "t-fail-out")
+    _write(src, "a.csv", PRICE_CSV)
+    _write(src, "b.csv", "DATE,Medium,Large,BUYER/SELLER\n2001-02-01,1,2,x\n")
+
+    def broken(good):
+        raise RuntimeError("lost")
+
+    try:
+        feeds.load_feed(spark, src, feeds.PRICE, target, broken)
+    except RuntimeError:
+        pass
+    assert feeds.load_feed(spark, src, feeds.PRICE, target) == (2, 2)
+
+
+def test_second_load_reads_only_new_files(spark):
+    src, target = staging_path(spark, "t-new-src"), staging_path(spark, "t-new-out")
     _write(src, "a.csv", PRICE_CSV)
-    target, rejects = staging_path(spark, "t-half-out"), staging_path(spark, "t-half-rej")
-    good, bad = feeds.ingest(spark, src, feeds.PRICE)
-    feeds.append(feeds.with_ingest_id(good), target)  # the job died before writing its rejects
-    assert feeds.load_feed(spark, src, feeds.PRICE, target, rejects) == (1, 2)
-    assert feeds.load_feed(spark, src, feeds.PRICE, target, rejects) == (1, 2)
+    seen = []
+
+    def read(s, paths):
+        seen.append(sorted(os.path.basename(p) for p in paths))
+        return feeds.feed_reader(feeds.PRICE)(s, paths)
+
+    load = lambda: feeds.load_files(spark, feeds.list_files(spark, src), target, read)
+    load()
+    load()
+    _write(src, "b.csv", "DATE,Medium,Large,BUYER/SELLER\n2001-02-01,1,2,x\n")
+    assert load() == (2, 2) and seen == [["a.csv"], ["b.csv"]]
+
+
+def test_loaded_rows_have_unique_keys(spark):
+    src, target = staging_path(spark, "t-key-src"), staging_path(spark, "t-key-out")
+    for i in range(3):
+        _write(src, f"p{i}.csv", "Category,Name,Description,Damage,Management,Report Count\nPests,a,,,,3\nPests,b,,,,x\nWeeds,c,,,,5\n")
+        feeds.load_feed(spark, src, feeds.PESTS, target)
+    rows = feeds.pest_catalogue(feeds.read_loaded(spark, target)).collect()
+    assert len(rows) == len({r.id for r in rows}) == 6
+    assert {(r.category, r.rank, round(r.percent, 3)) for r in rows} == {("Pests", 1, 33.333), ("Weeds", 1, 33.333)}
 
 
 def test_continuous_stream_picks_up_new_files(spark):
