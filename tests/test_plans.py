@@ -6,7 +6,7 @@ import io
 import pytest
 
 import __spark_entry__ as E
-from ananas.plans import area, farmers, gender, market, population, registration
+from ananas.plans import area, farmers, gender, harvest, market, population, registration
 from ananas.plans.catalog import AS_OF, reports
 from ananas.session import staging_path
 from ananas.sources.tables import Tables
@@ -40,6 +40,20 @@ def test_flag_counts_have_no_expand(synthetic, fn):
     assert "Expand" not in plan(fn(synthetic))
 
 
+@pytest.mark.parametrize("fn", [
+    farmers.farmer_count_series, area.area_series, harvest.harvest_series, lambda t: area.area_all(t, AS_OF),
+])
+def test_totals_do_not_expand_raw_rows(curated, fn):
+    """Each Expand reads an exchange or aggregate, never the scan."""
+    tree = fn(curated)._jdf.queryExecution().sparkPlan().toString()
+    lines = tree.splitlines()
+    for i, line in enumerate(lines):
+        if "Expand" in line:
+            below = [x for x in lines[i + 1 :] if len(x) - len(x.lstrip(" :+-*")) > len(line) - len(line.lstrip(" :+-*"))]
+            first = next(x for x in below if "Project" not in x)
+            assert "Aggregate" in first or "Join" in first, tree
+
+
 def _survey_scans(df) -> int:
     return df._jdf.queryExecution().executedPlan().toString().count("/qp_farmer_raw]")
 
