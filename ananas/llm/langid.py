@@ -25,8 +25,8 @@ CELLS = 1 << 18
 SCRIPT_SHARE = 0.02
 #: What a word costs in a language that doesn't use its script.
 WRONG_SCRIPT = -60.0
-#: Letters worked on at a time.
-CHUNK = 2_000_000
+#: Letters whose words are scored at a time, and letters whose texts advance together.
+PIECE, CHUNK = 250_000, 2_000_000
 
 # Scripts by range of code points (first, last, script).
 SCRIPTS = [
@@ -103,7 +103,7 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         at = {v: i for i, v in enumerate(languages)}
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), _clean(batch.column(1).to_pylist())
-            for part, chunk in _chunks(texts):
+            for part, chunk in _chunks(texts, PIECE):
                 if got := _words(chunk):
                     cell, starts, text, script = got
                     owner = np.array([at[v] for v in langs[part : part + len(chunk)]])
@@ -127,11 +127,11 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return Model(languages, logp, allowed)
 
 
-def _chunks(texts: list[str]):
-    """Runs of texts of about CHUNK letters, with the place of the first."""
+def _chunks(texts: list[str], most: int):
+    """Runs of texts of about ``most`` letters, with the place of the first."""
     first, size = 0, 0
     for i, t in enumerate(texts):
-        if i > first and size + len(t) > CHUNK:
+        if i > first and size + len(t) > most:
             yield first, texts[first:i]
             first, size = i, 0
         size += len(t) + 1
@@ -171,17 +171,25 @@ def viterbi(scores: np.ndarray, begin: np.ndarray, size: np.ndarray, switch: flo
     return best
 
 
+def _scored(first: int, texts: list[str], model: Model):
+    """(text, letters, scores by language) of each word; ``first`` is the place of the first text."""
+    got = _words(texts)
+    if not got:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((0, len(model.languages)))
+    cell, starts, text, script = got
+    scores = np.add.reduceat(model.logp[cell], starts, axis=0).astype(np.float64)
+    scores[~model.allowed[script[starts]]] += WRONG_SCRIPT
+    return text + first, np.diff(np.r_[starts, len(cell)]), scores
+
+
 def label_texts(texts: list[str], model: Model, switch: float = SWITCH):
     """Per text: language or ``und``, score, spans ``language:first word:last word``."""
     out = [("und", 0.0, "")] * len(texts)
-    for first, chunk in _chunks(texts):
-        got = _words(chunk) if model.languages else None
-        if not got:
+    for first, chunk in _chunks(texts, CHUNK) if model.languages else ():
+        got = [_scored(part, piece, model) for part, piece in _chunks(chunk, PIECE)]
+        text, letters, scores = (np.concatenate(c) for c in zip(*got))
+        if not len(text):
             continue
-        cell, starts, text, script = got
-        scores = np.add.reduceat(model.logp[cell], starts, axis=0).astype(np.float64)
-        scores[~model.allowed[script[starts]]] += WRONG_SCRIPT
-        letters = np.diff(np.r_[starts, len(cell)])
         begin = np.flatnonzero(np.r_[True, np.diff(text) > 0])
         size = np.diff(np.r_[begin, len(text)])
         best = viterbi(scores, begin, size, switch)
