@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at a time; a longer text is a run of its own.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -2,10 +2,10 @@
 
 A text is its set of 4-word shingles. Pairs can only link if they share one of their rarest
 shingles (the first ``n - ceil(t n) + 1`` in a global order of rarity), so documents meet in the
-bucket of such a shingle. In a bucket the shingle counts of ``GROUPS`` hash groups are a point;
-the overlap of two sets is at most the sum of the smaller coordinates. An R-tree packed over the
-points of a bucket prunes whole branches by that bound, the points prune pairs, and what is left
-is compared shingle by shingle. Buckets of documents that are already in one component are done,
+bucket of such a shingle. In a bucket the shingle counts of hash groups are a point; the overlap
+of two sets is at most the sum of the smaller coordinates. An R-tree packed over the points of a
+bucket prunes whole branches by that bound, the points prune pairs, and what is left is compared
+shingle by shingle. Long texts have more groups, in a multiple: their points fold to coarser ones. Buckets of documents that are already in one component are done,
 so a group of near copies is joined by links along its buckets and never by all its pairs.
 """
 
@@ -25,6 +25,7 @@ from ananas.llm.shared import components, small_side, written
 SHINGLE = 4
 #: Two texts link from this share of common shingles on, in percent.
 PERCENT = 85
+#: Least number of groups; a text of n shingles has the power of two from 1.5 n on.
 GROUPS = 128
 #: Cells in which shingles are counted to order them by rarity.
 CELLS = 1 << 16
@@ -104,6 +105,62 @@ def cell_counts(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def point_of(h: np.ndarray) -> bytes:
+    """Counts of shingles by hash group: two bits a group, then what lies beyond three, in all.
+
+    There are more groups than shingles, so sets that differ in a few shingles seldom hide that.
+    """
+    groups = GROUPS
+    while 2 * groups < 3 * len(h):
+        groups *= 2
+    counts = np.bincount((h & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    low = np.minimum(counts, 3).astype(np.uint8).reshape(-1, 4)
+    packed = low[:, 0] | low[:, 1] << 2 | low[:, 2] << 4 | low[:, 3] << 6
+    return packed.tobytes() + np.uint32((counts - np.minimum(counts, 3)).sum()).tobytes()
+
+
+def unpacked(points: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(counts up to three, rest) of points with the same number of groups."""
+    raw = np.frombuffer(b"".join(points), dtype=np.uint8).reshape(len(points), -1)
+    rest = np.ascontiguousarray(raw[:, -4:]).view(np.uint32)[:, 0].astype(np.int64)
+    low = (raw[:, :-4, None] >> np.array([0, 2, 4, 6], dtype=np.uint8)) & 3
+    return low.reshape(len(points), -1), rest
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """Rows of counts with their groups merged to ``groups``."""
+    if counts.shape[1] == groups:
+        return counts
+    return counts.reshape(len(counts), -1, groups).sum(axis=1, dtype=np.uint16)
+
+
+def allowed(x: list[bytes], y: list[bytes], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the points of each pair leave room for the overlap it needs, at the finest common groups.
+
+    Beyond three in a group, two sets share at most the lesser rest, or the larger once groups are merged.
+    """
+    kind = np.array([(len(a), len(b)) for a, b in zip(x, y)], dtype=np.int64).reshape(-1, 2)
+    keep = np.zeros(len(x), dtype=bool)
+    for u, v in np.unique(kind, axis=0):
+        own = np.flatnonzero((kind == (u, v)).all(axis=1))
+        groups = 4 * (int(min(u, v)) - 4)
+        for part in np.array_split(own, max(1, len(own) * int(max(u, v)) >> 21)):
+            (a, more_a), (b, more_b) = (unpacked([z[i] for i in part]) for z in (x, y))
+            bound = np.minimum(folded(a, groups), folded(b, groups)).sum(axis=1, dtype=np.int64)
+            bound += np.minimum(more_a, more_b) if u == v else np.maximum(more_a, more_b)
+            keep[part] = bound >= least_overlap(n[part], m[part], percent)
+    return keep
+
+
+def coarse_points(points: list[bytes]) -> np.ndarray:
+    """Points at the least number of groups, none too small: the rest is added to every group."""
+    out = []
+    for p in points:
+        low, rest = unpacked([p])
+        out.append(folded(low, GROUPS).astype(np.uint16) + np.minimum(rest, 60000).astype(np.uint16)[:, None])
+    return np.concatenate(out)
+
+
 _SETS = "row long, doc_id long, th long, n long, digest binary, tokens array<long>, point binary"
 
 
@@ -126,7 +183,7 @@ def document_sets(docs: DataFrame, cells: np.ndarray, shingle: int = SHINGLE, pe
                 digests.append(d)
                 rare = h[np.lexsort((h, shared.value[(h >> np.uint64(48)).astype(np.int64)]))[: needed(len(h), percent)]] if new else h[:0]
                 tokens.append(rare.view(np.int64))
-                points.append(np.minimum(np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16).tobytes() if new else None)
+                points.append(point_of(h) if new else None)
             lengths = np.r_[0, np.cumsum([len(t) for t in tokens])].astype(np.int32)
             flat = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.int64)
             cols = [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat)), pa.array(points, pa.binary())]
@@ -137,16 +194,19 @@ def document_sets(docs: DataFrame, cells: np.ndarray, shingle: int = SHINGLE, pe
 
 
 def bucket_rows(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(tok, row, n, prev, first): members of buckets of two or more, each with two earlier members, written.
+    """(tok, row, n, prev, first): members of buckets with two earlier members, written.
 
-    Members are in order of size; a member whose size rules out a link with the earlier one has null there.
+    Members are in order of size. If any other member's size allows a link, that of a neighbour in this
+    order does, so members whose neighbours are both too far are left out; an earlier member that is too
+    far is null.
     """
     t = sets.select("row", "n", F.explode("tokens").alias("tok"))
     w = Window.partitionBy("tok").orderBy("n", "row")
-    t = t.select("tok", "row", "n", F.lag("row").over(w).alias("prev"), F.lag("n").over(w).alias("prev_n"), F.first("row").over(w).alias("first"), F.first("n").over(w).alias("first_n"), F.lead("row").over(w).alias("next"))
-    t = t.filter("prev is not null or next is not null")
-    fits = lambda k: F.when(F.col(f"{k}_n") * 100 >= F.col("n") * percent, F.col(k))
-    return written(t.select("tok", "row", "n", fits("prev").alias("prev"), F.when(F.col("first") != F.col("row"), fits("first")).alias("first")), "buckets")
+    t = t.select("tok", "row", "n", F.lag("row").over(w).alias("prev"), F.lag("n").over(w).alias("prev_n"), F.first("row").over(w).alias("first"), F.first("n").over(w).alias("first_n"), F.lead("n").over(w).alias("next_n"))
+    fits = lambda small, large: F.coalesce(F.col(small) * 100 >= F.col(large) * percent, F.lit(False))
+    t = t.filter(fits("prev_n", "n") | fits("n", "next_n"))
+    prev, first = F.when(fits("prev_n", "n"), F.col("prev")), F.when(fits("first_n", "n") & (F.col("first") != F.col("row")), F.col("first"))
+    return written(t.select("tok", "row", "n", prev.alias("prev"), first.alias("first")), "buckets")
 
 
 def _bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,8 +220,7 @@ def _bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if not len(batch):
                 continue
             n, m = (np.asarray(batch.column(i)) for i in (2, 4))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(-1, GROUPS) for i in (3, 5))
-            keep = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= least_overlap(n, m, percent)
+            keep = allowed(batch.column(3).to_pylist(), batch.column(5).to_pylist(), n, m, percent)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
     return joined.select("a", "b", "an", "ap", "bn", "bp").mapInArrow(run, "a long, b long")
@@ -229,6 +288,38 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percen
         yield a[keep], b[keep]
 
 
+def _bucket_pairs(tok, row, n, label, point, percent: int) -> pa.RecordBatch:
+    """Pairs (a, b) of whole buckets, one after the other, that sizes, labels and points allow.
+
+    Small buckets are compared all at once, large ones each by its tree.
+    """
+    start = np.flatnonzero(np.r_[True, np.diff(tok) != 0][: len(tok)])
+    size = np.diff(np.r_[start, len(tok)])
+    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for k in range(2, LEAF + 1):
+        x, y = np.triu_indices(k, 1)
+        own = start[size == k][:, None]
+        a.append((own + x).ravel())
+        b.append((own + y).ravel())
+    for i, k in zip(start[size > LEAF], size[size > LEAF]):
+        if (label[i : i + k] != label[i]).any():
+            coarse = coarse_points(point[i : i + k].tolist())
+            for x, y in tree_pairs(coarse, n[i : i + k], label[i : i + k], percent):
+                a.append(x + i)
+                b.append(y + i)
+    a, b = np.concatenate(a), np.concatenate(b)
+    keep = (label[a] != label[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
+    a, b = a[keep], b[keep]
+    swap = row[a] > row[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    order = np.lexsort((row[b], row[a]))
+    a, b = a[order], b[order]
+    first = np.r_[True, (np.diff(row[a]) != 0) | (np.diff(row[b]) != 0)][: len(a)]
+    a, b = a[first], b[first]
+    keep = allowed(point[a].tolist(), point[b].tolist(), n[a], n[b], percent)
+    return pa.RecordBatch.from_arrays([pa.array(row[a[keep]], pa.int64()), pa.array(row[b[keep]], pa.int64())], names=["a", "b"])
+
+
 def _residual(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of buckets whose members are in different components."""
     m = buckets.select("tok", "row", "n").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
@@ -237,36 +328,18 @@ def _residual(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     # members of a bucket arrive together, smallest first
     m = m.select("tok", "row", "n", "label", "point").repartition("tok").sortWithinPartitions("tok", "n", "row")
 
-    def pairs(tok):
-        rows, n, label, point = (np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*tok))
-        if len(rows) < 2 or (label == label[0]).all():
-            return []
-        return [(rows[a], rows[b]) for a, b in tree_pairs(point, n, label, percent) if len(a)]
-
     def run(batches):
-        held, key = [], None  # members of the bucket that may go on in the next batch
-
-        def out(found):
-            a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, dtype=np.int64)
-            b = np.concatenate([y for _, y in found]) if found else np.zeros(0, dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
+        held = None  # the last bucket so far, which may go on in the next batch
         for batch in batches:
             if not len(batch):
                 continue
-            tok, row, n, label = (np.asarray(batch.column(i)) for i in range(4))
-            point = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint16).reshape(-1, GROUPS)
-            cut = np.r_[0, np.flatnonzero(np.diff(tok)) + 1, len(tok)]
-            found = []
-            for i, j in zip(cut[:-1], cut[1:]):
-                if held and tok[i] != key:
-                    found += pairs(held)
-                    held = []
-                key = tok[i]
-                held.append((row[i:j], n[i:j], label[i:j], point[i:j]))
-            yield out(found)
-        if held:
-            yield out(pairs(held))
+            now = [np.asarray(batch.column(i)) for i in range(4)] + [np.array(batch.column(4).to_pylist(), dtype=object)]
+            now = now if held is None else [np.concatenate(c) for c in zip(held, now)]
+            last = np.flatnonzero(np.r_[True, np.diff(now[0]) != 0])[-1]
+            yield _bucket_pairs(*(c[:last] for c in now), percent)
+            held = [c[last:] for c in now]
+        if held is not None:
+            yield _bucket_pairs(*held, percent)
 
     return m.mapInArrow(run, "a long, b long").distinct()
 
