@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ananas.llm.shared import written
+from ananas.llm.shared import small_side, written
 
 REVISIT_BYTES = 1000
 #: Fixed values of the format.
@@ -39,15 +39,23 @@ def write_archive(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, date: st
     html is an empty payload, a null page_id sorts before all others, a null url is an empty target.
     Other columns are ignored.
     """
-    p = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    p = p.withColumn("sha256", F.sha2("payload", 256)).withColumn("sha1", F.sha1("payload")).withColumn("length", F.octet_length("payload").cast("long"))
-    p = written(p, "captures")
-    heads = p.drop("payload")
-    # a payload is stored from its last capture; the maximum is taken before anything is shuffled
-    chosen = written(heads.groupBy("sha256").agg(F.max(F.struct("page_id", "row")).alias("r")).select("sha256", "r.row", F.col("r.page_id").alias("response_id")), "chosen")
-    payloads = written(p.select("row", "sha256", "length", "payload").join(chosen.select("row"), "row", "left_semi").drop("row"), "payloads")
-
-    r = heads.join(chosen.withColumnRenamed("row", "response_row"), "sha256")
+    p = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+    p = p.withColumn("sha256", F.sha2("payload", 256))
+    heads = p.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("length"))
+    heads = written(heads, "heads")
+    # the maximum is taken before anything is shuffled; rows with the chosen id count as its ties
+    chosen = heads.groupBy("sha256").agg(F.max(F.struct("page_id", "row")).alias("r"), F.count("*").alias("captures"))
+    chosen = written(chosen.select("sha256", F.col("r.row").alias("response_row"), F.col("r.page_id").alias("response_id"), "captures"), "chosen")
+    # a payload that is captured once is stored as it is scanned; of the others the response's copy is
+    again = small_side(written(chosen.filter("captures > 1").select(F.col("sha256").alias("address"), F.col("response_id").alias("keeper")), "repeated"))
+    p = p.select("page_id", "sha256", "payload").join(again, F.col("sha256") == F.col("address"), "left")
+    bytes_ = F.octet_length("payload").cast("long").alias("length")
+    once = p.filter("address is null").select("sha256", bytes_, "payload")
+    copies = p.filter(F.col("address").isNotNull() & F.col("page_id").eqNullSafe(F.col("keeper")))
+    copies = copies.groupBy("sha256").agg(F.first("payload").alias("payload")).select("sha256", bytes_, "payload")
+    payloads = written(once.union(copies), "payloads")
+
+    r = heads.join(chosen.drop("captures"), "sha256")
     revisit = (F.col("length") >= revisit_bytes) & (F.col("row") != F.col("response_row"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     lines = [
