@@ -14,6 +14,7 @@ documents is a row for each run and not for each document.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,12 @@ GRAM = 24
 SAMPLE_DOCS = 2000
 #: A null id stands after all others.
 LAST = (1 << 63) - 1
+#: Anchors that a task holds before it deals them out.
+HELD = 65536
+#: Ranges of surroundings for each shuffle partition: a task sorts one at a time.
+RANGES = 4
+#: Of an anchor: owner, hash of the text, place, bytes before and from it on.
+KINDS = (np.int64, np.int64, np.uint32, np.uint8, np.uint8)
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -96,50 +103,85 @@ def _anchor_rows(column: pa.Array, match: int, gram: int):
 
 
 def shared_anchors(docs: DataFrame, parts: int, match: int = MATCH, gram: int = GRAM) -> DataFrame:
-    """(id, places): for each document, packed places of anchors whose hash another id has, too."""
+    """(slice, bytes): for each slice of the documents, packed anchors whose hash another id has, too.
+
+    A row is what one part of the hashes has for one slice: number of ids, then ids, counts and places.
+    """
 
     def deal(batches):
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            for text, place, h in _anchor_rows(batch.column(1), match, gram):
-                part = (h % np.uint64(parts)).astype(np.int64)
-                key = (mixed(h) >> np.uint64(32)).astype(np.uint32)
-                order = np.lexsort((text, part))
-                part, key, text, place = part[order], key[order], text[order], place[order].astype(np.uint32)
-                cut = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)] if len(part) else [0]
-                cols = [[], [], [], [], []]
-                for i, j in zip(cut[:-1], cut[1:]):
-                    own, n = np.unique(text[i:j], return_counts=True)
-                    for c, v in zip(cols, (int(part[i]), key[i:j].tobytes(), place[i:j].tobytes(), ids[own].tobytes(), n.astype(np.uint32).tobytes())):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "keys", "places", "ids", "counts"])
+            ids, slices = (np.asarray(batch.column(i)) for i in range(2))
+            held, n = [], 0
+            for rows in _anchor_rows(batch.column(2), match, gram):
+                held.append(rows)
+                n += len(rows[0])
+                if n >= HELD:
+                    yield dealt_rows(ids, slices, *map(np.concatenate, zip(*held)))
+                    held, n = [], 0
+            if n:
+                yield dealt_rows(ids, slices, *map(np.concatenate, zip(*held)))
+
+    def dealt_rows(ids, slices, text, place, h):
+        part = (h % np.uint64(parts)).astype(np.int64)
+        key = (mixed(h) >> np.uint64(32)).astype(np.uint32)
+        order = np.lexsort((text, part))
+        part, key, text, place = part[order], key[order], text[order], place[order].astype(np.uint32)
+        cut = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
+        cols = [[], [], []]
+        for i, j in zip(cut[:-1], cut[1:]):
+            own, n = np.unique(text[i:j], return_counts=True)
+            rest = zlib.compress(place[i:j].tobytes() + ids[own].tobytes() + slices[own].astype(np.int32).tobytes() + n.astype(np.uint32).tobytes(), 6)
+            for c, v in zip(cols, (int(part[i]), key[i:j].tobytes(), rest)):
+                c.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "keys", "rest"])
 
     def meet(batches):
-        keys, places, ids = [], [], []
+        got = [[], [], [], []]
         for batch in batches:
-            for k, p, i, n in zip(*(batch.column(c).to_pylist() for c in range(1, 5))):
-                keys.append(np.frombuffer(k, dtype=np.uint32))
-                places.append(np.frombuffer(p, dtype=np.uint32))
-                ids.append(np.repeat(np.frombuffer(i, dtype=np.int64), np.frombuffer(n, dtype=np.uint32)))
-        if not keys:
+            for k, rest in zip(*(batch.column(c).to_pylist() for c in (1, 2))):
+                key, rest = np.frombuffer(k, dtype=np.uint32), zlib.decompress(rest)
+                texts = (len(rest) - 4 * len(key)) // 16
+                place, rest = np.frombuffer(rest, dtype=np.uint32, count=len(key)), rest[4 * len(key) :]
+                own = np.frombuffer(rest, dtype=np.int64, count=texts)
+                cut = np.frombuffer(rest, dtype=np.int32, count=texts, offset=8 * texts)
+                n = np.frombuffer(rest, dtype=np.uint32, offset=12 * texts)
+                for g, v in zip(got, (key, place, np.repeat(own, n), np.repeat(cut, n))):
+                    g.append(v)
+        if not got[0]:
             return
-        key, place, own = np.concatenate(keys), np.concatenate(places), np.concatenate(ids)
-        del keys, places, ids
+        key, place, own, cut = map(np.concatenate, got)
+        got.clear()
         order = np.argsort(key, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
         lone = np.minimum.reduceat(own[order], starts) == np.maximum.reduceat(own[order], starts)
         keep = order[~np.repeat(lone, np.diff(np.r_[starts, len(key)]))]
-        own, place = own[keep], place[keep]
-        order = np.lexsort((place, own))
-        own, place = own[order], place[order]
-        cut = np.r_[np.flatnonzero(np.r_[True, np.diff(own) != 0]), len(own)] if len(own) else [0]
-        for a in range(0, len(cut) - 1, 20000):
-            some = cut[a : a + 20001]
-            yield pa.RecordBatch.from_arrays([pa.array(own[some[:-1]]), pa.array([place[i:j].tobytes() for i, j in zip(some[:-1], some[1:])], pa.binary())], names=["id", "places"])
-
-    dealt = docs.mapInArrow(deal, "part int, keys binary, places binary, ids binary, counts binary")
-    met = dealt.repartition(parts, "part").mapInArrow(meet, "id long, places binary")
-    return met.groupBy("id").agg(F.collect_list("places").alias("places"))
+        own, place, cut = own[keep], place[keep], cut[keep]
+        order = np.lexsort((place, own, cut))
+        own, place, cut = own[order], place[order], cut[order]
+        ends = np.r_[np.flatnonzero(np.r_[True, np.diff(cut) != 0][: len(cut)]), len(cut)]
+        packs = []
+        for i, j in zip(ends[:-1], ends[1:]):
+            first = np.flatnonzero(np.r_[True, np.diff(own[i:j]) != 0])
+            n = np.diff(np.r_[first, j - i]).astype(np.uint32)
+            packs.append(np.int64(len(first)).tobytes() + own[i:j][first].tobytes() + n.tobytes() + place[i:j].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(cut[ends[:-1]] if len(cut) else np.zeros(0, dtype=np.int32), pa.int32()), pa.array(packs, pa.binary())], names=["slice", "bytes"])
+
+    dealt = docs.select("id", "slice", "text").mapInArrow(deal, "part int, keys binary, rest binary")
+    return dealt.repartition(parts, "part").mapInArrow(meet, "slice int, bytes binary")
+
+
+def _places(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(id, place) of packed anchors, in order."""
+    own, place = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for b in packs:
+        k = int(np.frombuffer(b, dtype=np.int64, count=1)[0])
+        ids = np.frombuffer(b, dtype=np.int64, count=k, offset=8)
+        n = np.frombuffer(b, dtype=np.uint32, count=k, offset=8 + 8 * k)
+        own.append(np.repeat(ids, n))
+        place.append(np.frombuffer(b, dtype=np.uint32, offset=8 + 12 * k).astype(np.int64))
+    own, place = np.concatenate(own), np.concatenate(place)
+    order = np.lexsort((place, own))
+    return own[order], place[order]
 
 
 def splitters(docs: DataFrame, parts: int, match: int = MATCH, gram: int = GRAM, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
@@ -235,62 +277,89 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, sample
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = spark.sparkContext.broadcast(splitters(docs, parts, match, gram, sample_docs))  # fewer than the partitions
-    places = shared_anchors(docs.select("id", "text"), parts, match, gram)
+    cuts = spark.sparkContext.broadcast(splitters(docs, RANGES * parts, match, gram, sample_docs))  # a key a range
+    docs = docs.withColumn("slice", F.pmod(F.hash("id"), F.lit(RANGES * parts)).cast("int"))
+    places = shared_anchors(docs, parts, match, gram)
     reach = match - gram
     width = reach + match
 
-    def contexts(batches):
-        for batch in batches:
+    def contexts(texts: pa.Table, packs: pa.Table) -> pa.Table:
+        """Surroundings of the anchors of one slice of the documents."""
+        known, at = _places(packs.column("bytes").to_pylist())
+        out = []
+        for batch in texts.select(["id", "th", "text"]).to_batches() if len(known) else ():
             ids, ths = (np.asarray(batch.column(i)) for i in range(2))
             data, offsets = utf8(batch.column(2))
-            packed = batch.column(3).to_pylist()
+            low, high = np.searchsorted(known, ids, side="left"), np.searchsorted(known, ids, side="right")
+            held, n = [], 0
             for first, end in runs(offsets):
-                at = [np.frombuffer(b"".join(p), dtype=np.uint32).astype(np.int64) if p else np.zeros(0, dtype=np.int64) for p in packed[first:end]]
                 # places of another text with the same id may lie outside this one
-                at = [np.unique(p[p + gram <= n]) for p, n in zip(at, np.diff(offsets[first : end + 1]))]
-                text = np.repeat(np.arange(first, end), [len(p) for p in at])
-                place = np.concatenate(at)
-                if not len(place):
-                    continue
-                left = np.minimum(place, reach)
-                right = np.minimum(offsets[text + 1] - offsets[text] - place, match)
-                whole = left + right >= match
-                text, place, left, right = text[whole], place[whole], left[whole], right[whole]
-                yield from rows_of(ids[text], ths[text], place, left, right, data, offsets[text] + place)
-
-    def rows_of(own, th, place, left, right, data, at):
-        for i in range(0, len(own), 50000):
-            s = slice(i, i + 50000)
-            index = at[s][:, None] + np.arange(-reach, match)
-            ctx = data[np.clip(index, 0, len(data) - 1)]
-            step = np.arange(-reach, match)
-            ctx[(step < -left[s][:, None]) | (step >= right[s][:, None])] = 0
+                own = [at[i:j] for i, j in zip(low[first:end], high[first:end])]
+                own = [np.unique(p[p + gram <= k]) for p, k in zip(own, np.diff(offsets[first : end + 1]))]
+                text = np.repeat(np.arange(first, end), [len(p) for p in own])
+                place = np.concatenate(own)
+                for i in range(0, len(place), HELD):
+                    rows = around(text[i : i + HELD], place[i : i + HELD], data, offsets)
+                    held.append((ids[rows[0]], ths[rows[0]], *rows[1:]))
+                    n += len(rows[0])
+                    if n >= HELD:
+                        out += rows_of(*map(np.concatenate, zip(*held)))
+                        held, n = [], 0
+            if n:
+                out += rows_of(*map(np.concatenate, zip(*held)))
+        kinds = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("th", pa.int64()), ("bytes", pa.binary())])
+        return pa.Table.from_batches(out, kinds)
+
+    def around(text, place, data, offsets):
+        """(text, place, bytes before, bytes from it on, all of these bytes) of anchors that have enough around them."""
+        left = np.minimum(place, reach)
+        right = np.minimum(offsets[text + 1] - offsets[text] - place, match)
+        whole = left + right >= match
+        text, place, left, right = text[whole], place[whole], left[whole], right[whole]
+        step = np.arange(-reach, match)
+        ctx = np.empty((len(text), width), dtype=np.uint8)
+        for i in range(0, len(text), 8192):
+            s = slice(i, i + 8192)
+            index = (offsets[text[s]] + place[s])[:, None] + step
+            ctx[s] = data[np.clip(index, 0, len(data) - 1)]
+            ctx[s][(step < -left[s][:, None]) | (step >= right[s][:, None])] = 0
+        return text, place, left, right, ctx
+
+    def rows_of(own, th, place, left, right, ctx):
+        if len(own):
             part = np.searchsorted(cuts.value, ctx[:, reach : reach + 8].copy().view(">u8")[:, 0].astype(np.uint64), side="right")
             # equal surroundings in this run: all but the smallest id are covered for good
             flat = np.zeros((len(ctx), -(-(width + 2) // 8) * 8), dtype=np.uint8)
             flat[:, :width] = ctx
-            flat[:, width], flat[:, width + 1] = left[s], right[s]
-            known = _least_owner(flat.view(np.uint64), own[s]) < own[s]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(known, -1, part).astype(np.int32)), pa.array(own[s]), pa.array(th[s]), pa.array(place[s]), pa.array(left[s].astype(np.int8)), pa.array(right[s].astype(np.int8)), pa.array([None if k else c.tobytes() for k, c in zip(known, ctx)], pa.binary())],
-                names=["part", "id", "th", "place", "l", "r", "ctx"],
-            )
+            flat[:, width], flat[:, width + 1] = left, right
+            known = _least_owner(flat.view(np.uint64), own) < own
+            yield spans_of(own[known], th[known], place[known], left[known], right[known])
+            rows = np.flatnonzero(~known)
+            rows = rows[np.argsort(part[rows], kind="stable")]
+            cut = np.r_[np.flatnonzero(np.r_[True, np.diff(part[rows]) != 0][: len(rows)]), len(rows)]
+            groups = [rows[i:j] for i, j in zip(cut[:-1], cut[1:])]
+            packs = [zlib.compress(b"".join(c[g].astype(k).tobytes() for c, k in zip((own, th, place, left, right), KINDS)) + ctx[g].tobytes(), 6) for g in groups]
+            none = pa.nulls(len(groups), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[g[0]]) for g in groups], pa.int32()), pa.array([len(g) for g in groups], pa.int64()), none, pa.array(packs, pa.binary())], names=names)
 
     def meet(batches):
         got = [[] for _ in range(6)]
         for batch in batches:
-            part, *cols = (np.asarray(batch.column(i)) for i in range(6))
-            done = part < 0
-            yield spans_of(*(c[done] for c in cols))
-            ctx = np.frombuffer(b"".join(c for c in batch.column(6).to_pylist() if c is not None), dtype=np.uint8).reshape(-1, width)
-            for g, v in zip(got, (*(c[~done] for c in cols), ctx)):
-                g.append(v)
+            part = np.asarray(batch.column(0))
+            yield batch.filter(pa.array(part < 0)).select(names[1:])
+            packs = batch.filter(pa.array(part >= 0))
+            for n, pack in zip(packs.column(1).to_pylist(), packs.column(3).to_pylist()):
+                b, at = zlib.decompress(pack), 0
+                for g, k in zip(got, KINDS):
+                    g.append(np.frombuffer(b, dtype=k, count=n, offset=at))
+                    at += g[-1].nbytes
+                got[5].append(np.frombuffer(b, dtype=np.uint8, offset=at).reshape(n, width))
         if got[0]:
             own, th, place, left, right, ctx = (np.concatenate(g) for g in got)
+            got.clear()
             back, on = covered(ctx, left.astype(np.int64), right.astype(np.int64), own, match, gram)
             some = on > 0
-            yield spans_of(own[some], th[some], place[some], back[some], on[some])
+            yield spans_of(own[some], th[some], place[some].astype(np.int64), back[some], on[some]).select(names[1:])
 
     def spans_of(own, th, place, back, on):
         """A row for each text, with its spans merged."""
@@ -299,19 +368,23 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, sample
         own, th, se = own[order], th[order], se[order]
         starts = np.flatnonzero(np.r_[True, (np.diff(own) != 0) | (np.diff(th) != 0)][: len(own)])
         cut = np.r_[starts, len(own)]
-        return pa.RecordBatch.from_arrays([pa.array(own[starts]), pa.array(th[starts]), pa.array([_merge(se[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())], names=["id", "th", "spans"])
+        part = pa.array(np.full(len(starts), -1, dtype=np.int32))
+        return pa.RecordBatch.from_arrays([part, pa.array(own[starts]), pa.array(th[starts]), pa.array([_merge(se[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())], names=names)
 
-    rows = docs.join(places, "id").select("id", "th", "text", "places").mapInArrow(contexts, "part int, id long, th long, place long, l byte, r byte, ctx binary")
+    names = ["part", "id", "th", "bytes"]
+    # a row is a text's spans (part -1), or surroundings of a range (their number stands for the id), packed
+    both = docs.select("slice", "id", "th", "text").groupBy("slice").cogroup(places.groupBy("slice"))
+    rows = both.applyInArrow(contexts, "part int, id long, th long, bytes binary")
     # spans that are known already go wherever their document's hash does
     rows = rows.withColumn("to", F.when(F.col("part") >= 0, F.col("part").cast("long")).otherwise(F.xxhash64("id")))
-    found = rows.repartition(parts, "to").drop("to").mapInArrow(meet, "id long, th long, spans binary")
+    found = rows.repartition(RANGES * parts, "to").drop("to").mapInArrow(meet, "id long, th long, bytes binary")
 
     def tidy(batches):
         for batch in batches:
             spans = [_merge(np.frombuffer(b"".join(s), dtype=np.int64).reshape(-1, 2)).tobytes() for s in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(spans, pa.binary())], names=["id", "th", "spans"])
 
-    return written(found.groupBy("id", "th").agg(F.collect_list("spans").alias("s")).mapInArrow(tidy, "id long, th long, spans binary"), "spans")
+    return written(found.groupBy("id", "th").agg(F.collect_list("bytes").alias("s")).mapInArrow(tidy, "id long, th long, spans binary"), "spans")
 
 
 def remove_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
