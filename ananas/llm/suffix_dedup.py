@@ -278,7 +278,7 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, sample
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = spark.sparkContext.broadcast(splitters(docs, RANGES * parts, match, gram, sample_docs))  # a key a range
-    docs = docs.withColumn("slice", F.pmod(F.hash("id"), F.lit(RANGES * parts)).cast("int"))
+    docs = docs.withColumn("slice", F.pmod(F.hash("id"), F.lit(parts)).cast("int"))
     places = shared_anchors(docs, parts, match, gram)
     reach = match - gram
     width = reach + match
