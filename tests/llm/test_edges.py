@@ -104,6 +104,69 @@ def test_licenses(spark):
     assert licenses.scan_licenses(_docs(spark, rows).limit(0)).collect() == []
 
 
+MIT = """MIT License
+
+Copyright (c) 2021 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License"); you may not use
+ * this file except in compliance with the License. You may obtain a copy of the
+ * License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+BSD = """# Copyright (c) 2019, Some Body
+# All rights reserved.
+#
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+#
+# 1. Redistributions of source code must retain the above copyright notice, this
+"""
+
+
+def test_licenses_verbatim(spark):
+    wrapped = {1: MIT, 2: APACHE, 3: GPL, 4: BSD, 5: MIT.replace("\n", "\r\n"), 6: GPL.replace("    ", ";; ")}
+    flat = {10 * k: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n")) for k, t in wrapped.items() if k in (1, 3)}
+    rows = [*wrapped.items(), *flat.items(), (7, GPL.replace("GNU General", "GNU Affero General")), (8, "x: y\n\n" + GPL + MIT + GPL),
+            (9, "Copyright (c) 2001 A\n(c) 2002 B\n" + GPL)]
+    got = {r.doc_id: (r.sequence, r.licenses) for r in licenses.scan_licenses(_docs(spark, rows)).collect()}
+    assert got == {
+        1: (",19,,6,", "MIT"), 2: (",18,,2,,3,", "Apache-2.0"), 3: (",20,,21,", "GPL-3.0"), 4: (",17,,13,", "BSD,proprietary"),
+        5: (",19,,6,", "MIT"), 6: (",20,,21,", "GPL-3.0"), 10: (",19,,6,", "MIT"), 30: (",20,,21,", "GPL-3.0"),
+        7: (",21,", ""), 8: (",20,,21,,19,,6,,20,,21,", "GPL-3.0,MIT"), 9: (",20,,21,", "GPL-3.0"),
+    }
+
+
 # --- secrets
 
 def test_secret_spans(spark):
