@@ -1,12 +1,14 @@
-"""Suffix-array deduplication: stretches of 50 bytes that an earlier document has are removed.
+"""Deduplication by windows at anchors: stretches of 50 bytes that an earlier document has are removed.
 
-The suffixes that are sorted are those at anchors: of each window of 50 bytes the leading
+No suffix array is built and no multikey quicksort is done. Compared are windows around anchors: of each window of 50 bytes the leading
 ``GRAM`` bytes with the least hash among its places. Equal windows have equal anchors, so no
 match is lost. First the anchors' hashes alone are dealt out, and those that a single document
-has are dropped. The suffixes at the others, with the bytes before them, are range-partitioned by
-their leading bytes with sampled splitters; each bucket sorts its suffixes and the windows around
-them, key by key, and finds for each window the smallest document that has it. Equal leading
-bytes never straddle a boundary, as splitters compare whole leading keys. Copies within a run of
+has are dropped. The others, with the bytes around them, are range-partitioned by their leading
+bytes with sampled splitters. In a bucket, for each place of an anchor in its window, windows are
+grouped by a 64-bit hash, neighbours are compared by their bytes (two keys with one hash: all are
+sorted by their bytes), and the smallest document of each group is found: equality is all that
+removal needs, and one key sorts cheaper than seven. Nothing is compared across buckets: equal
+leading bytes never straddle a boundary, as splitters compare whole leading keys. Copies within a run of
 documents are compared there, and only the first goes on, so a passage in a third of all
 documents is a row for each run and not for each document.
 """
