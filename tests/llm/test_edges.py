@@ -344,6 +344,30 @@ def test_recall_of_probes(spark):
     assert 0.9 * link.sum() <= got <= link.sum()
 
 
+@pytest.mark.parametrize("dims", [64, 128])
+def test_recall_at_most_lists(dims):
+    """Pairs just above the threshold, of vectors the index wasn't fitted on, with as many lists as there can be."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    index = pq_dedup.fit(unit(rng.normal(size=(pq_dedup.SAMPLE_ROWS, dims))), pq_dedup.MOST_LISTS * pq_dedup.LIST_ROWS)
+    assert len(index.centroids) == pq_dedup.MOST_LISTS and index.probes == pq_dedup.PROBES
+    a = unit(rng.normal(size=(20000, dims)))
+    side = rng.normal(size=a.shape)
+    side = unit(side - (side * a).sum(axis=1)[:, None] * a)
+    c = rng.uniform(pq_dedup.COSINE + 1e-6, pq_dedup.COSINE + 0.01, len(a))[:, None]
+    b = c * a + np.sqrt(1 - c * c) * side
+    near = [pq_dedup.nearest(x, index.centroids, index.probes) for x in (a, b)]
+    found = np.zeros(len(a), dtype=bool)
+    for q, x, visits, home in ((a, b, near[0], near[1][:, 0]), (b, a, near[1], near[0][:, 0])):
+        code, error = index.encode(x, home)
+        for k in range(len(index.centroids)):
+            own = np.flatnonzero((home == k) & (visits == k).any(axis=1))
+            told = [index.estimate(q[i : i + 1], code[i : i + 1], k)[0, 0] for i in own]
+            found[own] |= np.array(told) + error[own] >= pq_dedup.COSINE - 1e-9
+    print(f"recall at {dims} dimensions: {found.mean():.4f}")
+    assert found.mean() >= 0.95
+
+
 # --- languages
 
 def test_language(spark):
