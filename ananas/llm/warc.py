@@ -102,14 +102,13 @@ def field(name: str) -> Column:
 def archive_index(records: DataFrame, payloads: DataFrame) -> DataFrame:
     """Per record, from the archive alone: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
 
-    Fails if a header's digest isn't that of the payload it is joined with. Payload bytes stay with
-    the store: only their length and digests, computed anew, are joined with the headers.
+    Every record is put together again by ``read_archive``; length and digest are computed from the
+    payload that it was joined with. Fails if a header's digest or its Content-Length isn't that of them.
     """
-    sound = F.sha2("payload", 256) == F.col("sha256")
-    address = F.when(sound, F.col("sha256")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its address "), F.col("sha256"))))
-    stored = payloads.select(address.alias("sha256"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1"))
-    r = records.withColumn("head", F.decode("header", "UTF-8")).join(stored, "sha256")
+    r = read_archive(records, payloads).withColumn("sha1", F.sha1("payload"))
     told = F.substring_index(field("WARC-Payload-Digest"), ":", -1)
-    digest = F.when(told == F.col("sha1"), F.col("sha1")).otherwise(F.raise_error(F.concat(F.lit("header and payload differ: "), told)))
+    size = field("Content-Length")
+    digest = F.when(~told.eqNullSafe(F.col("sha1")), F.raise_error(F.concat(F.lit("header and payload differ: "), F.coalesce(told, F.lit("none")))))
+    digest = digest.when(~size.eqNullSafe(F.octet_length("body").cast("string")), F.raise_error(F.concat(F.lit("body differs from its header: "), F.coalesce(size, F.lit("none"))))).otherwise(F.col("sha1"))
     number = lambda name: F.expr(f"try_cast(regexp_extract(head, '\\\\r\\\\n{name}: <urn:page:(-?[0-9]+)>', 1) as bigint)")
-    return r.select(number("WARC-Record-ID").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), field("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), field("WARC-Target-URI").alias("url"))
+    return r.select(number("WARC-Record-ID").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), field("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), field("WARC-Target-URI").alias("url"))

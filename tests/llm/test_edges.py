@@ -428,6 +428,17 @@ def test_warc_round_trip(spark):
         warc.archive_index(records, payloads.withColumn("payload", F.lit(b"other"))).collect()
 
 
+def test_warc_index_rebuilds_records(spark):
+    pages = spark.createDataFrame([(1, "u", "small"), (2, "v", "x" * 2000), (3, "w", "x" * 2000)], "page_id long, url string, html string")
+    records, payloads = warc.write_archive(pages)
+    assert warc.archive_index(records, payloads).count() == 3
+    cut = records.withColumn("header", F.encode(F.replace(F.decode("header", "UTF-8"), F.lit("Content-Length: 2000"), F.lit("Content-Length: 1999")), "UTF-8"))
+    with pytest.raises(Exception, match="body differs from its header"):
+        warc.archive_index(cut, payloads).collect()
+    # length and digests are those of the joined bytes, whatever columns the store has besides
+    assert {r.payload_bytes for r in warc.archive_index(records, payloads.withColumn("length", F.lit(7).cast("long"))).collect()} == {5, 2000}
+
+
 # --- suffix dedup
 
 def _repeats(rows, match=50):
