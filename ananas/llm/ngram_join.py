@@ -131,7 +131,7 @@ def folded(counts: np.ndarray, groups: int) -> np.ndarray:
     """Rows of counts with their groups merged to ``groups``."""
     if counts.shape[1] == groups:
         return counts
-    return counts.reshape(len(counts), -1, groups).sum(axis=1, dtype=np.uint16)
+    return counts.reshape(len(counts), -1, groups).sum(axis=1, dtype=np.uint32)
 
 
 def allowed(x: list[bytes], y: list[bytes], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -157,7 +157,7 @@ def coarse_points(points: list[bytes]) -> np.ndarray:
     out = []
     for p in points:
         low, rest = unpacked([p])
-        out.append(folded(low, GROUPS).astype(np.uint16) + np.minimum(rest, 60000).astype(np.uint16)[:, None])
+        out.append(folded(low, GROUPS).astype(np.uint32) + rest.astype(np.uint32)[:, None])
     return np.concatenate(out)
 
 

@@ -278,6 +278,14 @@ def _near_rows(seed=5):
     return rows
 
 
+def test_coarse_points_of_long_texts():
+    """Coordinates beyond 16 bits: a text of 8 million shingles must not be pruned against itself."""
+    h = np.random.default_rng(2).integers(0, 1 << 64, 8_000_000, dtype=np.uint64)
+    coarse = ngram_join.coarse_points([ngram_join.point_of(h)])
+    assert coarse[0].sum(dtype=np.int64) >= len(h)
+    assert (coarse[0] >= np.bincount((h & np.uint64(ngram_join.GROUPS - 1)).astype(np.int64), minlength=ngram_join.GROUPS)).all()
+
+
 def test_ngram_join(spark):
     rows = _near_rows() + [(i + 1000 if i is not None else None, t) for i, t in EDGE] + [(1500, "a b"), (1501, "A b"), (1502, "a")]
     got = _bag(ngram_join.jaccard_components(_docs(spark, rows)), "doc_id", "n_shingles", "component_id")
