@@ -115,6 +115,51 @@ SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+OP12 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS s, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+d AS (
+  SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * len(regexp_replace(s, '[^A-Z]', '', 'g')) > 3 * len(s) AS c,
+    regexp_matches(s, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY s), false) AS e,
+    EXISTS (FROM labels l WHERE l.doc_id = t.doc_id AND l.quality = 1) AS good, EXISTS (FROM labels l WHERE l.doc_id = t.doc_id AND l.toxic = 1) AS toxic
+  FROM t
+),
+f AS (SELECT row_number() OVER () AS r, *, a::INT + b::INT + c::INT + d::INT + e::INT AS fails FROM d),
+x AS (SELECT r, part, good, toxic, fails, unnest(['A', 'B', 'C', 'D', 'E']) AS filter, unnest([a, b, c, d, e]) AS bad FROM f),
+l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT v.x || w.x || x.x || y.x || z.x AS o FROM l v, l w, l x, l y, l z
+  WHERE len(list_distinct([v.x, w.x, x.x, y.x, z.x])) = 5
+),
+gone AS (SELECT r, o, min(instr(o, filter)) FILTER (bad) AS hit FROM x, o GROUP BY r, o),
+cell AS (
+  SELECT part, o, filter, instr(o, filter)::INT AS step,
+    count(*) FILTER (hit IS NULL OR hit > instr(o, filter)) AS kept, count(*) FILTER (hit = instr(o, filter)) AS removed,
+    count(*) FILTER (bad AND hit < instr(o, filter)) AS redundant, count(*) FILTER (bad AND fails = 1) AS unique_fails,
+    count(*) FILTER (hit = instr(o, filter) AND good) AS good_lost, count(*) FILTER (hit = instr(o, filter) AND toxic) AS toxic_lost
+  FROM x JOIN gone USING (r) GROUP BY ALL
+)
+SELECT part, o AS filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM cell
+"""
+
+OP13 = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = e.label AS same, e.vec_id, list_inner_product(a.q, e.q)::BIGINT AS score
+  FROM e a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 100 = 0
+),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -124,4 +169,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_ngram_join": OP6,
         "op9_warc": OP9,
         "op10_suffix_dedup": OP10,
+        "op12_filter_audit": OP12,
+        "op13_hard_negatives": OP13,
     }

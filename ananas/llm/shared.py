@@ -34,15 +34,27 @@ def shared_root(spark: SparkSession) -> str:
     return _ROOTS[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there.
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder (in folders of a column ``by``) and read it back: lineage ends there.
 
     Ids made by ``monotonically_increasing_id`` are fixed from here on. The folder stays until
-    the owner of ``spark.checkpoint.dir`` clears it, as the lazy result may still read it.
+    ``forget`` drops it, or else the owner of ``spark.checkpoint.dir``, as a lazy result may still read it.
     """
     path = f"{shared_root(df.sparkSession)}/ananas-llm/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_path = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Drop the files of tables that ``written`` made and that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "written_path", None):
+            jvm = t.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def measured_bytes(df: DataFrame) -> int:
