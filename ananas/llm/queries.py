@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ananas.llm import decontaminate, filter_audit, hard_negatives, langid, licenses, mixing, ngram_join, pq_dedup, secrets, suffix_dedup, toxicity, warc
+from ananas.llm import decontaminate, filter_audit, hard_negatives, html_extract, langid, licenses, mixing, ngram_join, pq_dedup, secrets, suffix_dedup, toxicity, warc
 from ananas.llm.oracle import oracle_sql  # noqa: F401
 
 
@@ -58,6 +58,10 @@ def op10(spark, sf_dir):
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11(spark, sf_dir):
+    return html_extract.learn_and_extract(_table(spark, sf_dir, "pages"))
+
+
 def op12(spark, sf_dir):
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8,
         "op9_warc": op9,
         "op10_suffix_dedup": op10,
+        "op11_html_extraction": op11,
         "op12_filter_audit": op12,
         "op13_hard_negatives": op13,
         "pipeline": corpus_pipeline.run,
