@@ -215,7 +215,7 @@ class Anchors:
     @classmethod
     def of(cls, rows) -> Anchors:
         dims = np.array([len(r["v"]) for r in rows], dtype=np.int64)
-        by = {int(d): np.array([rows[i]["v"] for i in np.flatnonzero(dims == d)], dtype=np.int64).reshape(-1, int(d)) for d in np.unique(dims)}
+        by = {int(d): np.array([rows[i]["v"] for i in np.flatnonzero(dims == d)], dtype=np.int64).reshape(-1 if d else int((dims == d).sum()), int(d)) for d in np.unique(dims)}
         return cls(np.array([r["id"] for r in rows], dtype=np.int64), np.array([r["label"] for r in rows], dtype=np.int64), dims, by)
 
 
