@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ananas.llm.shared import small_side, split_words, written
+from ananas.llm.shared import free_names, small_side, split_words, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -35,12 +35,9 @@ def draw(doc_id: Column, text: Column, seed: str = "mix") -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def measure(docs: DataFrame, seed: str = "mix", keep: bool = False) -> DataFrame:
-    """doc_id and source with size and draw ``u``; with ``keep``, all columns of ``docs`` stay, theirs under ``__`` names."""
-    size, u = size_of(F.col("text")), draw(F.col("doc_id"), F.col("text"), seed)
-    if keep:
-        return docs.withColumns({"__size": size, "__u": u})
-    return docs.select("doc_id", "source", size.alias("size"), u.alias("u"))
+def measure(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """doc_id and source with size and draw ``u``."""
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("u"))
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
@@ -105,12 +102,14 @@ def mix_plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     return written(out.select("source", "source_size", "target", "whole", "p", "ranges", "cut_at", "cut"), "mix_plan")
 
 
-def copies_of(docs: DataFrame, plan: DataFrame) -> DataFrame:
+def copies_of(docs: DataFrame, plan: DataFrame, seed: str = "mix") -> DataFrame:
     """All columns of ``docs``, and ``copies`` (which replaces a column of that name)."""
-    p = plan.select(*[F.col(c).alias(f"__{c}") for c in ("source", "whole", "p", "ranges", "cut_at", "cut")])
-    d = measure(docs, keep=True)
-    d = d.join(small_side(p), d["source"].eqNullSafe(F.col("__source")), "left")
-    return d.withColumn("copies", _copies(*[F.col(f"__{c}") for c in ("u", "whole", "p", "ranges", "cut_at", "cut")])).select(*[c for c in docs.columns if c != "copies"], "copies")
+    own = ("u", "source", "whole", "p", "ranges", "cut_at", "cut")
+    u, source, *rest = free_names(docs, *own)
+    p = plan.select(*[F.col(c).alias(free) for c, free in zip(own[1:], [source, *rest])])
+    d = docs.withColumn(u, draw(F.col("doc_id"), F.col("text"), seed))
+    d = d.join(small_side(p), d["source"].eqNullSafe(F.col(source)), "left")
+    return d.withColumn("copies", _copies(*[F.col(c) for c in (u, *rest)])).select(*[c for c in docs.columns if c != "copies"], "copies")
 
 
 def _copies(u: Column, whole: Column, p: Column, ranges: Column, cut_at: Column, cut: Column) -> Column:

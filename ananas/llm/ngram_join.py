@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ananas.llm.bytetext import mixed, powers, prefix_sums, runs, utf8
-from ananas.llm.shared import components, small_side, written
+from ananas.llm.shared import components, free_names, small_side, written
 
 SHINGLE = 4
 #: Two texts link from this share of common shingles on, in percent.
@@ -395,13 +395,14 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     with_ = rows.filter("n > 0").join(known, "digest")
     best = with_.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th")).alias("k"))
     kept = best.select("k.doc_id", "k.th").union(rows.filter("n = 0").select("doc_id", "th")).distinct()
-    kept = small_side(written(kept.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "kept"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th"))
-    d = docs.join(kept, same, "left_semi")
+    ident, th = free_names(docs, "id", "th")
+    kept = small_side(written(kept.select(F.col("doc_id").alias(ident), F.col("th").alias(th)), "kept"))
+    same = lambda d: d["doc_id"].cast("long").eqNullSafe(F.col(ident)) & (F.xxhash64(d["text"]) == F.col(th))
+    d = docs.join(kept, same(docs), "left_semi")
     # rows with the id and the text of a kept one: all but one go
-    again = written(sets.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "again")
+    again = sets.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1")
+    again = written(again.select(F.col("doc_id").alias(ident), F.col("th").alias(th)), "again")
     if again.isEmpty():
         return d
-    same = d["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(d["text"]) == F.col("__th"))
-    once = d.join(again, same, "left_semi").groupBy("doc_id", "text").agg(*[F.first(c).alias(c) for c in docs.columns if c not in ("doc_id", "text")])
-    return d.join(again, same, "left_anti").unionByName(once.select(*docs.columns))
+    once = d.join(again, same(d), "left_semi").dropDuplicates(["doc_id", "text"])
+    return d.join(again, same(d), "left_anti").unionByName(once)

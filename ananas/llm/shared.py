@@ -57,6 +57,17 @@ def forget(*tables: DataFrame) -> None:
             where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many ``_`` before it as set it apart from every column of ``df``, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Size of ``df`` in memory, from its own values: texts by their bytes, the rest by 16 a cell."""
     width: Column = F.lit(16 * len(df.columns)).cast("long")

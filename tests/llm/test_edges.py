@@ -295,8 +295,28 @@ def test_ngram_join(spark):
 
 def test_keep_first(spark):
     rows = [(2, P13), (1, P13), (3, P13 + "!"), (4, None), (4, None), (5, ""), (None, P13)]
-    got = _bag(ngram_join.keep_first(_docs(spark, rows)), "doc_id", "text")
-    assert got == collections.Counter([(1, P13), (3, P13 + "!"), (5, "")]) or got == collections.Counter([(1, P13), (3, P13 + "!"), (4, None), (5, "")])
+    want = collections.Counter([(1, P13), (3, P13 + "!"), (4, None), (5, "")])
+    docs = _docs(spark, rows).withColumns({"__id": F.lit(1), "__th": F.lit("q"), "_id": F.lit(2), "TH_": F.lit(3)})
+    got = ngram_join.keep_first(docs)
+    assert got.columns == docs.columns and _bag(got, "doc_id", "text") == want
+    assert {(r["__id"], r["__th"], r["id"], r["th"], r["_id"]) for r in got.collect()} == {(1, "q", "z", 1, 2)}
+    assert _bag(ngram_join.keep_first(docs.select("doc_id", "text")), "doc_id", "text") == want
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    names = "__size __u u size source_ whole p ranges cut_at cut __id __th id th _id _th".split()
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(20 + i)), "en", "ab"[i % 2]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(777 + k) for k, c in enumerate(names)})
+    plan = mixing.mix_plan(corpus_pipeline.written(mixing.measure(docs), "sized"))
+    mixed = mixing.copies_of(docs, plan)
+    gone = docs.filter("doc_id < 3").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
+    left = corpus_pipeline._kept(docs, gone)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == list(range(3, 30))
+    assert mixed.columns == [*docs.columns, "copies"] and mixed.count() == 30
+    for out in (mixed, left):
+        assert {tuple(r[c] for c in names) for r in out.collect()} == {tuple(777 + k for k in range(len(names)))}
+    own = {r.doc_id: r.copies for r in mixing.mix(docs.select("doc_id", "text", "source")).collect()}
+    assert {r.doc_id: r.copies for r in mixed.collect()} == own and len(set(own.values())) > 1
 
 
 def test_tree_pairs_lose_no_pair():
