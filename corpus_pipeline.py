@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ananas.llm import decontaminate, langid, mixing, ngram_join, secrets
-from ananas.llm.shared import small_side, written
+from ananas.llm.shared import free_names, small_side, written
 
 
 def _kept(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows that agree with one of ``gone`` (id, th) in id and hash of the text."""
-    gone = small_side(written(gone.select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct(), "gone"))
-    same = docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"])
+    ident, th = free_names(docs, "id", "th")
+    gone = small_side(written(gone.select(F.col("id").alias(ident), F.col("th").alias(th)).distinct(), "gone"))
+    same = docs["doc_id"].eqNullSafe(gone[ident]) & (F.xxhash64(docs["text"]) == gone[th])
     return docs.join(gone, same, "left_anti")
 
 
