@@ -2,11 +2,14 @@
 
 A text is its set of 4-word shingles. Pairs can only link if they share one of their rarest
 shingles (the first ``n - ceil(t n) + 1`` in a global order of rarity), so documents meet in the
-bucket of such a shingle. In a bucket the shingle counts of hash groups are a point; the overlap
+bucket of such a shingle, cut into blocks. The shingle counts of hash groups are a point; the overlap
 of two sets is at most the sum of the smaller coordinates. An R-tree packed over the points of a
-bucket prunes whole branches by that bound, the points prune pairs, and what is left is compared
-shingle by shingle. Long texts have more groups, in a multiple: their points fold to coarser ones. Buckets of documents that are already in one component are done,
-so a group of near copies is joined by links along its buckets and never by all its pairs.
+block prunes whole branches by that bound and by size, the points and places prune pairs, and what
+is left is compared by its words.
+
+The first round takes of every document of a block its best partner, so groups of near copies are
+joined by as many pairs as they have members; the second takes all pairs of all blocks of a bucket
+that still are in different components, so no link is lost.
 """
 
 from __future__ import annotations
@@ -20,18 +23,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ananas.llm.bytetext import mixed, powers, prefix_sums, runs, utf8
-from ananas.llm.shared import components, free_names, small_side, written
+from ananas.llm.shared import components, forget, free_names, small_side, written
 
 SHINGLE = 4
 #: Two texts link from this share of common shingles on, in percent.
 PERCENT = 85
-#: Least number of groups; a text of n shingles has the power of two from 1.5 n on.
+#: Least number of groups of a fine point; a text of n shingles has the power of two from 1.5 n on.
 GROUPS = 128
+#: Groups of the small points that travel with the rows of a bucket, 2 bits each; sets up to this size
+#: over 1.5 have no finer point.
+SMALL = 256
 #: Cells in which shingles are counted to order them by rarity.
 CELLS = 1 << 16
 #: Points of a leaf of an R-tree, and children of a branch.
-LEAF, FANOUT = 16, 8
-
+LEAF, FANOUT = 64, 8
+#: Buckets of so many members are compared many at a time: a tree of theirs is a piece of one leaf.
+FEW = 16
+#: Members of a block of a bucket.
+BLOCK = 1024
+#: Words of a text whose shingles are compared at a time.
+PIECE = 1 << 17
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, number by text) of the shingles of texts, not yet distinct.
@@ -152,16 +163,13 @@ def allowed(x: list[bytes], y: list[bytes], n: np.ndarray, m: np.ndarray, percen
     return keep
 
 
-def coarse_points(points: list[bytes]) -> np.ndarray:
-    """Points at the least number of groups, none too small: the rest is added to every group."""
-    out = []
-    for p in points:
-        low, rest = unpacked([p])
-        out.append(folded(low, GROUPS).astype(np.uint32) + rest.astype(np.uint32)[:, None])
-    return np.concatenate(out)
+def small_point(h: np.ndarray) -> bytes:
+    """Counts up to three of ``SMALL`` hash groups, two bits each."""
+    low = np.minimum(np.bincount((h & np.uint64(SMALL - 1)).astype(np.int64), minlength=SMALL), 3).astype(np.uint8).reshape(-1, 4)
+    return (low[:, 0] | low[:, 1] << 2 | low[:, 2] << 4 | low[:, 3] << 6).tobytes()
 
 
-_SETS = "row long, doc_id long, th long, n long, digest binary, tokens array<long>, point binary"
+_SETS = "row long, doc_id long, th long, n long, digest binary, tokens array<long>, point binary, small binary"
 
 
 def document_sets(docs: DataFrame, cells: np.ndarray, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -174,7 +182,7 @@ def document_sets(docs: DataFrame, cells: np.ndarray, shingle: int = SHINGLE, pe
     def run(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            sizes, digests, tokens, points = [], [], [], []
+            sizes, digests, tokens, points, smalls = [], [], [], [], []
             for _, h in distinct_sets(batch.column(3), shingle):
                 d = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
                 new = len(h) > 0 and d not in seen
@@ -183,37 +191,43 @@ def document_sets(docs: DataFrame, cells: np.ndarray, shingle: int = SHINGLE, pe
                 digests.append(d)
                 rare = h[np.lexsort((h, shared.value[(h >> np.uint64(48)).astype(np.int64)]))[: needed(len(h), percent)]] if new else h[:0]
                 tokens.append(rare.view(np.int64))
-                points.append(point_of(h) if new else None)
+                points.append(point_of(h) if new and 3 * len(h) > 2 * SMALL else None)
+                smalls.append(small_point(h) if new else None)
             lengths = np.r_[0, np.cumsum([len(t) for t in tokens])].astype(np.int32)
             flat = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.int64)
-            cols = [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat)), pa.array(points, pa.binary())]
+            cols = [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat)), pa.array(points, pa.binary()), pa.array(smalls, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in _SETS.split(", ")])
 
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return written(keyed.mapInArrow(run, _SETS), "sets")
+    out = written(keyed.mapInArrow(run, _SETS), "sets")
+    shared.unpersist()
+    return out
 
 
 def bucket_rows(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(tok, row, n, prev, first): members of buckets with two earlier members, written.
+    """(tok, block, row, n, pos): members of buckets that may link there, written.
 
-    Members are in order of size. If any other member's size allows a link, that of a neighbour in this
-    order does, so members whose neighbours are both too far are left out; an earlier member that is too
-    far is null.
+    A pair need only be found at its first common shingle. What follows that one bounds the overlap, so
+    its place in the smaller set is among the first ``n - least_overlap(n, n) + 1``: there the member is
+    ``indexed``. In order of size, a member stays if the last indexed one before it is large enough, or if
+    it is indexed and the next one small enough: any partner's size lies between.
     """
-    t = sets.select("row", "n", F.explode("tokens").alias("tok"))
+    t = sets.select("row", "n", F.posexplode("tokens").alias("pos", "tok"))
+    t = t.withColumn("indexed", F.col("n") - F.col("pos") >= F.floor((percent * 2 * F.col("n") + 99 + percent) / (100 + percent)))
     w = Window.partitionBy("tok").orderBy("n", "row")
-    t = t.select("tok", "row", "n", F.lag("row").over(w).alias("prev"), F.lag("n").over(w).alias("prev_n"), F.first("row").over(w).alias("first"), F.first("n").over(w).alias("first_n"), F.lead("n").over(w).alias("next_n"))
+    before = F.last(F.when(F.col("indexed"), F.col("n")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    t = t.select("*", before.alias("before"), F.lead("n").over(w).alias("after"), F.floor((F.row_number().over(w) - 1) / BLOCK).cast("int").alias("block"))
     fits = lambda small, large: F.coalesce(F.col(small) * 100 >= F.col(large) * percent, F.lit(False))
-    t = t.filter(fits("prev_n", "n") | fits("n", "next_n"))
-    prev, first = F.when(fits("prev_n", "n"), F.col("prev")), F.when(fits("first_n", "n") & (F.col("first") != F.col("row")), F.col("first"))
-    return written(t.select("tok", "row", "n", prev.alias("prev"), first.alias("first")), "buckets")
+    t = t.filter(fits("before", "n") | (F.col("indexed") & fits("n", "after")))
+    return written(t.select("tok", "block", "row", F.col("n").cast("int").alias("n"), "pos"), "buckets")
 
 
 def _bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose points allow the overlap they need."""
-    p = sets.select("row", "n", "point")
-    joined = pairs.join(p.select(F.col("row").alias("a"), F.col("n").alias("an"), F.col("point").alias("ap")), "a")
-    joined = joined.join(p.select(F.col("row").alias("b"), F.col("n").alias("bn"), F.col("point").alias("bp")), "b")
+    """Pairs (a, b) whose fine points allow the overlap they need; a pair without such points stays."""
+    p = sets.select("row", "n", "point").filter("point is not null")
+    joined = pairs.join(p.select(F.col("row").alias("a"), F.col("n").alias("an"), F.col("point").alias("ap")), "a", "left")
+    joined = joined.join(p.select(F.col("row").alias("b"), F.col("n").alias("bn"), F.col("point").alias("bp")), "b", "left")
+    fine = F.col("ap").isNotNull() & F.col("bp").isNotNull()
 
     def run(batches):
         for batch in batches:
@@ -223,146 +237,231 @@ def _bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = allowed(batch.column(3).to_pylist(), batch.column(5).to_pylist(), n, m, percent)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
-    return joined.select("a", "b", "an", "ap", "bn", "bp").mapInArrow(run, "a long, b long")
+    joined = written(joined.select("a", "b", "an", "ap", "bn", "bp"), "bounded")
+    return joined.filter(~fine).select("a", "b").union(joined.filter(fine).mapInArrow(run, "a long, b long"))
+
+
+def overlap(x: bytes, y: bytes, shingle: int = SHINGLE, piece: int = PIECE) -> tuple[int, int, int]:
+    """(common, of x, of y): distinct shingles of two texts, compared by their words.
+
+    A-Z in lower case, words between ASCII blanks. Long texts go in pieces of their shingles, by hash,
+    so the sets held at a time stay small.
+    """
+    words = [t.lower().split() for t in (x, y)]
+    n = max(map(len, words))
+    if n <= piece:
+        a, b = (set(zip(*(w[k:] for k in range(shingle)))) if len(w) >= shingle else {tuple(w)} if w else set() for w in words)
+        return len(a & b), len(a), len(b)
+    pieces = -(-n // piece)
+    place = [shingle_sets(np.frombuffer(t, dtype=np.uint8), np.array([0, len(t)]), shingle)[0] % np.uint64(pieces) for t in (x, y)]
+    out = np.zeros(3, dtype=np.int64)
+    for p in range(pieces):
+        a, b = ({tuple(w[k : k + shingle]) for k in np.flatnonzero(at == p).tolist()} for w, at in zip(words, place))
+        out += len(a & b), len(a), len(b)
+    return tuple(out.tolist())
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their shingles; written."""
-    pairs = written(pairs, "pairs")
+    """The pairs (a, b), a written table, that link by their words; written."""
     rows = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
     keys = written(sets.select("row", "doc_id", "th").join(rows, "row"), "verified_rows")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
     # equal rows share a key; either text will do
     side = small_side(keys)
     texts = texts.join(side, texts["id"].eqNullSafe(side["doc_id"]) & (texts["h"] == side["th"])).select("row", "text")
-    texts = written(texts, "verified_texts").dropDuplicates(["row"])
-    two = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("at")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("bt")), "b")
+    texts = written(texts, "verified_texts")
+    once = texts.dropDuplicates(["row"])
+    two = pairs.join(once.select(F.col("row").alias("a"), F.col("text").alias("at")), "a").join(once.select(F.col("row").alias("b"), F.col("text").alias("bt")), "b")
 
     def run(batches):
         for batch in batches:
-            a, b, kept = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for (_, x), (_, y) in zip(distinct_sets(batch.column(2), shingle), distinct_sets(batch.column(3), shingle)):
-                o = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(100 * o >= percent * (len(x) + len(y) - o))
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(a, kept) if k], pa.int64()), pa.array([v for v, k in zip(b, kept) if k], pa.int64())], names=["a", "b"])
+            kept = []
+            for k in range(len(batch)):
+                o, n, m = overlap(batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), shingle)
+                kept.append(100 * o >= percent * (n + m - o))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    utf8_ = [F.col(c).cast("binary").alias(c) for c in ("at", "bt")]
+    links = written(two.select("a", "b", *utf8_).mapInArrow(run, "a long, b long"), "links")
+    forget(keys, texts)
+    return links
+
 
-    return written(two.select("a", "b", "at", "bt").mapInArrow(run, "a long, b long"), "links")
+def unpacked_small(points: list[bytes]) -> np.ndarray:
+    """Rows of counts up to three of ``small_point``."""
+    raw = np.frombuffer(b"".join(points), dtype=np.uint8).reshape(len(points), -1)
+    return ((raw[:, :, None] >> np.array([0, 2, 4, 6], dtype=np.uint8)) & 3).reshape(len(points), -1)
 
 
 def packed(points: np.ndarray, sizes: np.ndarray) -> list[list[tuple]]:
-    """Levels of an R-tree, leaves first: (low and high size, largest coordinates, children or rows).
+    """Levels of an R-tree, leaves first: (low and high size, largest coordinates, largest rest, children or rows).
 
     Points are packed in order of size, then along their coordinates of greatest spread.
     """
     spread = np.argsort(-points.var(axis=0), kind="stable")[:2]
-    order = np.lexsort((points[:, spread[1]], points[:, spread[0]] // 4, sizes))
+    order = np.lexsort((points[:, spread[1]], points[:, spread[0]], sizes))
+    rest = sizes - points.sum(axis=1, dtype=np.int64)
     level = []
     for i in range(0, len(order), LEAF):
         own = order[i : i + LEAF]
-        level.append((sizes[own].min(), sizes[own].max(), points[own].max(axis=0), own))
+        level.append((sizes[own].min(), sizes[own].max(), points[own].max(axis=0), rest[own].max(), own))
     levels = [level]
     while len(level) > 1:
         up = []
         for i in range(0, len(level), FANOUT):
             own = level[i : i + FANOUT]
-            up.append((min(x[0] for x in own), max(x[1] for x in own), np.max([x[2] for x in own], axis=0), own))
+            up.append((min(x[0] for x in own), max(x[1] for x in own), np.max([x[2] for x in own], axis=0), max(x[3] for x in own), own))
         levels.append(up)
         level = up
     return levels
 
 
 def tree_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int = PERCENT):
-    """(i, j) of rows with different labels whose sizes and points allow a link, by a join of the tree with itself."""
+    """(i, j, bound) of rows with different labels whose sizes and points allow a link, by a join of the tree with itself.
+
+    ``points`` are counts up to three; what a set has beyond them is its rest. Two leaves are bounded at
+    once: the sum of the smaller counts is an inner product of counts written as ones.
+    """
+    ones = np.concatenate([points >= k for k in (1, 2, 3)], axis=1).astype(np.float32)
+    rest = sizes - points.sum(axis=1, dtype=np.int64)
     stack = [(x, y, len(lv) - 1) for lv in [packed(points, sizes)] for x in lv[-1] for y in lv[-1]]
     while stack:
         x, y, depth = stack.pop()
-        if x[1] * 100 < y[0] * percent or y[1] * 100 < x[0] * percent or np.minimum(x[2], y[2]).sum() < least_overlap(x[0], y[0], percent):
+        if x[1] * 100 < y[0] * percent or y[1] * 100 < x[0] * percent or np.minimum(x[2], y[2]).sum(dtype=np.int64) + min(x[3], y[3]) < least_overlap(x[0], y[0], percent):
             continue
         if depth:
-            stack += [(x[3][i], y[3][j], depth - 1) for i in range(len(x[3])) for j in range(i if x is y else 0, len(y[3]))]
+            stack += [(x[4][i], y[4][j], depth - 1) for i in range(len(x[4])) for j in range(i if x is y else 0, len(y[4]))]
             continue
-        a, b = (v.ravel() for v in np.meshgrid(x[3], y[3], indexing="ij"))
-        keep = (labels[a] != labels[b]) & ((a < b) if x is y else True)
-        a, b = a[keep], b[keep]
-        keep = np.minimum(points[a], points[b]).sum(axis=1, dtype=np.int64) >= least_overlap(sizes[a], sizes[b], percent)
-        yield a[keep], b[keep]
-
-
-def _bucket_pairs(tok, row, n, label, point, percent: int) -> pa.RecordBatch:
-    """Pairs (a, b) of whole buckets, one after the other, that sizes, labels and points allow.
-
-    Small buckets are compared all at once, large ones each by its tree.
+        a, b = x[4], y[4]
+        bound = (ones[a] @ ones[b].T).astype(np.int64) + np.minimum(rest[a][:, None], rest[b][None])
+        n, m = sizes[a][:, None], sizes[b][None]
+        keep = (bound >= least_overlap(n, m, percent)) & (labels[a][:, None] != labels[b][None]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+        if x is y:
+            keep = np.triu(keep, 1)
+        i, j = np.nonzero(keep)
+        if len(i):
+            yield a[i], b[j], bound[i, j]
+
+
+def _block_pairs(key, across, row, n, pos, label, side, small, percent: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of whole blocks, one after the other, that sizes, labels, places and points allow.
+
+    ``side``: the block a row is of; ``across``: only rows of different blocks meet.
+    ``best``: for every label of a block only the pair with most room.
     """
-    start = np.flatnonzero(np.r_[True, np.diff(tok) != 0][: len(tok)])
-    size = np.diff(np.r_[start, len(tok)])
-    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for k in range(2, LEAF + 1):
+    start = np.flatnonzero(np.r_[True, np.diff(key) != 0][: len(key)])
+    size = np.diff(np.r_[start, len(key)])
+    points = unpacked_small(small)
+    found = []
+
+    def keep(a, b, bound):
+        need = least_overlap(n[a], n[b], percent)
+        ok = (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need) & ((side[a] != side[b]) == across[a]) & (bound >= need)
+        if ok.any():
+            found.append((a[ok], b[ok], (bound - need)[ok]))
+
+    group = np.repeat(np.arange(len(start)), size)
+    for k in range(2, FEW + 1):
         x, y = np.triu_indices(k, 1)
         own = start[size == k][:, None]
-        a.append((own + x).ravel())
-        b.append((own + y).ravel())
-    for i, k in zip(start[size > LEAF], size[size > LEAF]):
-        if (label[i : i + k] != label[i]).any():
-            coarse = coarse_points(point[i : i + k].tolist())
-            for x, y in tree_pairs(coarse, n[i : i + k], label[i : i + k], percent):
-                a.append(x + i)
-                b.append(y + i)
-    a, b = np.concatenate(a), np.concatenate(b)
-    keep = (label[a] != label[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
-    a, b = a[keep], b[keep]
-    swap = row[a] > row[b]
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    order = np.lexsort((row[b], row[a]))
+        for part in np.array_split(own, max(1, own.size * len(x) >> 15)):
+            a, b = (part + x).ravel(), (part + y).ravel()
+            near = (label[a] != label[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
+            a, b = a[near], b[near]
+            low = np.minimum(points[a], points[b]).sum(axis=1, dtype=np.int64)
+            rest = [n[v] - points[v].sum(axis=1, dtype=np.int64) for v in (a, b)]
+            keep(a, b, low + np.minimum(*rest))
+    for i, k in zip(start[size > FEW], size[size > FEW]):
+        own = slice(i, i + k)
+        if (label[own] != label[i]).any():
+            for a, b, bound in tree_pairs(points[own], n[own], label[own], percent):
+                keep(a + i, b + i, bound)
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    a, b, room = (np.concatenate(x) for x in zip(*found))
+    if best:
+        who = np.r_[label[a], label[b]]
+        at, where, much = np.r_[group[a], group[b]], np.tile(np.arange(len(a)), 2), np.r_[room, room]
+        order = np.lexsort((where, -much, who, at))
+        first = np.r_[True, (np.diff(who[order]) != 0) | (np.diff(at[order]) != 0)]
+        take = np.unique(where[order][first])
+        a, b = a[take], b[take]
+    a, b = np.minimum(row[a], row[b]), np.maximum(row[a], row[b])
+    order = np.lexsort((b, a))
     a, b = a[order], b[order]
-    first = np.r_[True, (np.diff(row[a]) != 0) | (np.diff(row[b]) != 0)][: len(a)]
-    a, b = a[first], b[first]
-    keep = allowed(point[a].tolist(), point[b].tolist(), n[a], n[b], percent)
-    return pa.RecordBatch.from_arrays([pa.array(row[a[keep]], pa.int64()), pa.array(row[b[keep]], pa.int64())], names=["a", "b"])
+    first = np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0)]
+    return a[first], b[first]
+
 
+def _candidates(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of members of a bucket with different labels (a row without one is its own), that may link.
 
-def _residual(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of buckets whose members are in different components."""
-    m = buckets.select("tok", "row", "n").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    open_ = m.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("tok")
-    m = m.join(open_, "tok", "left_semi").join(sets.select("row", "point"), "row")
-    # members of a bucket arrive together, smallest first
-    m = m.select("tok", "row", "n", "label", "point").repartition("tok").sortWithinPartitions("tok", "n", "row")
+    ``best``: of every block, for every label its best pair; else all pairs of all blocks of the bucket.
+    """
+    m, known = buckets, sets.select("row", "small")
+    if labels is None:
+        m = m.withColumn("label", F.col("row"))
+    else:
+        m = m.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
+        open_ = m.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("block").alias("last")).filter("lo <> hi").select("tok", "last")
+        m = m.join(open_, "tok")
+    if best:
+        m = m.withColumns({"x": F.col("block"), "y": F.col("block")})
+    else:
+        other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
+        m = m.select("*", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    m = m.join(known, "row").select("tok", "x", "y", "row", "n", "pos", "label", "block", "small")
+    # members of a block, or of two, arrive together, smallest first
+    m = m.repartition("tok", "x", "y").sortWithinPartitions("tok", "x", "y", "n", "row")
 
     def run(batches):
-        held = None  # the last bucket so far, which may go on in the next batch
+        held = None  # the last block so far, which may go on in the next batch
         for batch in batches:
             if not len(batch):
                 continue
-            now = [np.asarray(batch.column(i)) for i in range(4)] + [np.array(batch.column(4).to_pylist(), dtype=object)]
+            now = [np.asarray(batch.column(i)) for i in range(8)] + [np.array(batch.column(8).to_pylist(), dtype=object)]
             now = now if held is None else [np.concatenate(c) for c in zip(held, now)]
-            last = np.flatnonzero(np.r_[True, np.diff(now[0]) != 0])[-1]
-            yield _bucket_pairs(*(c[:last] for c in now), percent)
+            new = np.r_[True, (np.diff(now[0]) != 0) | (np.diff(now[1]) != 0) | (np.diff(now[2]) != 0)]
+            last = np.flatnonzero(new)[-1]
+            yield from pairs(now, np.cumsum(new), slice(0, last))
             held = [c[last:] for c in now]
         if held is not None:
-            yield _bucket_pairs(*held, percent)
+            yield from pairs(held, np.zeros(len(held[0]), dtype=np.int64), slice(None))
+
+    def pairs(now, key, own):
+        if len(key[own]):
+            x, y, row, n, pos, label, side, small = (c[own] for c in now[1:])
+            a, b = _block_pairs(key[own], x != y, row, n.astype(np.int64), pos.astype(np.int64), label, side, small.tolist(), percent, best)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return m.mapInArrow(run, "a long, b long").distinct()
 
 
 def _components(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(sets, known): sets of ``document_sets``; known: digest of a set, component (a row of it)."""
+    """(rows, known), written: row, doc_id, th, n and digest of the set of each document; and of each
+    digest its component (a row of it)."""
     cells = cell_counts(docs, shingle)
     sets = document_sets(docs, cells, shingle, percent)
     # of equal sets, the first row of each task has shingles; the first of all stands for the class
     full = sets.filter("n > 0")
     classes = written(full.groupBy("digest").agg(F.min("row").alias("rep")), "reps")
     reps = sets.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-    reps = written(reps.select("row", "doc_id", "th", "n", "tokens", "point"), "classes")
+    reps = written(reps.select("row", "doc_id", "th", "n", "tokens", "point", "small"), "classes")
 
     buckets = bucket_rows(reps, percent)
-    near = buckets.select(F.col("row").alias("b"), F.explode(F.array("prev", "first")).alias("a")).filter("a is not null")
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    points = reps.select("row", "n", "point")
-    links = _verify(_bound(near, points, percent), reps, docs, shingle, percent)
+    near = written(_candidates(buckets, None, reps, percent, True), "near")
+    tried = written(_bound(near, reps, percent), "pairs")
+    links = _verify(tried, reps, docs, shingle, percent)
     labels = written(components(links).select(F.col("id").alias("row"), F.col("component").alias("label")), "labels")
-    more = _verify(_residual(buckets, labels, points, percent), reps, docs, shingle, percent)
+    rest = written(_candidates(buckets, labels, reps, percent, False).join(tried, ["a", "b"], "left_anti"), "rest")
+    left = written(_bound(rest, reps, percent), "pairs")
+    more = _verify(left, reps, docs, shingle, percent)
     comp = components(links.union(more)).select(F.col("id").alias("rep"), "component")
-    return sets, classes.join(comp, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    known = written(classes.join(comp, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "components")
+    rows = written(sets.select("row", "doc_id", "th", "n", "digest"), "rows")
+    forget(sets, reps, buckets, near, tried, links, labels, rest, left, more, classes)
+    return rows, known
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -377,7 +476,6 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     id_type = docs.schema["doc_id"].dataType
     sets, known = _components(docs, shingle, percent)
     rows = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
-    known = written(known, "components")
     low = rows.join(known, "digest").groupBy("component").agg(F.min("doc_id").alias("least"))
     ids = known.join(low, "component").select("digest", "least")
     out = rows.join(ids, "digest", "left")

@@ -278,12 +278,53 @@ def _near_rows(seed=5):
     return rows
 
 
-def test_coarse_points_of_long_texts():
-    """Coordinates beyond 16 bits: a text of 8 million shingles must not be pruned against itself."""
-    h = np.random.default_rng(2).integers(0, 1 << 64, 8_000_000, dtype=np.uint64)
-    coarse = ngram_join.coarse_points([ngram_join.point_of(h)])
-    assert coarse[0].sum(dtype=np.int64) >= len(h)
-    assert (coarse[0] >= np.bincount((h & np.uint64(ngram_join.GROUPS - 1)).astype(np.int64), minlength=ngram_join.GROUPS)).all()
+def test_small_points_of_long_texts():
+    """Counts stop at three, what lies beyond is the rest: the bound is never below the overlap."""
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 1 << 64, 3_000_000, dtype=np.uint64)
+    sets = [h, h[:2_900_000], h[:900], h[300:1000], h[:40], h[35:70], h[:1]]
+    points = ngram_join.unpacked_small([ngram_join.small_point(x) for x in sets])
+    rest = [len(x) - int(p.sum()) for x, p in zip(sets, points)]
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            o = len(np.intersect1d(x, y))
+            assert np.minimum(points[i], points[j]).sum() + min(rest[i], rest[j]) >= o
+            assert i != j or np.minimum(points[i], points[j]).sum() + rest[i] == o
+
+
+def test_overlap_in_pieces():
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(f"W{x}" if x % 3 else f"w{x}\té" for x in rng.integers(0, 12, n)).encode()
+    for n in (0, 2, 3, 4, 50, 900):
+        x, y = text(n), text(50) + b" " + text(n)
+        assert ngram_join.overlap(x, y, piece=7) == ngram_join.overlap(x, y)
+    assert ngram_join.overlap(b"A b", b"a  B") == (1, 1, 1) and ngram_join.overlap(b"", b" ") == (0, 0, 0)
+
+
+def test_long_pair(spark):
+    """Two texts of 200,000 words that differ in a few, and one that is a little too far."""
+    words = [f"w{(k * 7919) % 100003}x{k % 17}" for k in range(200_000)]
+    near, far = list(words), list(words)
+    near[::60], far[::40] = ["n"] * len(near[::60]), ["f"] * len(far[::40])  # J of 0.875 and 0.818
+    rows = [(3, " ".join(words)), (1, " ".join(near)), (2, " ".join(far)), (4, "one two three four five")]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(_docs(spark, rows)).collect()}
+    assert got == {1: 1, 3: 1, 2: 2, 4: 4}
+
+
+@pytest.mark.parametrize("block, few", [(8, 2), (4, 16)])
+def test_ngram_join_across_blocks(spark, monkeypatch, block, few):
+    """A family of near misses with some links among them, in buckets of many blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    rng = np.random.default_rng(block)
+    base, rows = [f"b{k}" for k in range(90)], []
+    for i in range(70):
+        t = list(base)
+        for k in rng.choice(90, int(rng.integers(1, 6)), replace=False):
+            t[k] = f"x{rng.integers(0, 30)}"
+        rows.append((i, " ".join(t)))
+    got = _bag(ngram_join.jaccard_components(_docs(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert got == _jaccard(rows) and 1 < len({k[2] for k in got}) < 70
 
 
 def test_ngram_join(spark):
@@ -319,17 +360,58 @@ def test_stages_leave_clashing_columns_alone(spark):
     assert {r.doc_id: r.copies for r in mixed.collect()} == own and len(set(own.values())) > 1
 
 
+def _points(rng, rows=300):
+    sets = [np.unique(rng.integers(0, 1 << 64, int(rng.integers(3, 200)), dtype=np.uint64)) for _ in range(rows // 2)]
+    for x in list(sets):
+        y = x.copy()
+        y[rng.random(len(y)) < rng.choice([0.02, 0.05, 0.1, 0.3])] = rng.integers(0, 1 << 64, dtype=np.uint64)
+        sets.append(np.unique(y))
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    small = [ngram_join.small_point(x) for x in sets]
+    points = ngram_join.unpacked_small(small)
+    rest = n - points.sum(axis=1, dtype=np.int64)
+    bound = np.minimum(points[:, None], points[None]).sum(axis=2, dtype=np.int64) + np.minimum(rest[:, None], rest[None])
+    need = ngram_join.least_overlap(n[:, None], n[None])
+    fits = np.minimum(n[:, None], n[None]) * 100 >= 85 * np.maximum(n[:, None], n[None])
+    return sets, n, small, points, bound, need, fits
+
+
 def test_tree_pairs_lose_no_pair():
-    rng = np.random.default_rng(1)
-    points = rng.poisson(3, (300, ngram_join.GROUPS)).astype(np.uint16)
-    points[150:] = np.maximum(points[:150].astype(int) - rng.integers(0, 2, (150, ngram_join.GROUPS)) * (rng.random((150, ngram_join.GROUPS)) < 0.1), 0)
-    n, labels = points.sum(axis=1).astype(np.int64), np.arange(300) % 200
-    want = {
-        (a, b) for a in range(300) for b in range(a + 1, 300)
-        if labels[a] != labels[b] and np.minimum(points[a], points[b]).sum() >= ngram_join.least_overlap(n[a], n[b]) and min(n[a], n[b]) * 100 >= 85 * max(n[a], n[b])
-    }
-    got = [(min(i, j), max(i, j)) for a, b in ngram_join.tree_pairs(points, n, labels) for i, j in zip(a, b)]
-    assert set(got) >= want and len(got) == len(set(got))
+    sets, n, _, points, bound, need, fits = _points(np.random.default_rng(1))
+    labels = np.arange(len(n)) % 200
+    ok = (bound >= need) & fits & (labels[:, None] != labels[None])
+    got = [(min(i, j), max(i, j), o) for a, b, bound_ in ngram_join.tree_pairs(points, n, labels) for i, j, o in zip(a, b, bound_)]
+    assert sorted(got) == [(i, j, bound[i, j]) for i, j in zip(*np.nonzero(np.triu(ok, 1)))]
+
+
+@pytest.mark.parametrize("few", [1, 16])
+def test_block_pairs(monkeypatch, few):
+    """Blocks one after the other, with their places and sides, by brute force; the best pairs too."""
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    rng = np.random.default_rng(few)
+    sets, n, small, points, bound, need, fits = _points(rng, 240)
+    order = np.lexsort((n, np.arange(len(n)) % 12))  # a set and its copy in one block
+    key = order % 12
+    row, label, side, pos = order + 1000, order % 150, rng.integers(0, 2, len(n)), np.minimum(rng.integers(0, 8, len(n)), n[order] - 1)
+    across = key % 2 == 0
+    own = [small[i] for i in order]
+    want = set()
+    for i in range(len(key)):
+        for j in range(i):
+            a, b = order[i], order[j]
+            if key[i] == key[j] and label[i] != label[j] and fits[a, b] and bound[a, b] >= need[a, b] and (side[i] != side[j]) == across[i]:
+                if min(n[a] - pos[i], n[b] - pos[j]) >= need[a, b]:
+                    want.add((min(row[i], row[j]), max(row[i], row[j]), key[i], bound[a, b] - need[a, b]))
+    a, b = ngram_join._block_pairs(key, across, row, n[order], pos, label, side, own, 85, False)
+    assert sorted(zip(a, b)) == sorted({w[:2] for w in want}) and len(want) > 20
+    a, b = ngram_join._block_pairs(key, across, row, n[order], pos, label, side, own, 85, True)
+    best = set(zip(a, b))
+    assert best <= {w[:2] for w in want}
+    lab = dict(zip(row.tolist(), label.tolist()))
+    for k in set(key):
+        for x in set(label):
+            rooms = [(w[3], w[:2] in best) for w in want if w[2] == k and x in (lab[w[0]], lab[w[1]])]
+            assert not rooms or any(kept for room, kept in rooms if room == max(rooms)[0])
 
 
 # --- embeddings
