@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from ananas.plans import area, dashboard, farmers, gender, harvest, jobs, market, population, registration
+from ananas.plans import area, dashboard, farmers, figures, gender, harvest, jobs, market, population, registration
 from ananas.sources.tables import Tables
 
 # The synthetic data's clock: order dates run 1995-01-01 to 2001-08-01.
@@ -94,6 +94,7 @@ def reports(as_of: dt.date = AS_OF, muni: str = MUNI, harvest_year: int = HARVES
         "general_data_totals": dashboard.general_data_totals,
         "general_data_price": lambda t: dashboard.general_data(t)["qp_price"],
         "general_data": dashboard.general_data_page,
+        "dashboard_long": lambda t: figures.dashboard_long(t, as_of),
         "muni_dashboard": lambda t: dashboard.muni_dashboard(t, muni),
         # ingest, sync and streaming jobs (S2-S7, N1-N3, ST1)
         **jobs.JOBS,

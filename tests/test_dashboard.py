@@ -7,7 +7,7 @@ from ananas.plans import dashboard
 from ananas.plans.catalog import AS_OF
 from ananas.session import staging_path
 from ananas.sources.tables import Tables
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_SMALL, survey_row
 
 
 def test_dashboard_bundle_runs_every_set(spark):
@@ -76,3 +76,58 @@ def test_cli_report_takes_the_clock(spark, capsys):
     printed = capsys.readouterr().out
     want = population.expected_harvest_total(Tables.from_synthetic(spark, SF_SMALL), dt.date(1998, 3, 1)).collect()[0]
     assert f"'expected_harvest': {want.expected_harvest}" in printed
+
+
+# ------------------------------------------------------------------ the figures in one result
+
+def _long_of(bundle):
+    """Long rows from the page's own result sets."""
+    from ananas.plans import figures
+
+    shape = {
+        "area_ranking": ("qp_area", "muni_name", None), "area_count": ("area_count", None, "year_"), "general_pop": ("general_pop1", None, "year_gathered"),
+        "pineapple_population": ("pineapple_population", "muni_name", "year_gathered"), "topproducer": ("topproducer", "muni_name", None),
+        "expected_harvest_table": ("expected_harvest_table", "muni_name", None), "total_expected_harvest": ("total_expected_harvest", None, None),
+        "population_percent": ("population_percent", "muni_name", None), "farmer_count": ("farmer_count", None, "year_"),
+        "farmer_count_peryear": ("farmer_count_peryear1", None, "year_gathered"), "rbsba_table": ("rbsba_table", "muni_name", None),
+        "gender_data": ("gender_data", "f_municipality", None), "donut_data": ("donut_data", None, None), "harvest_count": ("harvest_count", None, "year_"),
+        "qp_price": ("qp_price", None, "year_"),
+    }
+    leave = {"general_pop": {"year_gathereds", "quarters"}, "population_percent": {"pop_year1", "pop_year2"}}
+    out = []
+    for report, (name, place, period) in shape.items():
+        for r in bundle[name].collect():
+            text = lambda c: None if c is None or r[c] is None else str(r[c])
+            for m in r.asDict():
+                if m not in (place, period) and m not in leave.get(report, ()):
+                    out.append((report, text(place), text(period), m, None if r[m] is None else round(float(r[m]), 6)))
+    assert figures.COLUMNS == ("report", "place", "period", "measure", "value")
+    return sorted(out, key=repr)
+
+
+def _rows(df):
+    return sorted(((r.report, r.place, r.period, r.measure, None if r.value is None else round(float(r.value), 6)) for r in df.collect()), key=repr)
+
+
+def test_dashboard_long_equals_the_bundle(make_tables):
+    from ananas.plans import figures
+
+    survey = [
+        survey_row(logs=1), survey_row(logs=2, fname="B", gathered="2000-06-01"), survey_row(logs=3, fname="A", gathered="1999-01-01", rbsba=""),
+        survey_row(logs=4, mname=None, muni="2", gathered=None), survey_row(logs=5, mname=None, fname="AM", lname="Z", muni="2", rbsba=None, gathered="1999-05-01"),
+        survey_row(logs=6, muni="77", area=None, pop=None), survey_row(logs=7, muni=None, fname="Q"), survey_row(logs=8, muni="9", area="-1.5555", pop=None, gathered="2000-01-01"),
+        survey_row(logs=9, muni="9", pop=0, gathered="1999-01-01", rbsba=""), survey_row(logs=10, muni="10", harvest=None, fname=None),
+        survey_row(logs=11, muni="10", harvest="2001-12-31", rbsba=""), survey_row(logs=12, fname="A", mname="MZ", lname="", muni="1"),
+    ]
+    for rows in (survey, []):
+        t = make_tables(qp_farmer_raw=rows)
+        got = _rows(figures.dashboard_long(t, AS_OF))
+        assert got == _long_of(dashboard.dashboard_bundle(t, AS_OF, cache=False))
+
+
+def test_dashboard_long_scans_the_survey_once(spark):
+    from ananas.plans import figures
+
+    t = Tables.from_synthetic(spark, SF_SMALL).write(staging_path(spark, "figures"))
+    plan = figures.dashboard_long(t, AS_OF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("/qp_farmer_raw]") == 1 and "CartesianProduct" not in plan
