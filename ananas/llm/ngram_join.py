@@ -7,8 +7,8 @@ of two sets is at most the sum of the smaller coordinates. An R-tree packed over
 block prunes whole branches by that bound and by size, the points and places prune pairs, and what
 is left is compared by its words.
 
-The first round takes of every document of a block its best partner, so groups of near copies are
-joined by as many pairs as they have members; the second takes all pairs of all blocks of a bucket
+The first rounds take of every document in a block its best partner in another component, so groups of near copies are
+joined by about as many pairs as buckets have members; the last takes all pairs of all blocks of a bucket
 that still are in different components, so no link is lost.
 """
 
@@ -39,6 +39,8 @@ CELLS = 1 << 16
 LEAF, FANOUT = 64, 8
 #: Buckets of so many members are compared many at a time: a tree of theirs is a piece of one leaf.
 FEW = 16
+#: Rounds that take best pairs alone, before the one that takes all.
+ROUNDS = 2
 #: Members of a block of a bucket.
 BLOCK = 1024
 #: Words of a text whose shingles are compared at a time.
@@ -212,11 +214,15 @@ def bucket_rows(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     ``indexed``. In order of size, a member stays if the last indexed one before it is large enough, or if
     it is indexed and the next one small enough: any partner's size lies between.
     """
-    t = sets.select("row", "n", F.posexplode("tokens").alias("pos", "tok"))
-    t = t.withColumn("indexed", F.col("n") - F.col("pos") >= F.floor((percent * 2 * F.col("n") + 99 + percent) / (100 + percent)))
-    w = Window.partitionBy("tok").orderBy("n", "row")
-    before = F.last(F.when(F.col("indexed"), F.col("n")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    t = t.select("*", before.alias("before"), F.lead("n").over(w).alias("after"), F.floor((F.row_number().over(w) - 1) / BLOCK).cast("int").alias("block"))
+    t = sets.select("row", F.col("n").alias("_n"), F.posexplode("tokens").alias("_pos", "tok"))
+    # size and place travel as one number, in order of size
+    t = t.select("tok", "row", (F.shiftleft("_n", 32) + F.col("_pos")).alias("at"))
+    n, pos = F.shiftright("at", 32), F.col("at").bitwiseAND((1 << 32) - 1).cast("int")
+    indexed = n - pos >= F.floor((percent * 2 * n + 99 + percent) / (100 + percent))
+    w = Window.partitionBy("tok").orderBy("at", "row")
+    before = F.last(F.when(indexed, n), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after, block = F.shiftright(F.lead("at").over(w), 32), F.floor((F.row_number().over(w) - 1) / BLOCK).cast("int")
+    t = t.select("tok", "row", n.alias("n"), pos.alias("pos"), indexed.alias("indexed"), before.alias("before"), after.alias("after"), block.alias("block"))
     fits = lambda small, large: F.coalesce(F.col(small) * 100 >= F.col(large) * percent, F.lit(False))
     t = t.filter(fits("before", "n") | (F.col("indexed") & fits("n", "after")))
     return written(t.select("tok", "block", "row", F.col("n").cast("int").alias("n"), "pos"), "buckets")
@@ -224,7 +230,8 @@ def bucket_rows(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose fine points allow the overlap they need; a pair without such points stays."""
-    p = sets.select("row", "n", "point").filter("point is not null")
+    need = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "bounded_rows")
+    p = sets.select("row", "n", "point").filter("point is not null").join(small_side(need), "row", "left_semi")
     joined = pairs.join(p.select(F.col("row").alias("a"), F.col("n").alias("an"), F.col("point").alias("ap")), "a", "left")
     joined = joined.join(p.select(F.col("row").alias("b"), F.col("n").alias("bn"), F.col("point").alias("bp")), "b", "left")
     fine = F.col("ap").isNotNull() & F.col("bp").isNotNull()
@@ -347,7 +354,7 @@ def _block_pairs(key, across, row, n, pos, label, side, small, percent: int, bes
     """Pairs (a, b) of whole blocks, one after the other, that sizes, labels, places and points allow.
 
     ``side``: the block a row is of; ``across``: only rows of different blocks meet.
-    ``best``: for every label of a block only the pair with most room.
+    ``best``: for every row of a block only the pair with most room.
     """
     start = np.flatnonzero(np.r_[True, np.diff(key) != 0][: len(key)])
     size = np.diff(np.r_[start, len(key)])
@@ -380,10 +387,9 @@ def _block_pairs(key, across, row, n, pos, label, side, small, percent: int, bes
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     a, b, room = (np.concatenate(x) for x in zip(*found))
     if best:
-        who = np.r_[label[a], label[b]]
-        at, where, much = np.r_[group[a], group[b]], np.tile(np.arange(len(a)), 2), np.r_[room, room]
-        order = np.lexsort((where, -much, who, at))
-        first = np.r_[True, (np.diff(who[order]) != 0) | (np.diff(at[order]) != 0)]
+        who, where, much = np.r_[a, b], np.tile(np.arange(len(a)), 2), np.r_[room, room]
+        order = np.lexsort((where, -much, who))
+        first = np.r_[True, np.diff(who[order]) != 0]
         take = np.unique(where[order][first])
         a, b = a[take], b[take]
     a, b = np.minimum(row[a], row[b]), np.maximum(row[a], row[b])
@@ -396,7 +402,8 @@ def _block_pairs(key, across, row, n, pos, label, side, small, percent: int, bes
 def _candidates(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs (a, b) of members of a bucket with different labels (a row without one is its own), that may link.
 
-    ``best``: of every block, for every label its best pair; else all pairs of all blocks of the bucket.
+    Without labels each block is by itself, later all blocks of a bucket meet. ``best``: for every row
+    of a block, or of two, its best pair; else all.
     """
     m, known = buckets, sets.select("row", "small")
     if labels is None:
@@ -405,7 +412,7 @@ def _candidates(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, p
         m = m.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
         open_ = m.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("block").alias("last")).filter("lo <> hi").select("tok", "last")
         m = m.join(open_, "tok")
-    if best:
+    if labels is None:
         m = m.withColumns({"x": F.col("block"), "y": F.col("block")})
     else:
         other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
@@ -446,21 +453,29 @@ def _components(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame,
     # of equal sets, the first row of each task has shingles; the first of all stands for the class
     full = sets.filter("n > 0")
     classes = written(full.groupBy("digest").agg(F.min("row").alias("rep")), "reps")
-    reps = sets.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-    reps = written(reps.select("row", "doc_id", "th", "n", "tokens", "point", "small"), "classes")
+    # the rows to leave out are few: one a task at most for a text, where it has copies in several
+    extra = sets.filter("small is not null").select("digest", "row").join(classes, "digest").filter("row <> rep").select("row")
+    extra = written(extra, "extra")
+    reps = sets.filter("small is not null").join(extra, "row", "left_anti")
+    reps = reps.select("row", "doc_id", "th", "n", "tokens", "point", "small")
 
     buckets = bucket_rows(reps, percent)
-    near = written(_candidates(buckets, None, reps, percent, True), "near")
-    tried = written(_bound(near, reps, percent), "pairs")
-    links = _verify(tried, reps, docs, shingle, percent)
-    labels = written(components(links).select(F.col("id").alias("row"), F.col("component").alias("label")), "labels")
-    rest = written(_candidates(buckets, labels, reps, percent, False).join(tried, ["a", "b"], "left_anti"), "rest")
-    left = written(_bound(rest, reps, percent), "pairs")
-    more = _verify(left, reps, docs, shingle, percent)
-    comp = components(links.union(more)).select(F.col("id").alias("rep"), "component")
+    used, labels, links, tried = [sets, extra, classes, buckets], None, None, None
+    for round_ in range(ROUNDS + 1):
+        pairs = _candidates(buckets, labels, reps, percent, best=round_ < ROUNDS)
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near")
+        left = written(_bound(pairs, reps, percent), "pairs")
+        more = _verify(left, reps, docs, shingle, percent)
+        used += [pairs, left, more]
+        tried, links = left if tried is None else tried.union(left), more if links is None else links.union(more)
+        comp = components(links)
+        if round_ < ROUNDS:
+            labels = written(comp.select(F.col("id").alias("row"), F.col("component").alias("label")), "labels")
+            used.append(labels)
+    comp = comp.select(F.col("id").alias("rep"), "component")
     known = written(classes.join(comp, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "components")
     rows = written(sets.select("row", "doc_id", "th", "n", "digest"), "rows")
-    forget(sets, reps, buckets, near, tried, links, labels, rest, left, more, classes)
+    forget(*used)
     return rows, known
 
 
