@@ -88,6 +88,20 @@ reach(id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT id, b FROM reach JOIN
 SELECT id AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r)::BIGINT AS component_id FROM reach LEFT JOIN n ON n.doc_id = id GROUP BY id
 """
 
+OP7 = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT id, b FROM reach JOIN link ON r = a),
+least AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON id = vec_id LEFT JOIN n ON a = vec_id
+"""
+
 OP9 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
 m AS (SELECT html, max(page_id) AS m FROM p GROUP BY html)
@@ -167,6 +181,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_licenses": OP2,
         "op4_mix": OP4,
         "op6_ngram_join": OP6,
+        "op7_embedding_dedup": OP7,
         "op9_warc": OP9,
         "op10_suffix_dedup": OP10,
         "op12_filter_audit": OP12,

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 #: Documents whose words serve as ordinary strings, at most (on average; picked by a hash of id and text).
 SAMPLE_DOCS = 4000
+#: Identifiers made of the words of a sampled document.
+IDENTIFIERS = 20
 #: Evidence for a random string, in nats: in total, and per character.
-LEAST_TOTAL, LEAST_MEAN = 12.0, 0.6
+LEAST_TOTAL, LEAST_MEAN = 12.0, 0.7
 #: Weight of single characters in the model of pairs.
 PRIOR = 8.0
 #: Shortest token that the models judge.
@@ -59,9 +61,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def labelled_strings(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(s, random): tokens of sampled documents too short to be judged, and digests of them in the usual alphabets.
+    """(s, random): ordinary and random strings of about one length, from sampled documents.
 
-    Digests are random strings by construction: hex, base 64, base 36 in capitals.
+    Ordinary are their tokens too short to be judged, and what people make of words: identifiers of
+    three of them in the usual spellings (constants too), numbers, ids with dashes and rows of one sign.
+    Random by construction are digests of the documents: hex, base 64, base 36 in capitals.
     """
     n = docs.count()
     share = min(1.0, sample_docs / max(n, 1))
@@ -70,7 +74,17 @@ def labelled_strings(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFra
     sha = F.sha2(F.concat_ws("|", "doc_id", "text"), 256)
     kinds = F.array(sha, F.base64(F.unhex(sha)), *[F.conv(F.substring(sha, i, 15), 16, 36) for i in (1, 16, 31, 46)])
     made = d.select(F.explode(kinds).alias("s")).select("s", F.lit(True).alias("random"))
-    return words.union(made)
+    three = d.select("doc_id", "text", F.slice(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{2,}"), 0), 1, 3 * IDENTIFIERS).alias("w"))
+    three = three.select(F.explode(F.sequence(F.lit(0), F.lit(IDENTIFIERS - 1))).alias("k"), "w").select(F.lower(F.array_join(F.slice("w", 3 * F.col("k") + 1, 3), " ")).alias("w"), "k").filter("w <> ''")
+    snake, camel = F.replace("w", F.lit(" "), F.lit("_")), F.replace(F.initcap("w"), F.lit(" "), F.lit(""))
+    spelling = F.element_at(F.array(snake, camel, F.upper(snake), F.replace("w", F.lit(" "), F.lit("-")), F.replace("w", F.lit(" "), F.lit("/"))), F.pmod("k", F.lit(5)) + 1)
+    part = lambda at, n: F.substring(sha, at, n)
+    others = F.array(
+        F.conv(part(1, 15), 16, 10), F.concat(F.lit("20"), F.conv(part(20, 12), 16, 10)), F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)),
+        F.repeat(F.element_at(F.array(*[F.lit(c) for c in "=-_/+"]), F.pmod(F.xxhash64("text"), F.lit(5)).cast("int") + 1), F.lit(20)),
+    )
+    plain = three.select(spelling.alias("s")).union(d.select(F.explode(others).alias("s")))
+    return words.union(plain.select("s", F.lit(False).alias("random"))).union(made)
 
 
 def train(strings: DataFrame) -> np.ndarray:
