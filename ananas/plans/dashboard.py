@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ananas.operators.aggregates import collect_scalars
-from ananas.plans import area, farmers, gender, harvest, market, population, registration
+from ananas.plans import area, farmers, figures, gender, harvest, market, population, registration
 from ananas.sources.tables import Tables
 
 
@@ -161,3 +161,16 @@ def dashboard_bundle(t: Tables, as_of: dt.date, cache: bool = True) -> dict[str,
         "qp_price": market.price_by_year(t, newest_first=True),
         "population_percent": population.population_change(t, as_of),
     }
+
+
+def dashboard_page(t: Tables, as_of: dt.date) -> dict[str, DataFrame]:
+    """DB2 in seven results: all its figures (:func:`ananas.plans.figures.dashboard_long`) and its six lists."""
+    return {
+        "figures": figures.dashboard_long(t, as_of),
+        "pest_data": market.pest_list(t, "Pests"),
+        "diseases_data": market.pest_list(t, "Diseases"),
+        "weeds_data": market.pest_list(t, "Weeds"),
+        "farmersqp": farmers.farmers_directory(t, mode="ws"),
+        "table_data_harvest": farmers.farmers_directory(t, mode="strict"),
+        "cam_norte_municipality": market.municipality_picklist(t),
+    }

@@ -128,8 +128,8 @@ def _long(f: DataFrame, measures: dict[str, Sequence[tuple[str, Column]]]) -> Da
     return f.select("report", "place", "period", F.explode(chosen).alias("m")).select("report", "place", "period", "m.measure", "m.value")
 
 
-def _of(df: DataFrame, report: str, values: Sequence[str], place: str | None = None, period: str | None = None) -> DataFrame:
-    """A report of one of the other tables as long rows."""
+def long_rows(df: DataFrame, report: str, values: Sequence[str], place: str | None = None, period: str | None = None) -> DataFrame:
+    """A report as long rows: one for each of its columns ``values``."""
     text = lambda c: (F.col(c).cast("string") if c else F.lit(None).cast("string"))
     f = df.select(F.lit(report).alias("report"), text(place).alias("place"), text(period).alias("period"), *values)
     return _long(f, {report: [(v, F.col(v)) for v in values]})
@@ -146,10 +146,10 @@ def dashboard_long(t: Tables, as_of: dt.date) -> DataFrame:
     """
     parts = [
         survey_figures(t, as_of),
-        _of(gender.gender_by_muni(t), "gender_data", ["Male", "Female", "total"], place="f_municipality"),
-        _of(gender.gender_totals(t), "donut_data", ["Male", "Female", "male_percent", "female_percent"]),
-        _of(harvest.harvest_series(t), "harvest_count", ["production_count"], period="year_"),
-        _of(market.price_by_year(t), "qp_price", ["price"], period="year_"),
+        long_rows(gender.gender_by_muni(t), "gender_data", ["Male", "Female", "total"], place="f_municipality"),
+        long_rows(gender.gender_totals(t), "donut_data", ["Male", "Female", "male_percent", "female_percent"]),
+        long_rows(harvest.harvest_series(t), "harvest_count", ["production_count"], period="year_"),
+        long_rows(market.price_by_year(t), "qp_price", ["price"], period="year_"),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -10,11 +10,15 @@ text, header mapping, parsing and id sync.
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ananas.functions.exprs import trunc_dec, year_of
+from ananas.operators import distinct_state
 from ananas.operators.sync import sync_barangay_id, sync_farmer_id, sync_municipality_id
-from ananas.plans import area, market
+from ananas.plans import area, figures, market
 from ananas.session import staging_path
 from ananas.sources import feeds, weather
 from ananas.sources.tables import Tables
@@ -246,7 +250,85 @@ def load_to_rain_by_year(t: Tables) -> DataFrame:
     return market.rain_by_year(t.with_loaded(weather=target))
 
 
+def _logs(t: Tables, parts: int, part: int) -> Tables:
+    """``t`` with one of ``parts`` shares of the survey, by the row's key."""
+    return dataclasses.replace(t, qp_farmer_raw=t.qp_farmer_raw.where(F.pmod("logs", F.lit(parts)) == part))
+
+
+def stream_area_by_year(t: Tables) -> DataFrame:
+    """ST1: AR2 kept by a stream over survey files: two drops, a restart after each, and a late file."""
+    drop, base = staging_path(t.spark, "area-drop"), staging_path(t.spark, "area-stream")
+    paths = stream.StreamPaths(source=drop, output=f"{base}/out", checkpoint=f"{base}/checkpoint")
+    for k in range(3):
+        _write_csv(survey_feed(_logs(t, 3, k)), f"{drop}/{k}")
+        stream.run_totals_once(t.spark, feeds.SURVEY, paths, year_of("raw_dgathered"), "raw_area", STREAM_FILES_PER_BATCH)
+    sums = stream.read_totals(t.spark, paths)
+    return sums.select(trunc_dec("total", 2).alias("Area_count"), F.col("key").alias("year_"))
+
+
+def farmer_counts_from_state(t: Tables) -> DataFrame:
+    """FA6 and RG4 (long rows, as in DB2) from bitmaps of farmers that two loads have left behind."""
+    path = staging_path(t.spark, "farmer-state")
+    for k in range(2):
+        distinct_state.add_load(_logs(t, 2, k).qp_farmer_raw, path)
+    series = figures.long_rows(distinct_state.farmer_count_series(t.spark, path), "farmer_count", ["count_farmer"], period="year_")
+    table = distinct_state.rbsba_table(t.spark, path, t.muni)
+    return series.unionByName(figures.long_rows(table, "rbsba_table", table.columns[:5], place="muni_name"))
+
+
+def farmer_counts_sketched(t: Tables) -> DataFrame:
+    """FA6 estimated from stored sketches of two loads (relative standard error of ``SKETCH_ERROR``)."""
+    path = staging_path(t.spark, "farmer-sketches")
+    for k in range(2):
+        distinct_state.add_load(_logs(t, 2, k).qp_farmer_raw, path)
+    return distinct_state.farmer_count_series_sketched(t.spark, path)
+
+
+def _load_survey(t: Tables, src: str, target: str) -> None:
+    feeds.load_feed(t.spark, src, feeds.SURVEY, target,
+                    lambda good: feeds.curate_survey(good, t.tbl_muni, t.farmer_demo, t.tbl_barangay))
+
+
+def load_renamed_once(t: Tables) -> DataFrame:
+    """S9: a folder loaded, renamed and loaded again: the files are known by their content, so nothing is added."""
+    src, again = _write_csv(price_feed(t), staging_path(t.spark, "named")), staging_path(t.spark, "renamed")
+    target = staging_path(t.spark, "named-table")
+    feeds.load_feed(t.spark, src, feeds.PRICE, target)
+    feeds.move_path(t.spark, src, again)
+    feeds.load_feed(t.spark, again, feeds.PRICE, target)
+    return feeds.read_loaded(t.spark, target).select("date", "med_price", "lg_price", "buyer_seller")
+
+
+def area_ranking_as_of_load(t: Tables) -> DataFrame:
+    """S8: AR5 over a table of two loads, as it was after the first."""
+    drop, target = staging_path(t.spark, "as-of"), staging_path(t.spark, "as-of-table")
+    for k in range(2):
+        _write_csv(survey_feed(_logs(t, 2, k)), f"{drop}/{k}")
+        _load_survey(t, drop, target)
+    return area.area_ranking(t.with_loaded(survey=target, upto=1))
+
+
+def resync_survey(t: Tables) -> DataFrame:
+    """N1-N3 as a job: survey rows loaded while half of the farmers and municipalities were unknown, then
+    synced with all of them, and once more with nothing new."""
+    drop, target = staging_path(t.spark, "resync"), staging_path(t.spark, "resync-table")
+    half = lambda df, c: df.where(F.pmod(F.col(c).cast("long"), F.lit(2)) == 0)
+    early = dataclasses.replace(t, farmer_demo=half(t.farmer_demo, "f_id"), tbl_muni=half(t.tbl_muni, "muni_id"))
+    for k in range(2):
+        _write_csv(survey_feed(_logs(t, 2, k)), f"{drop}/{k}")
+        _load_survey(early, drop, target)
+    for _ in range(2):
+        feeds.resync(t.spark, target, t.tbl_muni, t.farmer_demo, t.tbl_barangay)
+    return feeds.read_loaded(t.spark, target).select("f_id", *SURVEY_OUT)
+
+
 JOBS = {
+    "stream_area_by_year": stream_area_by_year,
+    "farmer_counts_from_state": farmer_counts_from_state,
+    "farmer_counts_sketched": farmer_counts_sketched,
+    "load_renamed_once": load_renamed_once,
+    "area_ranking_as_of_load": area_ranking_as_of_load,
+    "resync_survey": resync_survey,
     "load_to_area_ranking": load_to_area_ranking,
     "load_to_common_pest": load_to_common_pest,
     "load_to_rain_by_year": load_to_rain_by_year,

@@ -77,21 +77,39 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def layouts(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
-    """Files by their header line (a few layouts; the file names are the reader's own list)."""
-    if not files:
-        return {}
-    first = spark.read.text(files).select(
+def scan_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, header, digest) of files with a line, in one pass over them that splits large files.
+
+    ``digest`` stands for the file's content: how many lines it has, their bytes, and two sums
+    over the lines' hashes. A file under another name, or with its lines in another order, has
+    the same one."""
+    lines = spark.read.text(files).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
         F.monotonically_increasing_id().alias("pos"), "value",
-    ).where("at = 0").groupBy("file").agg(F.min_by("value", "pos").alias("header"))
+    )
+    total = lambda h: F.sum(h.cast("decimal(38,0)")).cast("string")
+    digest = F.concat_ws("-", F.count(F.lit(1)).cast("string"), F.sum(F.octet_length("value")).cast("string"),
+                         total(F.xxhash64("value")), total(F.xxhash64("value", F.lit("second"))))
+    return lines.groupBy("file").agg(F.min_by("value", F.when(F.col("at") == 0, F.col("pos"))).alias("header"), digest.alias("digest"))
+
+
+def grouped(headers: Mapping[str, str], files: list[str]) -> dict[str, list[str]]:
+    """Files with a line by their header; a few layouts."""
     out: dict[str, list[str]] = {}
-    for r in first.orderBy("file").collect():
-        out.setdefault(r["header"], []).append(r["file"])
+    for f in files:
+        if f in headers:
+            out.setdefault(headers[f], []).append(f)
     return out
 
 
-def read_files(spark: SparkSession, files: list[str], feed: Feed, multi_line: bool = True) -> DataFrame:
+def layouts(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """Files by their header line (a few layouts; the file names are the reader's own list)."""
+    found = scan_files(spark, files).select("file", "header").collect() if files else []
+    return grouped({r["file"]: r["header"] for r in found}, sorted(r["file"] for r in found))
+
+
+def read_files(spark: SparkSession, files: list[str], feed: Feed, multi_line: bool = True,
+               headers: Mapping[str, str] | None = None) -> DataFrame:
     """S1: CSV files with a header row, every field as trimmed text.
 
     Cells are found by the name in each file's header, as the upload form
@@ -100,7 +118,8 @@ def read_files(spark: SparkSession, files: list[str], feed: Feed, multi_line: bo
     the file lacks is named in ``_missing``. A blank cell is ``''``.
     ``_source`` is the file each row came from."""
     parts = []
-    for header, own in layouts(spark, files).items():
+    by_header = layouts(spark, files) if headers is None else grouped(headers, files)
+    for header, own in by_header.items():
         names = [n.strip() for n in next(csv.reader([header.lstrip("\ufeff")]), [])]
         at = {n: i for i, n in enumerate(names)}
         fields = [T.StructField(f"c{i}", T.StringType(), True) for i in range(max(1, len(names)))]
@@ -212,10 +231,13 @@ def pest_catalogue(loaded: DataFrame) -> DataFrame:
 
 # A table is a folder: rows/load_id=.., rejects/load_id=.. and the ledger, which
 # names each file with the load that holds it. A load exists once the ledger has it.
-LEDGER = "file string, load_id string, accepted long, rejected long, last_key long"
+# ``digest`` is the file's content: a copy under another name is noted without rows.
+# ``replaces`` names the load whose rows a load rewrites (its rejects still hold);
+# ``load_id`` begins with the position of the load.
+LEDGER = "file string, load_id string, accepted long, rejected long, last_key long, digest string, replaces string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
@@ -226,29 +248,58 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def move_path(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a folder that this library has staged."""
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(new.getParent())
+    if not fs.rename(old, new):
+        raise OSError(f"{path} could not be renamed")
+
+
 def ledger(spark: SparkSession, target: str) -> DataFrame:
-    if not _exists(spark, f"{target}/ledger"):
+    if not path_exists(spark, f"{target}/ledger"):
         return spark.createDataFrame([], LEDGER)
     return spark.read.schema(LEDGER).parquet(f"{target}/ledger")
 
 
-def _published(spark: SparkSession, target: str, part: str) -> DataFrame | None:
-    loads = [r["load_id"] for r in ledger(spark, target).select("load_id").distinct().orderBy("load_id").collect()]
-    paths = [f"{target}/{part}/load_id={x}" for x in loads]
+def position(load_id: Column | str) -> Column:
+    """The place of a load among all loads of its table, from 0 on."""
+    return F.substring_index(load_id, "-", 1).cast("long")
+
+
+def loads(spark: SparkSession, target: str, upto: int | None = None) -> list[str]:
+    """Loads whose rows the table has, after its first ``upto`` loads (all by default)."""
+    entries = ledger(spark, target)
+    if upto is not None:
+        entries = entries.where(position("load_id") < upto)
+    gone = entries.select(F.col("replaces").alias("load_id")).where("load_id is not null")
+    live = entries.where("load_id is not null").select("load_id").distinct().join(gone, "load_id", "left_anti")
+    return [r["load_id"] for r in live.orderBy("load_id").collect()]
+
+
+def _published(spark: SparkSession, target: str, part: str, upto: int | None) -> DataFrame | None:
+    if part == "rejects":  # a rewritten load keeps the rejects of its first writing
+        entries = ledger(spark, target).where("replaces is null")
+        entries = entries if upto is None else entries.where(position("load_id") < upto)
+        found = [r["load_id"] for r in entries.select("load_id").distinct().orderBy("load_id").collect()]
+    else:
+        found = loads(spark, target, upto)
+    paths = [p for p in (f"{target}/{part}/load_id={x}" for x in found) if path_exists(spark, p)]
     return spark.read.option("basePath", f"{target}/{part}").parquet(*paths) if paths else None
 
 
-def read_loaded(spark: SparkSession, target: str) -> DataFrame:
-    """The rows of all published loads of a table."""
-    rows = _published(spark, target, "rows")
+def read_loaded(spark: SparkSession, target: str, upto: int | None = None) -> DataFrame:
+    """The rows of all published loads of a table; with ``upto``, as the table was after so many loads."""
+    rows = _published(spark, target, "rows", upto)
     if rows is None:
         raise ValueError(f"nothing is loaded in {target}")
     return rows
 
 
-def read_rejects(spark: SparkSession, target: str) -> DataFrame:
+def read_rejects(spark: SparkSession, target: str, upto: int | None = None) -> DataFrame:
     """The rejects of all published loads of a table, with their reasons."""
-    bad = _published(spark, target, "rejects")
+    bad = _published(spark, target, "rejects", upto)
     if bad is None:
         raise ValueError(f"nothing is loaded in {target}")
     return bad
@@ -268,42 +319,133 @@ def with_keys(df: DataFrame, first: int, row: str = "_row") -> DataFrame:
 def load_files(spark: SparkSession, files: DataFrame, target: str, read, transform=None, key: str | None = None) -> tuple[int, int]:
     """Load those of ``files`` (``file``) that the ledger doesn't have; returns the table's (accepted, rejected) counts.
 
-    ``read(spark, paths)`` gives (good rows, rejects), ``transform`` curates the
-    good ones. Only new files are read, once. Rows and rejects are written to
-    folders of this load, and one ledger file publishes both: a load that died
-    before that is not seen, and its files are loaded again. ``key`` names a
-    column that numbers the table's rows. One loader writes to a table at a time.
+    ``read(spark, paths)`` gives (good rows, rejects), and is handed the first line of
+    each path too if it has ``takes_headers``; ``transform`` curates the good ones. Only new files are read. A file whose content the table already has
+    under another name, or that another new file has too, is noted in the ledger
+    and not loaded. Rows and rejects are written to folders of this load, and one
+    ledger file publishes both: a load that died before that is not seen, and its
+    files are loaded again. ``key`` names a column that numbers the table's rows.
+    One loader writes to a table at a time.
     """
     known = ledger(spark, target)
     new = [r["file"] for r in files.join(known, "file", "left_anti").distinct().orderBy("file").collect()]
-    done = known.agg(F.coalesce(F.max("last_key"), F.lit(0)).alias("k"), F.countDistinct("load_id").alias("n")).first()
     if new:
-        load_id = f"{done['n']:06d}-{uuid.uuid4().hex[:12]}"
+        load_id, last_key = _next_load(known)
+        scanned = scan_files(spark, new).collect()  # a row a new file
+        headers, found = ({r["file"]: r[c] for r in scanned} for c in ("header", "digest"))
+        digests = spark.createDataFrame(sorted(found.items()), "file string, digest string")
+        held = {r["digest"] for r in digests.join(known.where("replaces is null").select("digest"), "digest", "left_semi").collect()}
+        first: dict[str, str] = {}
+        for f in new:
+            if found.get(f) not in held:
+                first.setdefault(found.get(f, f), f)  # a file without a line is of its own
+        fresh = sorted(first.values())
         rows, rejects, staged = f"{target}/rows/load_id={load_id}", f"{target}/rejects/load_id={load_id}", f"{target}/staged/{load_id}"
-        good, bad = read(spark, new)
-        good.withColumn("_row", F.monotonically_increasing_id()).write.parquet(f"{staged}/good")
-        bad.write.parquet(rejects)
-        good = spark.read.parquet(f"{staged}/good")
-        if key:
-            good = with_keys(good, done["k"] + 1).withColumnRenamed("key", key)
-        good = good.drop("_row")
-        (transform(good) if transform else good).write.parquet(rows)
-        last = spark.read.parquet(rows).agg(F.max(key)).first()[0] if key else None
-        by_file = lambda path, name: spark.read.parquet(path).groupBy(F.col("_source").alias("file")).agg(F.count(F.lit(1)).alias(name))
-        entry = spark.createDataFrame([(f,) for f in new], "file string")
-        entry = entry.join(by_file(rows, "accepted"), "file", "left").join(by_file(rejects, "rejected"), "file", "left")
-        entry.select(
-            "file", F.lit(load_id).alias("load_id"), F.coalesce("accepted", F.lit(0)).alias("accepted"),
-            F.coalesce("rejected", F.lit(0)).alias("rejected"), F.lit(last or done["k"]).cast("long").alias("last_key"),
-        ).coalesce(1).write.mode("append").parquet(f"{target}/ledger")
+        entry = spark.createDataFrame([(f,) for f in new], "file string").join(digests, "file", "left")
+        if fresh:
+            good, bad = read(spark, fresh, headers) if getattr(read, "takes_headers", False) else read(spark, fresh)
+            good.withColumn("_row", F.monotonically_increasing_id()).write.parquet(f"{staged}/good")
+            bad.write.parquet(rejects)
+            good = spark.read.parquet(f"{staged}/good")
+            if key:
+                good = with_keys(good, last_key + 1).withColumnRenamed("key", key)
+            good = good.drop("_row")
+            (transform(good) if transform else good).write.parquet(rows)
+            last_key = (spark.read.parquet(rows).agg(F.max(key)).first()[0] if key else None) or last_key
+            by_file = lambda path, name: spark.read.parquet(path).groupBy(F.col("_source").alias("file")).agg(F.count(F.lit(1)).alias(name))
+            entry = entry.join(by_file(rows, "accepted"), "file", "left").join(by_file(rejects, "rejected"), "file", "left")
+        else:
+            load_id = None  # only copies: files without a load
+            entry = entry.withColumns({"accepted": F.lit(0), "rejected": F.lit(0)})
+        _publish(entry.select(
+            "file", F.lit(load_id).cast("string").alias("load_id"), F.coalesce("accepted", F.lit(0)).cast("long").alias("accepted"),
+            F.coalesce("rejected", F.lit(0)).cast("long").alias("rejected"), F.lit(last_key).cast("long").alias("last_key"),
+            "digest", F.lit(None).cast("string").alias("replaces"),
+        ), target)
         drop_path(spark, staged)
     total = ledger(spark, target).agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r")).first()
     return total["a"] or 0, total["r"] or 0
 
 
+def _next_load(known: DataFrame) -> tuple[str, int]:
+    """(id of the next load, last key given)."""
+    r = known.agg(F.coalesce(F.max("last_key"), F.lit(0)).alias("k"), F.coalesce(F.max(position("load_id")) + 1, F.lit(0)).alias("n")).first()
+    return f"{r['n']:06d}-{uuid.uuid4().hex[:12]}", r["k"]
+
+
+def _publish(entries: DataFrame, target: str) -> None:
+    entries.coalesce(1).write.mode("append").parquet(f"{target}/ledger")
+
+
+# ------------------------------------------------------------------ resync
+
+# Dimension -> the columns kept of it, those it is found by, and the rows' columns that find it
+# (joined without a separator, as N1 does).
+_DIMENSIONS = {
+    "farmers": (("f_name", "m_name", "l_name", "f_id"), ("f_name", "m_name", "l_name"), ("raw_fname", "raw_mname", "raw_lname")),
+    "municipalities": (("muni_name", "muni_id"), ("muni_name",), ("raw_municipality_name",)),
+    "barangays": (("brgy_name", "muni_id", "brgy_id"), ("brgy_name",), ("raw_barangay_name",)),
+}
+
+
+def resync(spark: SparkSession, target: str, tbl_muni: DataFrame, farmer_demo: DataFrame, tbl_barangay: DataFrame) -> list[str]:
+    """N1-N3 for rows already loaded: rewrite the loads that a changed dimension row can touch; returns the loads replaced.
+
+    The dimensions as of the last call are kept beside the table; rows of theirs that are new,
+    changed or gone since are met with the names in the loaded rows (a semi-join that reads the name
+    columns alone), and only loads with such a row are read in full and written anew, from the names
+    they came with. One ledger file publishes all of them; the other loads stay as they are. The first
+    call meets all names. Ids of a row whose name has gone from a dimension become its name again (no
+    farmer: NULL). Rows keep their keys, and rejects stay.
+    """
+    known = ledger(spark, target)
+    position_ = int(_next_load(known)[0].split("-")[0])
+    live = loads(spark, target)
+    if not live:
+        return []
+    rows = read_loaded(spark, target)
+    now = {"municipalities": tbl_muni, "farmers": farmer_demo, "barangays": tbl_barangay}
+    kept = f"{target}/dimensions"
+    before = _last_folder(spark, kept)
+    place = f"{kept}/{position_:06d}-{uuid.uuid4().hex[:12]}"
+    touched = None
+    for name, (columns, own, names) in _DIMENSIONS.items():
+        now[name].select(*columns).distinct().write.parquet(f"{place}/{name}")
+        changed = new = spark.read.parquet(f"{place}/{name}")
+        if before:
+            old = spark.read.schema(new.schema).parquet(f"{before}/{name}")
+            changed = new.exceptAll(old).unionByName(old.exceptAll(new))
+        found = changed.select(F.concat(*own).alias("_found")).distinct()
+        hit = rows.select("load_id", F.concat(*names).alias("_found")).join(found, "_found", "left_semi").select("load_id")
+        touched = hit if touched is None else touched.unionByName(hit)
+    replaced = sorted({r["load_id"] for r in touched.distinct().collect()})  # loads, not rows
+    entries = []
+    for old_id in replaced:
+        new_id = f"{position_:06d}-{uuid.uuid4().hex[:12]}"
+        own = spark.read.parquet(f"{target}/rows/load_id={old_id}")
+        curate_survey(own, tbl_muni, farmer_demo, tbl_barangay).select(*own.columns).write.parquet(f"{target}/rows/load_id={new_id}")
+        entries.append((None, new_id, 0, 0, None, None, old_id))
+    if entries:
+        _publish(spark.createDataFrame(entries, LEDGER), target)
+    spark.createDataFrame([(place.rsplit("/", 1)[1],)], "folder string").coalesce(1).write.mode("append").parquet(f"{kept}/done")
+    return replaced
+
+
+def _last_folder(spark: SparkSession, path: str) -> str | None:
+    """The newest complete folder under ``path``: those that ``done`` names."""
+    if not path_exists(spark, f"{path}/done"):
+        return None
+    last = spark.read.schema("folder string").parquet(f"{path}/done").agg(F.max("folder")).first()[0]
+    return f"{path}/{last}"
+
+
 def feed_reader(feed: Feed, date_formats=DEFAULT_DATE_FORMATS, multi_line: bool = True):
     """``read`` of :func:`load_files` for a CSV feed."""
-    return lambda spark, paths: split(parse(read_files(spark, paths, feed, multi_line), feed, date_formats))
+    def read(spark: SparkSession, paths: list[str], headers: Mapping[str, str] | None = None):
+        return split(parse(read_files(spark, paths, feed, multi_line, headers), feed, date_formats))
+
+    read.takes_headers = True
+    return read
 
 
 #: The column that numbers the rows of a feed's table.

@@ -67,17 +67,18 @@ class Tables:
         return t.validate() if validate else t
 
     def with_loaded(self, survey: str | None = None, harvest: str | None = None, price: str | None = None,
-                    weather: str | None = None, pests: str | None = None) -> "Tables":
+                    weather: str | None = None, pests: str | None = None, upto: int | None = None) -> "Tables":
         """These tables with those of the named folders of :func:`ananas.sources.feeds.load_feed`
-        (and ``load_weather``) in place of their own, checked with :meth:`validate`."""
+        (and ``load_weather``) in place of their own, checked with :meth:`validate`; with ``upto``, as
+        they were after so many loads."""
         import dataclasses
 
         from ananas.sources import feeds
 
         loaded = {"qp_farmer_raw": survey, "harvest_data": harvest, "qp_price": price, "weather_data": weather}
-        new = {name: feeds.read_loaded(self.spark, path) for name, path in loaded.items() if path}
+        new = {name: feeds.read_loaded(self.spark, path, upto) for name, path in loaded.items() if path}
         if pests:
-            new["pests"] = feeds.pest_catalogue(feeds.read_loaded(self.spark, pests))
+            new["pests"] = feeds.pest_catalogue(feeds.read_loaded(self.spark, pests, upto))
         return dataclasses.replace(self, **new).validate()
 
     def validate(self) -> "Tables":

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ananas.sources import feeds
@@ -75,5 +76,50 @@ def run_once(spark: SparkSession, feed: feeds.Feed, paths: StreamPaths, transfor
     _finish(start_feed_stream(spark, feed, paths, transform, available_now=True, max_files_per_trigger=max_files_per_trigger))
 
 
+# ------------------------------------------------------------------ a report kept by a stream
+
+def start_totals_stream(
+    spark: SparkSession, feed: feeds.Feed, paths: StreamPaths, key, value: str, available_now: bool = True,
+    max_files_per_trigger: int | None = None, interval: str = "30 seconds",
+) -> StreamingQuery:
+    """Sums of ``value`` by ``key`` (a Column over the parsed rows) over all files dropped so far, kept by a
+    stateful aggregate; see :func:`read_totals`.
+
+    Files have the feed's columns in its own order (another header is an error). The state is a row for
+    each key, however many rows come, so none is ever evicted and there is no watermark that would
+    drop late rows: a file that comes late changes the sum of its old year. After a restart the
+    aggregate goes on from the checkpoint. Each batch writes all sums to a folder of its own number, so
+    a batch that is run again writes the same folder.
+    """
+    schema = T.StructType([T.StructField(h, T.StringType(), True) for h in feed.headers])
+    options = {"header": "true", "enforceSchema": "false", "escape": '"', "recursiveFileLookup": "true"}
+    reader = spark.readStream.schema(schema).options(**options)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    text = reader.csv(paths.source).withColumn("_source", F.col("_metadata.file_path"))
+    good, _ = feeds.split(feeds.parse(text, feed))
+    sums = good.groupBy(key.alias("key")).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{paths.output}/batch={batch_id}")
+        feeds.drop_path(batch.sparkSession, f"{paths.output}/batch={batch_id - 2}")  # readers may still be on the last
+
+    writer = sums.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", paths.checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
+    return writer.start()
+
+
+def run_totals_once(spark: SparkSession, feed: feeds.Feed, paths: StreamPaths, key, value: str,
+                    max_files_per_trigger: int | None = None) -> None:
+    """Add every file now in the folder to the sums, then return."""
+    _finish(start_totals_stream(spark, feed, paths, key, value, True, max_files_per_trigger))
+
+
+def read_totals(spark: SparkSession, paths: StreamPaths) -> DataFrame:
+    """(key, total, n) as the last finished batch left them."""
+    last = spark.read.parquet(paths.output).agg(F.max("batch")).first()[0]
+    return spark.read.parquet(f"{paths.output}/batch={last}")
+
+
 def read_accepted(spark: SparkSession, paths: StreamPaths) -> DataFrame:
     return feeds.read_loaded(spark, paths.output)

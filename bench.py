@@ -72,11 +72,9 @@ def main() -> None:
 
     fresh = Tables.from_curated(spark, curated_path(curated))
     start = time.time()
-    shared = dashboard.dashboard_tables(fresh)
-    bundle = dashboard.dashboard_bundle(shared, AS_OF, cache=False)
+    page = dashboard.dashboard_page(fresh, AS_OF)
     with ThreadPoolExecutor(max_workers=8) as pool:
-        list(pool.map(run, bundle.values()))
-    shared.qp_farmer_raw.unpersist()
+        list(pool.map(run, page.values()))
     times["dashboard"] = round(time.time() - start, 3)
 
     report_total = sum(v for k, v in times.items() if k not in JOBS and k not in ("curate", "dashboard"))

@@ -131,3 +131,10 @@ def test_dashboard_long_scans_the_survey_once(spark):
     t = Tables.from_synthetic(spark, SF_SMALL).write(staging_path(spark, "figures"))
     plan = figures.dashboard_long(t, AS_OF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("/qp_farmer_raw]") == 1 and "CartesianProduct" not in plan
+
+
+def test_dashboard_page_has_every_set(synthetic):
+    bundle, page = dashboard.dashboard_bundle(synthetic, AS_OF, cache=False), dashboard.dashboard_page(synthetic, AS_OF)
+    assert len({r.report for r in page["figures"].select("report").distinct().collect()}) + len(page) - 1 == len(bundle) == 21
+    for name in set(page) - {"figures"}:
+        assert page[name].columns == bundle[name].columns

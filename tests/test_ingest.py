@@ -4,6 +4,7 @@ import datetime as dt
 import os
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from ananas.operators.sync import sync_barangay_id, sync_farmer_id, sync_municipality_id
@@ -245,7 +246,7 @@ def test_second_load_reads_only_new_files(spark):
 def test_loaded_rows_have_unique_keys(spark):
     src, target = staging_path(spark, "t-key-src"), staging_path(spark, "t-key-out")
     for i in range(3):
-        _write(src, f"p{i}.csv", "Category,Name,Description,Damage,Management,Report Count\nPests,a,,,,3\nPests,b,,,,x\nWeeds,c,,,,5\n")
+        _write(src, f"p{i}.csv", f"Category,Name,Description,Damage,Management,Report Count\nPests,a,{i},,,3\nPests,b,,,,x\nWeeds,c,,,,5\n")
         feeds.load_feed(spark, src, feeds.PESTS, target)
     rows = feeds.pest_catalogue(feeds.read_loaded(spark, target)).collect()
     assert len(rows) == len({r.id for r in rows}) == 6
@@ -266,3 +267,95 @@ def test_continuous_stream_picks_up_new_files(spark):
         assert stream.read_accepted(spark, paths).count() == 3
     finally:
         q.stop()
+
+
+# ------------------------------------------------------------------ content, snapshots, resync
+
+ONE = "DATE,Medium,Large,BUYER/SELLER\n2001-02-01,1,2,x\n2001-02-02,3,4,y\n"
+
+
+def test_a_copy_under_another_name_adds_nothing(spark):
+    src, target = staging_path(spark, "t-copy-src"), staging_path(spark, "t-copy-out")
+    _write(src, "b.csv", ONE)
+    _write(src, "c.csv", ONE)  # in the same load
+    _write(src, "empty.csv", "")
+    assert feeds.load_feed(spark, src, feeds.PRICE, target) == (2, 0)
+    _write(src, "a.csv", ONE)  # only copies: no load at all
+    assert feeds.load_feed(spark, src, feeds.PRICE, target) == (2, 0)
+    _write(src, "d.csv", ONE.replace("x", "z"))
+    _write(src, "e.csv", ONE)
+    assert feeds.load_feed(spark, src, feeds.PRICE, target) == (4, 0)
+    assert sorted(r.buyer_seller for r in feeds.read_loaded(spark, target).collect()) == ["x", "y", "y", "z"]
+    entries = feeds.ledger(spark, target).collect()
+    assert sorted(os.path.basename(e.file) for e in entries) == ["a.csv", "b.csv", "c.csv", "d.csv", "e.csv"]  # an empty file is none
+    assert len(feeds.loads(spark, target)) == 2
+
+
+def test_reading_as_of_a_load(spark):
+    src, target = staging_path(spark, "t-asof-src"), staging_path(spark, "t-asof-out")
+    for k in range(3):
+        _write(src, f"p{k}.csv", f"DATE,Medium,Large,BUYER/SELLER\n2001-03-0{k + 1},1,2,x\nbad,1,2,x\n")
+        feeds.load_feed(spark, src, feeds.PRICE, target)
+    for k in (1, 2, 3):
+        assert feeds.read_loaded(spark, target, upto=k).count() == feeds.read_rejects(spark, target, upto=k).count() == k
+    assert feeds.read_loaded(spark, target).count() == 3
+    with pytest.raises(ValueError):
+        feeds.read_loaded(spark, target, upto=0)
+
+
+SURVEY_LINE = "{muni},{brgy},{first},{middle},{last},F,1980-02-03,1.5,100,2000-01-02,,2001-03-04,,R1,,Owner\n"
+
+
+def test_resync_rewrites_only_loads_that_a_change_touches(spark):
+    src, target = staging_path(spark, "t-sync-src"), staging_path(spark, "t-sync-out")
+    muni = lambda rows: spark.createDataFrame(rows, "muni_id string, muni_name string")
+    demo = lambda rows: spark.createDataFrame(rows, "f_id string, f_name string, m_name string, l_name string")
+    brgy = lambda rows: spark.createDataFrame(rows, "brgy_id string, brgy_name string, muni_id string")
+    m, d, b = [("1", "Alpha")], [("7", "Ana", "Q", "Cruz")], [("11", "Poblacion", "1")]
+    people = [("Alpha", "Poblacion", "Ana", "Q", "Cruz"), ("Beta", "Poblacion", "Ben", "R", "Diaz"), ("Gamma", "Sitio", "Ana", "QC", "ruz")]
+    for k, (place, village, first, middle, last) in enumerate(people):
+        _write(src, f"s{k}.csv", SURVEY_HEAD + "\n" + SURVEY_LINE.format(muni=place, brgy=village, first=first, middle=middle, last=last) + ("bad\n" if k == 1 else ""))
+        feeds.load_feed(spark, src, feeds.SURVEY, target, lambda good: feeds.curate_survey(good, muni(m), demo(d), brgy(b)))
+    state = lambda upto=None: {r.logs: (r.raw_municipality, r.raw_barangay, r.f_id) for r in feeds.read_loaded(spark, target, upto).collect()}
+    sync = lambda: feeds.resync(spark, target, muni(m), demo(d), brgy(b))
+    keys = sorted(state())
+    was = state()
+    assert [was[k] for k in keys] == [("1", "11", "7"), ("Beta", "Poblacion", None), ("Gamma", "Sitio", "7")]
+    sync()  # the first call meets all names
+    assert state() == was
+    quiet = feeds.loads(spark, target)
+    assert sync() == [] and feeds.loads(spark, target) == quiet
+    m.append(("2", "Beta"))
+    b.append(("21", "Poblacion", "2"))
+    old = sync()
+    assert state() == {keys[0]: ("1", "11", "7"), keys[1]: ("2", "21", None), keys[2]: ("Gamma", "Sitio", "7")}
+    untouched = [x for x in quiet if x not in old]
+    assert untouched and set(untouched) <= set(feeds.loads(spark, target))  # Gamma's load stays as it is
+    d[0] = ("8", "Ana", "Q", "Cruz")
+    d.append(("9", "Ben", "R", "Diaz"))
+    sync()
+    assert state() == {keys[0]: ("1", "11", "8"), keys[1]: ("2", "21", "9"), keys[2]: ("Gamma", "Sitio", "8")}
+    m.pop(0)  # a municipality goes: its rows have the name again
+    sync()
+    assert state()[keys[0]] == ("Alpha", "Poblacion", "8")
+    assert feeds.read_rejects(spark, target).count() == 1
+    assert feeds.load_feed(spark, src, feeds.SURVEY, target)[0] == 3  # counts are of files, not of rewritings
+    assert state(upto=3) == was  # the table as it was loaded
+    assert state(upto=1) == {keys[0]: ("1", "11", "7")}
+
+
+def test_totals_stream_counts_late_files_and_restarts(spark):
+    src, base = staging_path(spark, "t-totals-src"), staging_path(spark, "t-totals")
+    paths = stream.StreamPaths(src, f"{base}/out", f"{base}/ckpt")
+    line = lambda date, area: f"Alpha,b1,Ana,,Cruz,F,1980-02-03,{area},100,{date},,2001-03-04,,R1,,Owner\n"
+    run = lambda: stream.run_totals_once(spark, feeds.SURVEY, paths, F.year("raw_dgathered"), "raw_area")
+    got = lambda: {r.key: (float(r.total), r.n) for r in stream.read_totals(spark, paths).collect()}
+    _write(src, "a.csv", SURVEY_HEAD + "\n" + line("2000-01-02", "1.5") + line("2001-01-02", "2") + line("2001-01-02", "x"))
+    run()
+    assert got() == {2000: (1.5, 1), 2001: (2.0, 1)}
+    run()  # nothing new
+    _write(src, "b.csv", SURVEY_HEAD + "\n" + line("2003-01-02", "4") + line("", "1"))
+    run()
+    _write(src, "c.csv", SURVEY_HEAD + "\n" + line("1990-01-02", "0.25") + line("2000-12-31", "1"))  # long after its years
+    run()
+    assert got() == {2000: (2.5, 2), 2001: (2.0, 1), 2003: (4.0, 1), None: (1.0, 1), 1990: (0.25, 1)}

@@ -39,12 +39,16 @@ def duck():
     return con
 
 
+# Estimates, checked against a bound in test_distinct_state.py.
+ESTIMATES = {"farmer_counts_sketched"}
+
+
 def test_every_query_has_an_oracle():
-    missing = set(reports()) - set(E.oracle_sql())
+    missing = set(reports()) - set(E.oracle_sql()) - ESTIMATES
     assert not missing, f"queries without oracle SQL: {sorted(missing)}"
 
 
-@pytest.mark.parametrize("name", sorted(reports()))
+@pytest.mark.parametrize("name", sorted(set(reports()) - ESTIMATES))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     s_cols, s_rows = df.columns, [tuple(r) for r in df.collect()]
