@@ -631,3 +631,76 @@ def test_pipeline_stages_on_edges(spark, tmp_path):
             assert out.columns == docs.columns + extra, name
             assert out.count() <= docs.count()
             docs = corpus_pipeline.written(out, name) if not extra else out
+
+
+def _planted(rng):
+    """Documents with exact and near copies, benchmark passages, secrets and texts without a letter."""
+    word = lambda: f"{rng.choice(['al', 'ber', 'cor', 'den'])}{rng.choice(['an', 'en', 'or', 'is'])}{chr(97 + rng.integers(0, 26))}{chr(97 + rng.integers(0, 26))}"
+    text = lambda n: [word() for _ in range(n)]
+    item = text(20)
+    rows = [(i, " ".join(text(int(rng.integers(30, 90))))) for i in range(30)]
+    rows += [(100 + i, rows[i][1]) for i in range(5)]
+    for i in range(5, 10):
+        w = rows[i][1].split()
+        w[len(w) // 2 : len(w) // 2 + 1] = ["changed"]
+        rows.append((100 + i, " ".join(w)))
+    rows += [(200, " ".join(item + text(30))), (201, " ".join(text(400) + item[:13])), (202, " ".join(item[:12] + text(20)))]
+    rows += [(300, " ".join(text(40)) + " password = 'abcdefghijklmnop' " + " ".join(text(5))), (301, " ".join(text(40)) + " deadbeefdeadbeefdeadbeef")]
+    rows += [(400, None), (401, ""), (402, "123 ... 456")]
+    return [(i, t, "en", "abc"[i % 3]) for i, t in rows], [(1, " ".join(item)), (2, " ".join(text(15)))]
+
+
+def test_pipeline_stages_against_plain_python(spark, tmp_path):
+    """Each stage's decisions, on what its predecessor kept, by a plain version of its rule."""
+    rows, items = _planted(np.random.default_rng(12))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = {r[0]: r[1] for r in rows}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), name)
+        got = {r.doc_id: r for r in docs.collect()}
+        left = list(texts.items())
+        if name == "language_id":
+            want = {i: t for i, t in left if t and re.search("[a-z]", t)}
+        elif name == "ngram_jaccard_join":
+            want = {least: texts[least] for _, _, least in _jaccard(left, 5, 80)}
+            assert 5 <= len(left) - len(want) <= 10  # the exact copies, and near ones of long texts
+        elif name == "benchmark_decontamination":
+            gone = {k[0] for k in _hits(left, items) if k[-1]}
+            assert gone == {200}  # 201: 13 of 413 words, 202: no window
+            want = {i: t for i, t in left if i not in gone}
+        elif name == "secret_scan":
+            want = {i: t.replace("password = 'abcdefghijklmnop", "[SECRET]").replace("deadbeefdeadbeefdeadbeef", "[SECRET]") for i, t in left}
+            assert sum(want[i] != t for i, t in left) == 2
+            assert all(r.n_chars == len(r.text) for r in got.values())
+        else:
+            sizes = {i: len(t.split()) for i, t in left}
+            total = sum(sizes.values())
+            for source in "abc":
+                own = sum(n for i, n in sizes.items() if "abc"[i % 3] == source)
+                taken = sum(sizes[i] * r.copies for i, r in got.items() if r.source == source)
+                assert taken <= 2 * own
+            assert abs(sum(sizes[i] * r.copies for i, r in got.items()) - 1.5 * total) <= 3 * max(sizes.values())
+            assert all(r.copies in (1, 2) for r in got.values()) and len(got) == docs.count()
+            want = {i: texts[i] for i in got}
+        assert {i: r.text for i, r in got.items()} == want, name
+        texts = want
+
+
+def test_very_long_texts(spark):
+    """A text of 1.5 MB with something at its end, for the operators that no other test gives one."""
+    body = " ".join(f"word{i % 977} and{i % 31} the" for i in range(100_000))
+    rows = [(1, body + "\nLicensed under the Apache License, Version 2.0.\npassword = 'abcdefghijklmnop'"), (2, "short and the word"), (3, None)]
+    docs = _docs(spark, rows)
+    got = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    at = rows[0][1].index("password")
+    assert f"assign:{at}:" in got[1].spans and got[1].n_assign == 1
+    assert {r.doc_id: r.size for r in mixing.mix(docs).collect()} == {1: len(rows[0][1].split()), 2: 4, 3: 0}
+    assert {r.doc_id for r in licenses.scan_licenses(docs).collect()} == {1, 2, 3}
+    labels = spark.createDataFrame([(1, 0, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in toxicity.learn_and_score(docs, labels).collect()} == {1, 2, 3}
+    found = {r.doc_id: r.lang_pred for r in langid.learn_and_identify(docs).collect()}
+    assert found[1] == "en" and found[3] == "und"
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    index = {r.page_id: r for r in warc.archive_index(*warc.write_archive(pages)).collect()}
+    assert index[1].payload_digest == hashlib.sha1(rows[0][1].encode()).hexdigest() and index[3].payload_bytes == 0
