@@ -7,8 +7,8 @@ of two sets is at most the sum of the smaller coordinates. An R-tree packed over
 block prunes whole branches by that bound and by size, the points and places prune pairs, and what
 is left is compared by its words.
 
-The first rounds take of every document in a block its best partner in another component, so groups of near copies are
-joined by about as many pairs as buckets have members; the last takes all pairs of all blocks of a bucket
+The first round takes of every document in a block its best partner there and in the next block,
+and of every block the pairs of the member with most partners, so groups of near copies are joined by about as many pairs as buckets have members; the last takes all pairs of all blocks of a bucket
 that still are in different components, so no link is lost.
 """
 
@@ -39,8 +39,8 @@ CELLS = 1 << 16
 LEAF, FANOUT = 64, 8
 #: Buckets of so many members are compared many at a time: a tree of theirs is a piece of one leaf.
 FEW = 16
-#: Rounds that take best pairs alone, before the one that takes all.
-ROUNDS = 2
+#: Rounds that take best pairs alone, before the one that takes all; a second one finds little.
+ROUNDS = 1
 #: Members of a block of a bucket.
 BLOCK = 1024
 #: Words of a text whose shingles are compared at a time.
@@ -207,7 +207,7 @@ def document_sets(docs: DataFrame, cells: np.ndarray, shingle: int = SHINGLE, pe
 
 
 def bucket_rows(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(tok, block, row, n, pos): members of buckets that may link there, written.
+    """(tok, block, more, row, n, pos): members of buckets that may link there, written.
 
     A pair need only be found at its first common shingle. What follows that one bounds the overlap, so
     its place in the smaller set is among the first ``n - least_overlap(n, n) + 1``: there the member is
@@ -222,10 +222,11 @@ def bucket_rows(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     w = Window.partitionBy("tok").orderBy("at", "row")
     before = F.last(F.when(indexed, n), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     after, block = F.shiftright(F.lead("at").over(w), 32), F.floor((F.row_number().over(w) - 1) / BLOCK).cast("int")
-    t = t.select("tok", "row", n.alias("n"), pos.alias("pos"), indexed.alias("indexed"), before.alias("before"), after.alias("after"), block.alias("block"))
+    more = F.lead("at", BLOCK).over(w).isNotNull()  # some of them have a block after theirs
+    t = t.select("tok", "row", n.alias("n"), pos.alias("pos"), indexed.alias("indexed"), before.alias("before"), after.alias("after"), block.alias("block"), more.alias("more"))
     fits = lambda small, large: F.coalesce(F.col(small) * 100 >= F.col(large) * percent, F.lit(False))
     t = t.filter(fits("before", "n") | (F.col("indexed") & fits("n", "after")))
-    return written(t.select("tok", "block", "row", F.col("n").cast("int").alias("n"), "pos"), "buckets")
+    return written(t.select("tok", "block", "more", "row", F.col("n").cast("int").alias("n"), "pos"), "buckets")
 
 
 def _bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -354,7 +355,7 @@ def _block_pairs(key, across, row, n, pos, label, side, small, percent: int, bes
     """Pairs (a, b) of whole blocks, one after the other, that sizes, labels, places and points allow.
 
     ``side``: the block a row is of; ``across``: only rows of different blocks meet.
-    ``best``: for every row of a block only the pair with most room.
+    ``best``: for every row of a block only the pair with most room, and that with the block's hub.
     """
     start = np.flatnonzero(np.r_[True, np.diff(key) != 0][: len(key)])
     size = np.diff(np.r_[start, len(key)])
@@ -390,7 +391,12 @@ def _block_pairs(key, across, row, n, pos, label, side, small, percent: int, bes
         who, where, much = np.r_[a, b], np.tile(np.arange(len(a)), 2), np.r_[room, room]
         order = np.lexsort((where, -much, who))
         first = np.r_[True, np.diff(who[order]) != 0]
-        take = np.unique(where[order][first])
+        # a block's hub has most partners; its pairs tie the others' best pairs together
+        degree = np.bincount(who, minlength=len(key))
+        hub = np.full(len(start), -1)
+        rank = np.lexsort((np.arange(len(key)), degree))
+        hub[group[rank]] = rank  # the last of a block has the largest degree
+        take = np.unique(np.r_[where[order][first], np.flatnonzero((hub[group[a]] == a) | (hub[group[b]] == b))])
         a, b = a[take], b[take]
     a, b = np.minimum(row[a], row[b]), np.maximum(row[a], row[b])
     order = np.lexsort((b, a))
@@ -402,8 +408,8 @@ def _block_pairs(key, across, row, n, pos, label, side, small, percent: int, bes
 def _candidates(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs (a, b) of members of a bucket with different labels (a row without one is its own), that may link.
 
-    Without labels each block is by itself, later all blocks of a bucket meet. ``best``: for every row
-    of a block, or of two, its best pair; else all.
+    Without labels a block meets itself and the next, later all blocks of a bucket meet. ``best``: for every row
+    of a block, or of two, its best pair and that with a hub; else all.
     """
     m, known = buckets, sets.select("row", "small")
     if labels is None:
@@ -413,7 +419,9 @@ def _candidates(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, p
         open_ = m.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("block").alias("last")).filter("lo <> hi").select("tok", "last")
         m = m.join(open_, "tok")
     if labels is None:
-        m = m.withColumns({"x": F.col("block"), "y": F.col("block")})
+        own, b = lambda x, y: F.struct(x.alias("x"), y.alias("y")), F.col("block")
+        places = F.array(own(b, b), F.when(b > 0, own(b - 1, b)), F.when(F.col("more"), own(b, b + 1)))
+        m = m.select("*", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("at")).select("*", "at.x", "at.y")
     else:
         other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
         m = m.select("*", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
