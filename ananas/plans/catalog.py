@@ -30,6 +30,7 @@ def reports(as_of: dt.date = AS_OF, muni: str = MUNI, harvest_year: int = HARVES
         "survey_names": farmers.survey_names,
         "column_projection_scan": farmers.survey_names,
         "farmers_directory_page": lambda t: farmers.farmers_directory_page(t, "household", 3, 8),
+        "farmers_directory_next": lambda t: farmers.farmers_directory_next(t, "household", 3, 8),
         "farmer_count_total": farmers.farmer_count_total,
         "farmer_count_by_year": farmers.farmer_count_by_year,
         "farmer_count_series": farmers.farmer_count_series,

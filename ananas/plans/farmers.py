@@ -80,6 +80,13 @@ def farmers_directory_page(t: Tables, term: str | None = None, number: int = 1,
     return page(farmers_directory(t, "ws"), id_sort_key("f_id"), number, size, term)
 
 
+def farmers_directory_next(t: Tables, term: str | None = None, number: int = 1, size: int = 8) -> DataFrame:
+    """The same page by keyset cursors: no page reads the rows of the pages before it."""
+    from ananas.operators.paging import pages_after
+
+    return pages_after(farmers_directory(t, "ws"), id_sort_key("f_id"), number, size, term)
+
+
 def farmer_count_total(t: Tables, approx_rsd: float | None = None) -> DataFrame:
     """FA4: distinct farmers (unseparated name key) in the survey."""
     return t.qp_farmer_raw.agg(distinct_farmers(raw_person("strict"), "count_farmer", approx_rsd))
