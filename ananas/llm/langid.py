@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ananas.llm.shared import slices
+
 #: Labelled texts a language learns from, at most (on average; picked by a hash of the text).
 SAMPLE_ROWS = 4000
 #: Cost of a switch between words, in nats.
@@ -101,7 +103,7 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         cells = np.zeros((len(languages), CELLS), dtype=np.int64)
         scripts = np.zeros((len(languages), len(NAMES) + 1), dtype=np.int64)
         at = {v: i for i, v in enumerate(languages)}
-        for batch in batches:
+        for batch in slices(batches, 1):
             langs, texts = batch.column(0).to_pylist(), _clean(batch.column(1).to_pylist())
             for part, chunk in _chunks(texts, PIECE):
                 if got := _words(chunk):
@@ -220,7 +222,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # fixed by CELLS x languages
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             got = label_texts(_clean(batch.column(1).to_pylist()), Model(**shared.value), switch)
             cols = list(zip(*got)) if got else [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.string())], names=["doc_id", "lang_pred", "score", "spans"])
@@ -235,7 +237,7 @@ def reject_unknown(docs: DataFrame, model: Model, text: str = "text", switch: fl
     at = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, at):
             got = label_texts(_clean(batch.column(at).to_pylist()), Model(**shared.value), switch)
             yield batch.filter(pa.array([lang != "und" for lang, _, _ in got], pa.bool_()))
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ananas.llm.shared import slices
+
 #: Documents whose words serve as ordinary strings, at most (on average; picked by a hash of id and text).
 SAMPLE_DOCS = 4000
 #: Identifiers made of the words of a sampled document.
@@ -172,10 +174,10 @@ def scan(docs: DataFrame, model: np.ndarray) -> DataFrame:
 def redact(docs: DataFrame, model: np.ndarray, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """``docs`` with all spans masked in ``text``, and ``length`` (if it is a column) counted anew. Nulls stay."""
     names = docs.columns
+    at = names.index(text)
 
     def run(batches):
-        for batch in batches:
-            at = names.index(text)
+        for batch in slices(batches, at):
             old = batch.column(at).to_pylist()
             new = []
             for t in old:

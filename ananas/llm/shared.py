@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,9 @@ from pyspark.sql import types as T
 #: Largest table, in bytes as measured by ``measured_bytes``, that is broadcast.
 BROADCAST_BYTES = 32 << 20
 
+#: Bytes of text that a worker turns into Python objects at a time.
+SLICE_BYTES = 2_000_000
+
 _ROOTS: dict[str, str] = {}
 
 
@@ -57,6 +62,17 @@ def forget(*tables: DataFrame) -> None:
             where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def slices(batches, text: int, most: int = SLICE_BYTES):
+    """``batches`` cut into runs of rows of about ``most`` bytes in column ``text``, so that a worker
+    holds no more than one run as Python objects, however many rows a batch has."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        run = np.cumsum(sizes, dtype=np.int64) // most
+        cuts = np.r_[0, np.flatnonzero(np.diff(run)) + 1, len(run)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield batch.slice(a, b - a)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many ``_`` before it as set it apart from every column of ``df``, in any case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -704,3 +704,18 @@ def test_very_long_texts(spark):
     pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
     index = {r.page_id: r for r in warc.archive_index(*warc.write_archive(pages)).collect()}
     assert index[1].payload_digest == hashlib.sha1(rows[0][1].encode()).hexdigest() and index[3].payload_bytes == 0
+
+
+def test_workers_take_texts_in_slices_of_bounded_bytes():
+    import pyarrow as pa
+
+    from ananas.llm.shared import slices
+
+    texts = ["a" * 40, None, "\u00e9" * 30, "", "b" * 500, "c" * 10] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["i", "t"])
+    parts = list(slices([batch, batch.slice(0, 0)], 1, 200))
+    assert pa.Table.from_batches(parts).column("t").to_pylist() == texts
+    for p in parts:
+        sizes = [len((v or "").encode()) for v in p.column(1).to_pylist()]
+        assert sum(sizes) - max(sizes, default=0) <= 200
+    assert len(parts) > 20
