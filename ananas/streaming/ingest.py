@@ -101,7 +101,7 @@ def start_totals_stream(
     sums = good.groupBy(key.alias("key")).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{paths.output}/batch={batch_id}")
+        batch.repartition(1).write.mode("overwrite").parquet(f"{paths.output}/batch={batch_id}")
         feeds.drop_path(batch.sparkSession, f"{paths.output}/batch={batch_id - 2}")  # readers may still be on the last
 
     writer = sums.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", paths.checkpoint)
