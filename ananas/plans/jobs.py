@@ -44,8 +44,8 @@ def _text(c: str):
 
 # ------------------------------------------------------------------ feeds from tables
 
-def survey_feed(t: Tables) -> DataFrame:
-    """``qp_farmer_raw`` as the survey upload: place names, not ids."""
+def survey_feed(t: Tables, *more) -> DataFrame:
+    """``qp_farmer_raw`` as the survey upload: place names, not ids; and ``more`` of its columns."""
     q = t.qp_farmer_raw
     m = t.muni.select(F.col("muni_id").alias("_mid"), F.col("muni_name").alias("_mname"))
     j = q.join(m, F.col("raw_municipality") == F.col("_mid"), "left")
@@ -57,7 +57,7 @@ def survey_feed(t: Tables) -> DataFrame:
         _text("raw_bdate").alias("Birthdate"), _text("raw_area").alias("Area (Ha)"),
         _text("raw_population").alias("Population"), _text("raw_dgathered").alias("Date Data Gathered"),
         F.lit("").alias("Stage of Crops"), _text("raw_dharvest").alias("Date of Harvest"), F.lit("").alias("Status"),
-        F.col("RBSBA"), F.lit("").alias("Contact Number"), F.col("tenurial").alias("Tenurial"),
+        F.col("RBSBA"), F.lit("").alias("Contact Number"), F.col("tenurial").alias("Tenurial"), *more,
     )
 
 
@@ -255,12 +255,26 @@ def _logs(t: Tables, parts: int, part: int) -> Tables:
     return dataclasses.replace(t, qp_farmer_raw=t.qp_farmer_raw.where(F.pmod("logs", F.lit(parts)) == part))
 
 
+def _survey_drops(t: Tables, parts: int, drop: str):
+    """Drop one of ``parts`` shares of the survey feed after the other into folders of ``drop``; the
+    tables are joined once, for all shares."""
+    laid = staging_path(t.spark, "shares")
+    feed = survey_feed(t, F.pmod("logs", F.lit(parts)).alias("_share"))
+    feed.write.option("header", True).partitionBy("_share").csv(laid)
+    for k in range(parts):
+        if feeds.path_exists(t.spark, f"{laid}/_share={k}"):
+            feeds.move_path(t.spark, f"{laid}/_share={k}", f"{drop}/{k}")
+        else:  # a share without a row is a header alone
+            _write_csv(survey_feed(_logs(t, parts, k)), f"{drop}/{k}")
+        yield k
+    feeds.drop_path(t.spark, laid)
+
+
 def stream_area_by_year(t: Tables) -> DataFrame:
     """ST1: AR2 kept by a stream over survey files: two drops, a restart after each, and a late file."""
     drop, base = staging_path(t.spark, "area-drop"), staging_path(t.spark, "area-stream")
     paths = stream.StreamPaths(source=drop, output=f"{base}/out", checkpoint=f"{base}/checkpoint")
-    for k in range(3):
-        _write_csv(survey_feed(_logs(t, 3, k)), f"{drop}/{k}")
+    for _ in _survey_drops(t, 3, drop):
         stream.run_totals_once(t.spark, feeds.SURVEY, paths, year_of("raw_dgathered"), "raw_area", STREAM_FILES_PER_BATCH)
     sums = stream.read_totals(t.spark, paths)
     return sums.select(trunc_dec("total", 2).alias("Area_count"), F.col("key").alias("year_"))
@@ -302,8 +316,7 @@ def load_renamed_once(t: Tables) -> DataFrame:
 def area_ranking_as_of_load(t: Tables) -> DataFrame:
     """S8: AR5 over a table of two loads, as it was after the first."""
     drop, target = staging_path(t.spark, "as-of"), staging_path(t.spark, "as-of-table")
-    for k in range(2):
-        _write_csv(survey_feed(_logs(t, 2, k)), f"{drop}/{k}")
+    for _ in _survey_drops(t, 2, drop):
         _load_survey(t, drop, target)
     return area.area_ranking(t.with_loaded(survey=target, upto=1))
 
@@ -314,8 +327,7 @@ def resync_survey(t: Tables) -> DataFrame:
     drop, target = staging_path(t.spark, "resync"), staging_path(t.spark, "resync-table")
     half = lambda df, c: df.where(F.pmod(F.col(c).cast("long"), F.lit(2)) == 0)
     early = dataclasses.replace(t, farmer_demo=half(t.farmer_demo, "f_id"), tbl_muni=half(t.tbl_muni, "muni_id"))
-    for k in range(2):
-        _write_csv(survey_feed(_logs(t, 2, k)), f"{drop}/{k}")
+    for _ in _survey_drops(t, 2, drop):
         _load_survey(early, drop, target)
     for _ in range(2):
         feeds.resync(t.spark, target, t.tbl_muni, t.farmer_demo, t.tbl_barangay)

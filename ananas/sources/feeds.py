@@ -77,20 +77,32 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def scan_files(spark: SparkSession, files: list[str]) -> DataFrame:
+def scan_files(spark: SparkSession, files: list[str]) -> list[tuple[str, str, str]]:
     """(file, header, digest) of files with a line, in one pass over them that splits large files.
 
     ``digest`` stands for the file's content: how many lines it has, their bytes, and two sums
     over the lines' hashes. A file under another name, or with its lines in another order, has
-    the same one."""
+    the same one. Lines are summed as numbers alone, so no line is sorted or kept; the header of each
+    layout is read from one of its files."""
     lines = spark.read.text(files).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("pos"), "value",
+        F.monotonically_increasing_id().alias("pos"), F.octet_length("value").alias("bytes"),
+        F.xxhash64("value").alias("h1"), F.xxhash64("value", F.lit("second")).alias("h2"),
     )
-    total = lambda h: F.sum(h.cast("decimal(38,0)")).cast("string")
-    digest = F.concat_ws("-", F.count(F.lit(1)).cast("string"), F.sum(F.octet_length("value")).cast("string"),
-                         total(F.xxhash64("value")), total(F.xxhash64("value", F.lit("second"))))
-    return lines.groupBy("file").agg(F.min_by("value", F.when(F.col("at") == 0, F.col("pos"))).alias("header"), digest.alias("digest"))
+    low = (1 << 21) - 1  # three parts of a hash: their sums fit a long for 2^41 lines
+    parts = lambda h: (F.shiftright(h, 42), F.shiftright(h, 21).bitwiseAND(low), F.col(h).bitwiseAND(low))
+    found = lines.groupBy("file").agg(
+        F.min_by("h1", F.when(F.col("at") == 0, F.col("pos"))).alias("first"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"),
+        *[F.sum(c).alias(f"{h}_{i}") for h in ("h1", "h2") for i, c in enumerate(parts(h))],
+    ).collect()  # a row a file
+    one_of = {r["first"]: r["file"] for r in found}  # a few layouts
+    headers = {first: _first_line(spark, f) for first, f in one_of.items()}
+    total = lambda r, h: (r[f"{h}_0"] << 42) + (r[f"{h}_1"] << 21) + r[f"{h}_2"]
+    return [(r["file"], headers[r["first"]], f"{r['n']}-{r['bytes']}-{total(r, 'h1')}-{total(r, 'h2')}") for r in found]
+
+
+def _first_line(spark: SparkSession, file: str) -> str:
+    return spark.read.text(file).where(F.col("_metadata.file_block_start") == 0).first()["value"]
 
 
 def grouped(headers: Mapping[str, str], files: list[str]) -> dict[str, list[str]]:
@@ -104,8 +116,8 @@ def grouped(headers: Mapping[str, str], files: list[str]) -> dict[str, list[str]
 
 def layouts(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
     """Files by their header line (a few layouts; the file names are the reader's own list)."""
-    found = scan_files(spark, files).select("file", "header").collect() if files else []
-    return grouped({r["file"]: r["header"] for r in found}, sorted(r["file"] for r in found))
+    headers = {f: header for f, header, _ in scan_files(spark, files)} if files else {}
+    return grouped(headers, sorted(headers))
 
 
 def read_files(spark: SparkSession, files: list[str], feed: Feed, multi_line: bool = True,
@@ -145,7 +157,11 @@ def read_text(spark: SparkSession, path: str, feed: Feed) -> DataFrame:
 def _parse(cell: Column, kind: str, date_formats) -> Column:
     if kind.startswith("date"):
         fmts = [kind.split(":", 1)[1]] if ":" in kind else list(date_formats)
-        return F.coalesce(*[F.try_to_date(cell, f) for f in fmts]) if len(fmts) > 1 else F.try_to_date(cell, fmts[0])
+        tried = [F.try_to_date(cell, f) for f in fmts]
+        if fmts[0] == "yyyy-M-d":  # a date that is written as Spark writes it needs no formatter
+            cast = cell.try_cast("date")
+            tried.insert(0, F.when(F.length(cell) == 10, F.when(cast.cast("string") == cell, cast)))
+        return F.coalesce(*tried)
     return cell.try_cast(kind)
 
 
@@ -154,28 +170,27 @@ def parse(text: DataFrame, feed: Feed, date_formats=DEFAULT_DATE_FORMATS) -> Dat
     ``malformed`` (too few or too many cells), ``header`` with the columns the
     file lacks, ``empty`` (every cell blank) or the names of the cells that
     failed to parse."""
-    cols, problems = [], []
+    cells, out, problems, failed = [], [], [], []
     if CORRUPT in text.columns:
         problems.append(F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed")))
     if MISSING in text.columns:
         problems.append(F.concat(F.lit("header:"), F.col(MISSING)))
     all_blank = None
-    for header in feed.headers:
+    for header, name in feed.headers.items():
         cell = F.trim(F.col(f"`{header}`"))
         blank = cell.isNull() | (cell == "")
         all_blank = blank if all_blank is None else all_blank & blank
-    problems.append(F.when(all_blank, F.lit("empty")))
-    for header, name in feed.headers.items():
-        cell = F.trim(F.col(f"`{header}`"))
         if name in feed.types:
-            blank = cell.isNull() | (cell == "")
-            value = F.when(blank, F.lit(None)).otherwise(_parse(cell, feed.types[name], date_formats))
-            cols.append(value.alias(name))
-            problems.append(F.when(~blank & value.isNull(), F.lit(name)))
+            cells += [F.when(~blank, _parse(cell, feed.types[name], date_formats)).alias(name), (~blank).alias(f"_{name}_given")]
+            failed.append(F.when(F.col(f"_{name}_given") & F.col(name).isNull(), F.lit(name)))
         else:
-            cols.append(F.coalesce(F.col(f"`{header}`"), F.lit("")).alias(name))
-    reject = F.concat_ws(",", *problems)
-    return text.select(*cols, "_source", F.when(reject != "", reject).alias("_reject"))
+            cells.append(F.coalesce(F.col(f"`{header}`"), F.lit("")).alias(name))
+        out.append(name)
+    problems.append(F.when(all_blank, F.lit("empty")))
+    # a generated row: a cell is parsed once for its value and its check, whatever is filtered later
+    parsed = text.select(*cells, "_source", F.concat_ws(",", *problems).alias("_row_problems"))
+    reject = F.concat_ws(",", F.nullif("_row_problems", F.lit("")), *failed)
+    return parsed.select(F.inline(F.array(F.struct(*out, "_source", F.when(reject != "", reject).alias("_reject")))))
 
 
 def split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -285,6 +300,10 @@ def _published(spark: SparkSession, target: str, part: str, upto: int | None) ->
         found = [r["load_id"] for r in entries.select("load_id").distinct().orderBy("load_id").collect()]
     else:
         found = loads(spark, target, upto)
+    return _rows_of(spark, target, part, found)
+
+
+def _rows_of(spark: SparkSession, target: str, part: str, found: list[str]) -> DataFrame | None:
     paths = [p for p in (f"{target}/{part}/load_id={x}" for x in found) if path_exists(spark, p)]
     return spark.read.option("basePath", f"{target}/{part}").parquet(*paths) if paths else None
 
@@ -320,7 +339,7 @@ def load_files(spark: SparkSession, files: DataFrame, target: str, read, transfo
     """Load those of ``files`` (``file``) that the ledger doesn't have; returns the table's (accepted, rejected) counts.
 
     ``read(spark, paths)`` gives (good rows, rejects), and is handed the first line of
-    each path too if it has ``takes_headers``; ``transform`` curates the good ones. Only new files are read. A file whose content the table already has
+    each path too if it has ``takes_headers``; its ``parsed`` gives both in one, told apart by ``_reject``; ``transform`` curates the good ones. Only new files are read. A file whose content the table already has
     under another name, or that another new file has too, is noted in the ledger
     and not loaded. Rows and rejects are written to folders of this load, and one
     ledger file publishes both: a load that died before that is not seen, and its
@@ -331,8 +350,8 @@ def load_files(spark: SparkSession, files: DataFrame, target: str, read, transfo
     new = [r["file"] for r in files.join(known, "file", "left_anti").distinct().orderBy("file").collect()]
     if new:
         load_id, last_key = _next_load(known)
-        scanned = scan_files(spark, new).collect()  # a row a new file
-        headers, found = ({r["file"]: r[c] for r in scanned} for c in ("header", "digest"))
+        scanned = scan_files(spark, new)
+        headers, found = {f: header for f, header, _ in scanned}, {f: digest for f, _, digest in scanned}
         digests = spark.createDataFrame(sorted(found.items()), "file string, digest string")
         held = {r["digest"] for r in digests.join(known.where("replaces is null").select("digest"), "digest", "left_semi").collect()}
         first: dict[str, str] = {}
@@ -341,32 +360,42 @@ def load_files(spark: SparkSession, files: DataFrame, target: str, read, transfo
                 first.setdefault(found.get(f, f), f)  # a file without a line is of its own
         fresh = sorted(first.values())
         rows, rejects, staged = f"{target}/rows/load_id={load_id}", f"{target}/rejects/load_id={load_id}", f"{target}/staged/{load_id}"
-        entry = spark.createDataFrame([(f,) for f in new], "file string").join(digests, "file", "left")
+        accepted, rejected = {}, {}
         if fresh:
-            good, bad = read(spark, fresh, headers) if getattr(read, "takes_headers", False) else read(spark, fresh)
-            good.withColumn("_row", F.monotonically_increasing_id()).write.parquet(f"{staged}/good")
+            good, bad = _stage(spark, read, fresh, headers, staged)
             bad.write.parquet(rejects)
-            good = spark.read.parquet(f"{staged}/good")
             if key:
                 good = with_keys(good, last_key + 1).withColumnRenamed("key", key)
             good = good.drop("_row")
             (transform(good) if transform else good).write.parquet(rows)
-            last_key = (spark.read.parquet(rows).agg(F.max(key)).first()[0] if key else None) or last_key
-            by_file = lambda path, name: spark.read.parquet(path).groupBy(F.col("_source").alias("file")).agg(F.count(F.lit(1)).alias(name))
-            entry = entry.join(by_file(rows, "accepted"), "file", "left").join(by_file(rejects, "rejected"), "file", "left")
+            of_file = lambda path, *more: spark.read.parquet(path).groupBy("_source").agg(F.count(F.lit(1)).alias("n"), *more).collect()
+            counted = of_file(rows, (F.max(key) if key else F.lit(None)).alias("last"))  # a row a file
+            accepted, rejected = ({r["_source"]: r["n"] for r in x} for x in (counted, of_file(rejects)))
+            last_key = max((r["last"] for r in counted if r["last"] is not None), default=last_key)
         else:
             load_id = None  # only copies: files without a load
-            entry = entry.withColumns({"accepted": F.lit(0), "rejected": F.lit(0)})
-        _publish(entry.select(
-            "file", F.lit(load_id).cast("string").alias("load_id"), F.coalesce("accepted", F.lit(0)).cast("long").alias("accepted"),
-            F.coalesce("rejected", F.lit(0)).cast("long").alias("rejected"), F.lit(last_key).cast("long").alias("last_key"),
-            "digest", F.lit(None).cast("string").alias("replaces"),
-        ), target)
+        entries = [(f, load_id, accepted.get(f, 0), rejected.get(f, 0), last_key, found.get(f), None) for f in new]
+        _publish(spark.createDataFrame(entries, LEDGER), target)
         drop_path(spark, staged)
     total = ledger(spark, target).agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r")).first()
     return total["a"] or 0, total["r"] or 0
 
 
+def _stage(spark: SparkSession, read, paths: list[str], headers: Mapping[str, str], staged: str) -> tuple[DataFrame, DataFrame]:
+    """(good rows numbered by ``_row``, rejects) as ``read`` gives them, from files under ``staged``.
+
+    A ``read`` with ``parsed`` reads and parses its files once for both."""
+    numbered = F.monotonically_increasing_id()
+    if whole := getattr(read, "parsed", None):
+        good = F.col("_reject").isNull()  # only good rows are counted
+        whole(spark, paths, headers).withColumn("_row", F.when(good, numbered)).write.parquet(f"{staged}/all")
+        both = spark.read.parquet(f"{staged}/all")
+        return both.where(good).drop("_reject"), both.where(~good).drop("_row")
+    good, bad = read(spark, paths, headers) if getattr(read, "takes_headers", False) else read(spark, paths)
+    good.withColumn("_row", numbered).write.parquet(f"{staged}/good")
+    return spark.read.parquet(f"{staged}/good"), bad
+
+
 def _next_load(known: DataFrame) -> tuple[str, int]:
     """(id of the next load, last key given)."""
     r = known.agg(F.coalesce(F.max("last_key"), F.lit(0)).alias("k"), F.coalesce(F.max(position("load_id")) + 1, F.lit(0)).alias("n")).first()
@@ -403,22 +432,25 @@ def resync(spark: SparkSession, target: str, tbl_muni: DataFrame, farmer_demo: D
     live = loads(spark, target)
     if not live:
         return []
-    rows = read_loaded(spark, target)
-    now = {"municipalities": tbl_muni, "farmers": farmer_demo, "barangays": tbl_barangay}
+    now = {"municipalities": tbl_muni, "barangays": tbl_barangay, "farmers": farmer_demo}
     kept = f"{target}/dimensions"
     before = _last_folder(spark, kept)
     place = f"{kept}/{position_:06d}-{uuid.uuid4().hex[:12]}"
-    touched = None
-    for name, (columns, own, names) in _DIMENSIONS.items():
+    replaced: list[str] = []
+    for name in now:  # the largest last: a load that an earlier one touches is met with no other
+        columns, own, names = _DIMENSIONS[name]
         now[name].select(*columns).distinct().write.parquet(f"{place}/{name}")
         changed = new = spark.read.parquet(f"{place}/{name}")
         if before:
             old = spark.read.schema(new.schema).parquet(f"{before}/{name}")
             changed = new.exceptAll(old).unionByName(old.exceptAll(new))
         found = changed.select(F.concat(*own).alias("_found")).distinct()
-        hit = rows.select("load_id", F.concat(*names).alias("_found")).join(found, "_found", "left_semi").select("load_id")
-        touched = hit if touched is None else touched.unionByName(hit)
-    replaced = sorted({r["load_id"] for r in touched.distinct().collect()})  # loads, not rows
+        left = [x for x in live if x not in replaced]
+        if left and not found.isEmpty():
+            rows = _rows_of(spark, target, "rows", left).select("load_id", F.concat(*names).alias("_found"))
+            hit = rows.join(found, "_found", "left_semi").select("load_id").distinct().collect()  # loads, not rows
+            replaced += [r["load_id"] for r in hit]
+    replaced.sort()
     entries = []
     for old_id in replaced:
         new_id = f"{position_:06d}-{uuid.uuid4().hex[:12]}"
@@ -441,10 +473,13 @@ def _last_folder(spark: SparkSession, path: str) -> str | None:
 
 def feed_reader(feed: Feed, date_formats=DEFAULT_DATE_FORMATS, multi_line: bool = True):
     """``read`` of :func:`load_files` for a CSV feed."""
+    def parsed(spark: SparkSession, paths: list[str], headers: Mapping[str, str] | None = None) -> DataFrame:
+        return parse(read_files(spark, paths, feed, multi_line, headers), feed, date_formats)
+
     def read(spark: SparkSession, paths: list[str], headers: Mapping[str, str] | None = None):
-        return split(parse(read_files(spark, paths, feed, multi_line, headers), feed, date_formats))
+        return split(parsed(spark, paths, headers))
 
-    read.takes_headers = True
+    read.takes_headers, read.parsed = True, parsed
     return read
 
 

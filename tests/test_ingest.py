@@ -359,3 +359,103 @@ def test_totals_stream_counts_late_files_and_restarts(spark):
     _write(src, "c.csv", SURVEY_HEAD + "\n" + line("1990-01-02", "0.25") + line("2000-12-31", "1"))  # long after its years
     run()
     assert got() == {2000: (2.5, 2), 2001: (2.0, 1), 2003: (4.0, 1), None: (1.0, 1), 1990: (0.25, 1)}
+
+
+# ------------------------------------------------------------------ loads read and parse once
+
+def test_a_load_parses_each_row_once(spark):
+    src, target = staging_path(spark, "t-once-src"), staging_path(spark, "t-once-out")
+    _write(src, "a.csv", PRICE_CSV)
+    _write(src, "b.csv", "DATE,Medium,Large,BUYER/SELLER\n2001-02-01,1,2,x\n")
+    seen, reader = spark.sparkContext.accumulator(0), feeds.feed_reader(feeds.PRICE)
+
+    def read(s, paths, headers=None):
+        return feeds.split(read.parsed(s, paths, headers))
+
+    def parsed(s, paths, headers=None):
+        def count(frames):
+            for f in frames:
+                seen.add(len(f))
+                yield f
+
+        rows = reader(s, paths, headers)
+        both = rows[0].withColumn("_reject", F.lit(None).cast("string")).unionByName(rows[1])
+        return both.mapInPandas(count, both.schema)
+
+    read.takes_headers, read.parsed = True, parsed
+    assert feeds.load_files(spark, feeds.list_files(spark, src), target, read) == (2, 2)
+    assert seen.value == 4
+    assert sorted(r._reject for r in feeds.read_rejects(spark, target).collect()) == ["date", "med_price"]
+
+
+def test_keys_of_a_load_have_no_gap_where_rows_were_rejected(spark):
+    src, target = staging_path(spark, "t-dense-src"), staging_path(spark, "t-dense-out")
+    _write(src, "p.csv", "Category,Name,Description,Damage,Management,Report Count\n" + "".join(f"Pests,n{i},,,,{'x' if i % 3 else i}\n" for i in range(30)))
+    assert feeds.load_feed(spark, src, feeds.PESTS, target) == (10, 20)
+    assert sorted(r.id for r in feeds.read_loaded(spark, target).collect()) == list(range(1, 11))
+
+
+def test_a_cell_is_parsed_once_and_as_its_format_says(spark):
+    odd = ["2000-01-02", "2000-1-2", "2000/1/2", "2000/01/02", "2000-02-30", "2000-01-1T", "2000-01-1\t", "+999-01-01", "-999-01-01",
+           "0000-01-01", "0999-12-31", "9999-12-31", "12000-1-01", "2000-13-01", "2000-001-2", "2000-01-02T00", "20000102", "x", " 2001-02-03 "]
+    rows = spark.createDataFrame([(c, "1", "2", "", "f") for c in odd], "DATE string, Medium string, Large string, `BUYER/SELLER` string, _source string")
+    out = feeds.parse(rows, feeds.PRICE)
+    cell = F.trim("DATE")
+    want = rows.select(F.coalesce(F.try_to_date(cell, "yyyy-M-d"), F.try_to_date(cell, "yyyy/M/d")).cast("string").alias("d")).collect()
+    got = out.select(F.col("date").cast("string"), "_reject").collect()
+    assert [r.date for r in got] == [r.d for r in want]
+    assert [r._reject for r in got] == [None if r.d else "date" for r in want]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("gettimestamp") == 2  # a formatter each
+
+
+def test_header_and_digest_of_files_against_plain_python(spark):
+    src = staging_path(spark, "t-scan")
+    texts = {"a.csv": "x,y\n1,2\n", "b.csv": "y,x\n1,2\n", "c.csv": "x,y\n1,2\n", "d.csv": "x,y\n2,1\n1,2\n", "e.csv": "x,y\n1,2\n2,1\n"}
+    for name, text in texts.items():
+        _write(src, name, text)
+    got = {os.path.basename(f): (h, d) for f, h, d in feeds.scan_files(spark, [r.file for r in feeds.list_files(spark, src).collect()])}
+    for name, text in texts.items():
+        lines = spark.createDataFrame([(v,) for v in text.splitlines()], "value string")
+        hashes = lines.select(F.xxhash64("value").alias("a"), F.xxhash64("value", F.lit("second")).alias("b")).collect()
+        size = sum(len(v) for v in text.splitlines())
+        assert got[name] == (text.splitlines()[0], f"{len(hashes)}-{size}-{sum(r.a for r in hashes)}-{sum(r.b for r in hashes)}")
+
+
+def test_resync_reads_no_rows_when_nothing_changed(spark, monkeypatch):
+    src, target = staging_path(spark, "t-quiet-src"), staging_path(spark, "t-quiet-out")
+    _write(src, "s.csv", SURVEY_HEAD + "\n" + SURVEY_LINE.format(muni="Alpha", brgy="Poblacion", first="Ana", middle="Q", last="Cruz"))
+    feeds.load_feed(spark, src, feeds.SURVEY, target, lambda good: feeds.curate_survey(good, spark.createDataFrame([], "muni_id string, muni_name string")))
+    muni = spark.createDataFrame([("1", "Alpha")], "muni_id string, muni_name string")
+    demo = spark.createDataFrame([("7", "Ana", "Q", "Cruz")], "f_id string, f_name string, m_name string, l_name string")
+    brgy = spark.createDataFrame([("11", "Poblacion", "1")], "brgy_id string, brgy_name string, muni_id string")
+    met, rows_of = [], feeds._rows_of
+    monkeypatch.setattr(feeds, "_rows_of", lambda *a: met.append(a[2:]) or rows_of(*a))
+    assert len(feeds.resync(spark, target, muni, demo, brgy)) == 1
+    assert len(met) == 1  # the municipality touches the only load: barangays and farmers are not met
+    assert feeds.resync(spark, target, muni, demo, brgy) == [] and len(met) == 1
+    r = feeds.read_loaded(spark, target).first()
+    assert (r.raw_municipality, r.raw_barangay, r.f_id) == ("1", "11", "7")
+
+
+def test_totals_state_is_kept_by_many_tasks(spark):
+    src, base = staging_path(spark, "t-tasks-src"), staging_path(spark, "t-tasks")
+    paths = stream.StreamPaths(src, f"{base}/out", f"{base}/ckpt")
+    _write(src, "a.csv", SURVEY_HEAD + "\nAlpha,b1,Ana,,Cruz,F,1980-02-03,1,100,2000-01-02,,2001-03-04,,R1,,Owner\n")
+    q = stream.start_totals_stream(spark, feeds.SURVEY, paths, F.year("raw_dgathered"), "raw_area")
+    q.awaitTermination()
+    track = spark.sparkContext.statusTracker()
+    stages = [track.getStageInfo(s) for j in track.getJobIdsForGroup(str(q.runId)) for s in track.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [(r.key, float(r.total), r.n) for r in stream.read_totals(spark, paths).collect()] == [(2000, 1.0, 1)]
+
+
+def test_survey_drops_are_the_shares_of_the_feed(spark, make_tables):
+    from ananas.plans import jobs
+    from tests.conftest import survey_row
+
+    t = make_tables(qp_farmer_raw=[survey_row(logs=i, fname=f"n{i}") for i in (1, 2, 3, 4)])
+    drop = staging_path(spark, "t-shares")
+    for k in jobs._survey_drops(t, 5, drop):  # share 0 has no row
+        names = [r["First Name"] for r in feeds.read_text(spark, f"{drop}/{k}", feeds.SURVEY).collect()]
+        assert names == ([f"n{k}"] if k else [])
