@@ -7,6 +7,10 @@ of two sets is at most the sum of the smaller coordinates. An R-tree packed over
 block prunes whole branches by that bound and by size, the points and places prune pairs, and what
 is left is compared by its words.
 
+Near copies share many rare shingles and meet in the bucket of each. A pair counts where it meets
+first: every row of a bucket names the buckets its document was in just before, and a pair that has one
+of them in common has met there.
+
 The first round takes of every document in a block its best partner there and in the next block,
 and of every block the pairs of the member with most partners, so groups of near copies are joined by about as many pairs as buckets have members; the last takes all pairs of all blocks of a bucket
 that still are in different components, so no link is lost.
@@ -18,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,6 +48,8 @@ FEW = 16
 ROUNDS = 1
 #: Members of a block of a bucket.
 BLOCK = 1024
+#: Buckets of a document before the one at hand, by which a pair knows that it has met.
+EARLIER = 8
 #: Words of a text whose shingles are compared at a time.
 PIECE = 1 << 17
 
@@ -207,12 +214,14 @@ def document_sets(docs: DataFrame, cells: np.ndarray, shingle: int = SHINGLE, pe
 
 
 def bucket_rows(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(tok, block, more, row, n, pos): members of buckets that may link there, written.
+    """(tok, block, more, row, n, pos, earlier): members of buckets that may link there, written.
 
     A pair need only be found at its first common shingle. What follows that one bounds the overlap, so
     its place in the smaller set is among the first ``n - least_overlap(n, n) + 1``: there the member is
     ``indexed``. In order of size, a member stays if the last indexed one before it is large enough, or if
     it is indexed and the next one small enough: any partner's size lies between.
+
+    ``earlier``: the last buckets, in the order of shingles, in which the document stayed before this one.
     """
     t = sets.select("row", F.col("n").alias("_n"), F.posexplode("tokens").alias("_pos", "tok"))
     # size and place travel as one number, in order of size
@@ -226,7 +235,8 @@ def bucket_rows(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     t = t.select("tok", "row", n.alias("n"), pos.alias("pos"), indexed.alias("indexed"), before.alias("before"), after.alias("after"), block.alias("block"), more.alias("more"))
     fits = lambda small, large: F.coalesce(F.col(small) * 100 >= F.col(large) * percent, F.lit(False))
     t = t.filter(fits("before", "n") | (F.col("indexed") & fits("n", "after")))
-    return written(t.select("tok", "block", "more", "row", F.col("n").cast("int").alias("n"), "pos"), "buckets")
+    earlier = F.collect_list("tok").over(Window.partitionBy("row").orderBy("pos").rowsBetween(-EARLIER, -1))
+    return written(t.select("tok", "block", "more", "row", F.col("n").cast("int").alias("n"), "pos", earlier.alias("earlier")), "buckets")
 
 
 def _bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -351,9 +361,20 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percen
             yield a[i], b[j], bound[i, j]
 
 
-def _block_pairs(key, across, row, n, pos, label, side, small, percent: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
+def padded(column: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, whether there is one): lists of at most ``width`` numbers as rows of that many."""
+    there = np.arange(width) < np.asarray(pc.list_value_length(column))[:, None]
+    numbers = np.zeros(there.shape, dtype=np.int64)
+    numbers[there] = np.asarray(column.flatten())
+    return numbers, there
+
+
+def _block_pairs(key, across, row, n, pos, label, side, small, percent: int, best: bool, earlier=None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (a, b) of whole blocks, one after the other, that sizes, labels, places and points allow.
 
+    ``earlier``: the buckets of each row before this one, ``padded``; rows that have one in common met there. A
+    pair that links does so in its first common bucket, and there it has none, so it is never left out.
+
     ``side``: the block a row is of; ``across``: only rows of different blocks meet.
     ``best``: for every row of a block only the pair with most room, and that with the block's hub.
     """
@@ -365,9 +386,17 @@ def _block_pairs(key, across, row, n, pos, label, side, small, percent: int, bes
     def keep(a, b, bound):
         need = least_overlap(n[a], n[b], percent)
         ok = (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need) & ((side[a] != side[b]) == across[a]) & (bound >= need)
+        if earlier is not None and ok.any():
+            i = np.flatnonzero(ok)
+            ok[i] = ~met(a[i], b[i])
         if ok.any():
             found.append((a[ok], b[ok], (bound - need)[ok]))
 
+    def met(a, b):
+        tok, there = earlier
+        same = (tok[a][:, :, None] == tok[b][:, None]) & there[a][:, :, None] & there[b][:, None]
+        return same.any(axis=(1, 2))
+
     group = np.repeat(np.arange(len(start)), size)
     for k in range(2, FEW + 1):
         x, y = np.triu_indices(k, 1)
@@ -411,7 +440,7 @@ def _candidates(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, p
     Without labels a block meets itself and the next, later all blocks of a bucket meet. ``best``: for every row
     of a block, or of two, its best pair and that with a hub; else all.
     """
-    m, known = buckets, sets.select("row", "small")
+    m, known, width = buckets, sets.select("row", "small"), EARLIER
     if labels is None:
         m = m.withColumn("label", F.col("row"))
     else:
@@ -425,7 +454,7 @@ def _candidates(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, p
     else:
         other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
         m = m.select("*", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    m = m.join(known, "row").select("tok", "x", "y", "row", "n", "pos", "label", "block", "small")
+    m = m.join(known, "row").select("tok", "x", "y", "row", "n", "pos", "label", "block", "small", "earlier")
     # members of a block, or of two, arrive together, smallest first
     m = m.repartition("tok", "x", "y").sortWithinPartitions("tok", "x", "y", "n", "row")
 
@@ -434,7 +463,7 @@ def _candidates(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, p
         for batch in batches:
             if not len(batch):
                 continue
-            now = [np.asarray(batch.column(i)) for i in range(8)] + [np.array(batch.column(8).to_pylist(), dtype=object)]
+            now = [np.asarray(batch.column(i)) for i in range(8)] + [np.array(batch.column(8).to_pylist(), dtype=object), *padded(batch.column(9), width)]
             now = now if held is None else [np.concatenate(c) for c in zip(held, now)]
             new = np.r_[True, (np.diff(now[0]) != 0) | (np.diff(now[1]) != 0) | (np.diff(now[2]) != 0)]
             last = np.flatnonzero(new)[-1]
@@ -445,8 +474,8 @@ def _candidates(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, p
 
     def pairs(now, key, own):
         if len(key[own]):
-            x, y, row, n, pos, label, side, small = (c[own] for c in now[1:])
-            a, b = _block_pairs(key[own], x != y, row, n.astype(np.int64), pos.astype(np.int64), label, side, small.tolist(), percent, best)
+            x, y, row, n, pos, label, side, small, *earlier = (c[own] for c in now[1:])
+            a, b = _block_pairs(key[own], x != y, row, n.astype(np.int64), pos.astype(np.int64), label, side, small.tolist(), percent, best, earlier)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 

@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,6 +328,53 @@ def test_ngram_join_across_blocks(spark, monkeypatch, block, few):
     assert got == _jaccard(rows) and 1 < len({k[2] for k in got}) < 70
 
 
+@pytest.mark.parametrize("best", [False, True])
+def test_pairs_are_made_where_they_meet_first(spark, monkeypatch, best):
+    """Near copies and near misses share dozens of rare shingles; a pair is not made again in the bucket of each."""
+    rng, rows = np.random.default_rng(9), []
+    for f in range(20):
+        base = [f"f{f}w{k}" for k in range(int(rng.integers(100, 500)))]
+        for k in range(6):
+            t = list(base)
+            for i in rng.choice(len(t), k + 1, replace=False):
+                t[i] = f"x{k}y{rng.integers(0, 50)}"
+            rows.append((len(rows), " ".join(t)))
+    docs = _docs(spark, rows).select("doc_id", "text")
+    sets = ngram_join.document_sets(docs, ngram_join.cell_counts(docs))
+    buckets = ngram_join.bucket_rows(sets, 85)
+    labels = spark.createDataFrame([(r.row, r.doc_id % 2) for r in sets.collect()], "row long, label long")
+    words = [t.split() for _, t in rows]
+    full = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in words]
+    link = lambda x, y: 100 * len(full[x] & full[y]) >= 85 * len(full[x] | full[y])
+    for label in (None, labels):
+        with monkeypatch.context() as m:
+            m.setattr(type(docs), "distinct", lambda self: self)
+            pairs = ngram_join._candidates(buckets, label, sets, 85, best)
+        ids = {r.row: r.doc_id for r in sets.collect()}
+        held = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "64")  # a pair's buckets lie in many tasks
+        try:
+            made = [tuple(sorted((ids[r.a], ids[r.b]))) for r in pairs.collect()]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", held)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(made) <= 1.2 * len(set(made)) and len(set(made)) > 50
+        want = {(x, y) for x in ids.values() for y in ids.values() if x < y and link(x, y) and (label is None or x % 2 != y % 2)}
+        assert len(want) > 50 and (best or want <= set(made))
+
+
+def test_earlier_buckets_of_a_pair():
+    """A pair is left out only for a bucket that both rows were in; rows without any are no match."""
+    lists = pa.array([[7, 8], [], [], [8], [0], [9, 7]], pa.list_(pa.int64()))
+    earlier = ngram_join.padded(lists.slice(0, 6), 3)
+    z, n = np.zeros(6, dtype=np.int64), np.full(6, 9)
+    small = [ngram_join.small_point(np.arange(9, dtype=np.uint64))] * 6
+    a, b = ngram_join._block_pairs(z, z > 0, np.arange(6), n, z, np.arange(6), z, small, 85, False, earlier)
+    assert {(i, j) for i in range(6) for j in range(i + 1, 6)} - set(zip(a.tolist(), b.tolist())) == {(0, 3), (0, 5)}
+    assert [r.tolist() for r in ngram_join.padded(lists.slice(3, 3), 2)[0]] == [[8, 0], [0, 0], [9, 7]]
+
+
 def test_ngram_join(spark):
     rows = _near_rows() + [(i + 1000 if i is not None else None, t) for i, t in EDGE] + [(1500, "a b"), (1501, "A b"), (1502, "a")]
     got = _bag(ngram_join.jaccard_components(_docs(spark, rows)), "doc_id", "n_shingles", "component_id")
