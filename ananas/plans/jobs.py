@@ -19,11 +19,16 @@ from ananas.functions.exprs import trunc_dec, year_of
 from ananas.operators import distinct_state
 from ananas.operators.sync import sync_barangay_id, sync_farmer_id, sync_municipality_id
 from ananas.plans import area, figures, market
-from ananas.session import staging_path
+from ananas.session import input_bytes, shuffles_dropped, staging_path
 from ananas.sources import feeds, weather
 from ananas.sources.tables import Tables
 from ananas.streaming import ingest as stream
 
+# The survey is laid out as its feed in at most so many passes, of so many bytes of the tables' files or
+# more, so that what the tables' joins shuffle lies on disk for one pass at a time.
+PASSES = 8
+PASS_BYTES = 2 << 30
+
 # Files per micro-batch, so a large drop is processed in bounded batches.
 STREAM_FILES_PER_BATCH = 1000
 
@@ -61,6 +66,19 @@ def survey_feed(t: Tables, *more) -> DataFrame:
     )
 
 
+def _write_survey(t: Tables, path: str, *more, by: str | None = None) -> str:
+    """The survey feed as compressed CSV files under ``path``, in folders by the column ``by`` of ``more`` where it is given."""
+    passes = max(1, min(PASSES, -(-input_bytes(t.qp_farmer_raw) // PASS_BYTES)))
+    near = F.xxhash64(F.shiftright("logs", 10))  # neighbours by key, often alike, stay together: such text packs better
+    with shuffles_dropped(t.spark):
+        for k in range(passes):
+            own = t.qp_farmer_raw.where(F.pmod(near, F.lit(passes)) == k) if passes > 1 else t.qp_farmer_raw
+            out = survey_feed(dataclasses.replace(t, qp_farmer_raw=own), *more).write.mode("append")
+            out = out.option("header", True).option("compression", "gzip")
+            (out.partitionBy(by) if by else out).csv(path)
+    return path
+
+
 def price_feed(t: Tables) -> DataFrame:
     p = t.qp_price
     return p.select(_text("date").alias("DATE"), _text("med_price").alias("Medium"), _text("lg_price").alias("Large"),
@@ -257,10 +275,9 @@ def _logs(t: Tables, parts: int, part: int) -> Tables:
 
 def _survey_drops(t: Tables, parts: int, drop: str):
     """Drop one of ``parts`` shares of the survey feed after the other into folders of ``drop``; the
-    tables are joined once, for all shares."""
+    tables are joined for all shares at once."""
     laid = staging_path(t.spark, "shares")
-    feed = survey_feed(t, F.pmod("logs", F.lit(parts)).alias("_share"))
-    feed.write.option("header", True).partitionBy("_share").csv(laid)
+    _write_survey(t, laid, F.pmod("logs", F.lit(parts)).alias("_share"), by="_share")
     for k in range(parts):
         if feeds.path_exists(t.spark, f"{laid}/_share={k}"):
             feeds.move_path(t.spark, f"{laid}/_share={k}", f"{drop}/{k}")
@@ -329,6 +346,7 @@ def resync_survey(t: Tables) -> DataFrame:
     early = dataclasses.replace(t, farmer_demo=half(t.farmer_demo, "f_id"), tbl_muni=half(t.tbl_muni, "muni_id"))
     for _ in _survey_drops(t, 2, drop):
         _load_survey(early, drop, target)
+    feeds.drop_path(t.spark, drop)  # from here on the table alone is read
     for _ in range(2):
         feeds.resync(t.spark, target, t.tbl_muni, t.farmer_demo, t.tbl_barangay)
     return feeds.read_loaded(t.spark, target).select("f_id", *SURVEY_OUT)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ananas") -> SparkSession:
@@ -54,6 +55,26 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Queries begun within give their shuffle files back when they end; else these stay until the
+    driver happens to collect garbage, and the shuffles of a job's steps add up on disk."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` is read from, as its plan has them; no job runs. What isn't files counts nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 62)  # an unknown size is Spark's default, the largest long
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared folder."""
     return f"{shared_dir(spark)}/ananas-staging/{name}-{uuid.uuid4().hex[:12]}"

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ananas.operators.sync import sync_barangay_id, sync_farmer_id, sync_municipality_id
+from ananas.session import shuffles_dropped
 from ananas.sources import schemas
 
 # A day or month may have one digit or two, as MySQL reads dates.
@@ -251,6 +252,12 @@ def pest_catalogue(loaded: DataFrame) -> DataFrame:
 # ``load_id`` begins with the position of the load.
 LEDGER = "file string, load_id string, accepted long, rejected long, last_key long, digest string, replaces string"
 
+# Staged rows are curated, and loads rewritten, in batches of their files, so that what the joins shuffle lies
+# on disk for one batch at a time: at most BATCHES, of so many bytes or more. Staged files have so many rows at most.
+BATCHES = 8
+BATCH_BYTES = 256 << 20
+STAGED_ROWS = 2_000_000
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -324,17 +331,44 @@ def read_rejects(spark: SparkSession, target: str, upto: int | None = None) -> D
     return bad
 
 
-def with_keys(df: DataFrame, first: int, row: str = "_row") -> DataFrame:
-    """``df`` with ``key`` from ``first`` on, increasing and unique: each task's rows follow the
-    last of the task before. ``row`` is a written ``monotonically_increasing_id``."""
-    task, local = F.shiftright(row, 33), F.col(row).bitwiseAND((1 << 33) - 1)
-    ends = df.groupBy(task.alias("_task")).agg((F.max(local) + 1).alias("_width"))  # a row a task
+def _task_local(row: str) -> tuple[Column, Column]:
+    """(task, place in it) of a written ``monotonically_increasing_id``."""
+    return F.shiftright(row, 33), F.col(row).bitwiseAND((1 << 33) - 1)
+
+
+def task_starts(df: DataFrame, row: str = "_row") -> DataFrame:
+    """How many rows the tasks before each have (``_task``, ``_before``): a row a task."""
+    task, local = _task_local(row)
+    ends = df.groupBy(task.alias("_task")).agg((F.max(local) + 1).alias("_width"))
     before = F.sum("_width").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
-    ends = ends.select("_task", F.coalesce(before, F.lit(0)).alias("_before"))
-    keyed = df.withColumn("_task", task).join(ends, "_task")
+    return ends.select("_task", F.coalesce(before, F.lit(0)).alias("_before"))
+
+
+def with_keys(df: DataFrame, first: int, row: str = "_row", starts: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``key`` from ``first`` on, increasing and unique: each task's rows follow the
+    last of the task before. ``row`` is a written ``monotonically_increasing_id``. Where ``df`` is a
+    part of the rows, ``starts`` are the :func:`task_starts` of all."""
+    task, local = _task_local(row)
+    keyed = df.withColumn("_task", task).join(task_starts(df, row) if starts is None else starts, "_task")
     return keyed.withColumn("key", (F.lit(first) + F.col("_before") + local).cast("long")).drop("_task", "_before")
 
 
+def batches(spark: SparkSession, folder: str) -> list[list[str]]:
+    """The files of a folder of rows in order of their names, cut into at most ``BATCHES`` lists of
+    ``BATCH_BYTES`` or more each (the last may have fewer). Contents are not read."""
+    sizes = sorted(map(tuple, spark.read.format("binaryFile").load(folder).select("path", "length").collect()))
+    enough = max(BATCH_BYTES, -(-sum(size for _, size in sizes) // BATCHES))
+    out: list[list[str]] = []
+    room = 0
+    for f, size in sizes:
+        if room <= 0:
+            out.append([])
+            room = enough
+        out[-1].append(f)
+        room -= size
+    return out
+
+
 def load_files(spark: SparkSession, files: DataFrame, target: str, read, transform=None, key: str | None = None) -> tuple[int, int]:
     """Load those of ``files`` (``file``) that the ledger doesn't have; returns the table's (accepted, rejected) counts.
 
@@ -344,8 +378,14 @@ def load_files(spark: SparkSession, files: DataFrame, target: str, read, transfo
     and not loaded. Rows and rejects are written to folders of this load, and one
     ledger file publishes both: a load that died before that is not seen, and its
     files are loaded again. ``key`` names a column that numbers the table's rows.
+    Rows are curated in :func:`batches` of their staged files, each dropped when its rows are written.
     One loader writes to a table at a time.
     """
+    with shuffles_dropped(spark):
+        return _load_files(spark, files, target, read, transform, key)
+
+
+def _load_files(spark: SparkSession, files: DataFrame, target: str, read, transform, key: str | None) -> tuple[int, int]:
     known = ledger(spark, target)
     new = [r["file"] for r in files.join(known, "file", "left_anti").distinct().orderBy("file").collect()]
     if new:
@@ -362,12 +402,20 @@ def load_files(spark: SparkSession, files: DataFrame, target: str, read, transfo
         rows, rejects, staged = f"{target}/rows/load_id={load_id}", f"{target}/rejects/load_id={load_id}", f"{target}/staged/{load_id}"
         accepted, rejected = {}, {}
         if fresh:
-            good, bad = _stage(spark, read, fresh, headers, staged)
-            bad.write.parquet(rejects)
+            folder, good_of, bad = _stage(spark, read, fresh, headers, staged)
+            _append(bad, rejects)
+            every = spark.read.parquet(folder)
             if key:
-                good = with_keys(good, last_key + 1).withColumnRenamed("key", key)
-            good = good.drop("_row")
-            (transform(good) if transform else good).write.parquet(rows)
+                task_starts(good_of(every)).write.parquet(f"{staged}/starts")
+                starts = spark.read.parquet(f"{staged}/starts")
+            for part in batches(spark, folder):
+                good = good_of(spark.read.schema(every.schema).parquet(*part))
+                if key:
+                    good = with_keys(good, last_key + 1, starts=starts).withColumnRenamed("key", key)
+                good = good.drop("_row")
+                _append(transform(good) if transform else good, rows)
+                for f in part:
+                    drop_path(spark, f)
             of_file = lambda path, *more: spark.read.parquet(path).groupBy("_source").agg(F.count(F.lit(1)).alias("n"), *more).collect()
             counted = of_file(rows, (F.max(key) if key else F.lit(None)).alias("last"))  # a row a file
             accepted, rejected = ({r["_source"]: r["n"] for r in x} for x in (counted, of_file(rejects)))
@@ -381,19 +429,23 @@ def load_files(spark: SparkSession, files: DataFrame, target: str, read, transfo
     return total["a"] or 0, total["r"] or 0
 
 
-def _stage(spark: SparkSession, read, paths: list[str], headers: Mapping[str, str], staged: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows numbered by ``_row``, rejects) as ``read`` gives them, from files under ``staged``.
+def _append(df: DataFrame, path: str, **options) -> None:
+    df.write.mode("append").options(compression="zstd", **options).parquet(path)
+
+
+def _stage(spark: SparkSession, read, paths: list[str], headers: Mapping[str, str], staged: str):
+    """(folder under ``staged`` with the rows that ``read`` gives, which of them are good, rejects); good rows are
+    numbered by ``_row``.
 
     A ``read`` with ``parsed`` reads and parses its files once for both."""
     numbered = F.monotonically_increasing_id()
     if whole := getattr(read, "parsed", None):
         good = F.col("_reject").isNull()  # only good rows are counted
-        whole(spark, paths, headers).withColumn("_row", F.when(good, numbered)).write.parquet(f"{staged}/all")
-        both = spark.read.parquet(f"{staged}/all")
-        return both.where(good).drop("_reject"), both.where(~good).drop("_row")
+        _append(whole(spark, paths, headers).withColumn("_row", F.when(good, numbered)), f"{staged}/all", maxRecordsPerFile=STAGED_ROWS)
+        return f"{staged}/all", lambda df: df.where(good).drop("_reject"), spark.read.parquet(f"{staged}/all").where(~good).drop("_row")
     good, bad = read(spark, paths, headers) if getattr(read, "takes_headers", False) else read(spark, paths)
-    good.withColumn("_row", numbered).write.parquet(f"{staged}/good")
-    return spark.read.parquet(f"{staged}/good"), bad
+    _append(good.withColumn("_row", numbered), f"{staged}/good", maxRecordsPerFile=STAGED_ROWS)
+    return f"{staged}/good", lambda df: df, bad
 
 
 def _next_load(known: DataFrame) -> tuple[str, int]:
@@ -425,8 +477,13 @@ def resync(spark: SparkSession, target: str, tbl_muni: DataFrame, farmer_demo: D
     columns alone), and only loads with such a row are read in full and written anew, from the names
     they came with. One ledger file publishes all of them; the other loads stay as they are. The first
     call meets all names. Ids of a row whose name has gone from a dimension become its name again (no
-    farmer: NULL). Rows keep their keys, and rejects stay.
+    farmer: NULL). Rows keep their keys, and rejects stay. A large load is rewritten in :func:`batches` of its files.
     """
+    with shuffles_dropped(spark):
+        return _resync(spark, target, tbl_muni, farmer_demo, tbl_barangay)
+
+
+def _resync(spark: SparkSession, target: str, tbl_muni: DataFrame, farmer_demo: DataFrame, tbl_barangay: DataFrame) -> list[str]:
     known = ledger(spark, target)
     position_ = int(_next_load(known)[0].split("-")[0])
     live = loads(spark, target)
@@ -454,8 +511,11 @@ def resync(spark: SparkSession, target: str, tbl_muni: DataFrame, farmer_demo: D
     entries = []
     for old_id in replaced:
         new_id = f"{position_:06d}-{uuid.uuid4().hex[:12]}"
-        own = spark.read.parquet(f"{target}/rows/load_id={old_id}")
-        curate_survey(own, tbl_muni, farmer_demo, tbl_barangay).select(*own.columns).write.parquet(f"{target}/rows/load_id={new_id}")
+        folder = f"{target}/rows/load_id={old_id}"
+        own = spark.read.parquet(folder)
+        for part in batches(spark, folder):
+            rows = spark.read.schema(own.schema).parquet(*part)
+            _append(curate_survey(rows, tbl_muni, farmer_demo, tbl_barangay).select(*own.columns), f"{target}/rows/load_id={new_id}")
         entries.append((None, new_id, 0, 0, None, None, old_id))
     if entries:
         _publish(spark.createDataFrame(entries, LEDGER), target)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import time
 from decimal import Decimal
 
 import pytest
@@ -459,3 +460,88 @@ def test_survey_drops_are_the_shares_of_the_feed(spark, make_tables):
     for k in jobs._survey_drops(t, 5, drop):  # share 0 has no row
         names = [r["First Name"] for r in feeds.read_text(spark, f"{drop}/{k}", feeds.SURVEY).collect()]
         assert names == ([f"n{k}"] if k else [])
+
+
+# ------------------------------------------------------------------ disk of large loads
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(i).getName() for i in range(files.size())]
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def _gone(spark, before):
+    for _ in range(50):  # removal is asynchronous
+        if _shuffle_files(spark) <= before:
+            return True
+        time.sleep(0.2)
+    return False
+
+
+def _survey_files(src, files, rows=4):
+    line = lambda k, i: SURVEY_LINE.format(muni="Alpha", brgy=f"b{i}", first=f"n{k}", middle="Q", last=f"l{i}")
+    for k in range(files):
+        _write(src, f"s{k}.csv", SURVEY_HEAD + "\n" + "".join(line(k, i) for i in range(rows)) + "bad\n")
+
+
+def _places(spark):
+    muni = spark.createDataFrame([("1", "Alpha")], "muni_id string, muni_name string")
+    demo = spark.createDataFrame([("7", "n1", "Q", "l1"), ("8", "n2", "Q", "l0")], "f_id string, f_name string, m_name string, l_name string")
+    brgy = spark.createDataFrame([("11", "b1", "1")], "brgy_id string, brgy_name string, muni_id string")
+    return muni, demo, brgy
+
+
+def _state(spark, target):
+    rows = feeds.read_loaded(spark, target).collect()
+    return sorted((r.raw_fname, r.raw_lname, r.raw_municipality, r.raw_barangay, r.f_id or "") for r in rows), sorted(r.logs for r in rows)
+
+
+def test_a_load_is_curated_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(feeds, "BATCH_BYTES", 1, raising=False)
+    monkeypatch.setattr(feeds, "STAGED_ROWS", 3, raising=False)
+    monkeypatch.setattr(feeds, "BATCHES", 3, raising=False)
+    src, target = staging_path(spark, "t-batch-src"), staging_path(spark, "t-batch-out")
+    _survey_files(src, 6)
+    places, seen = _places(spark), []
+
+    def curate(good):
+        seen.append(good.count())
+        return feeds.curate_survey(good, *places)
+
+    assert feeds.load_feed(spark, src, feeds.SURVEY, target, curate) == (24, 6)
+    assert 1 < len(seen) <= 3 and sum(seen) == 24
+    rows, keys = _state(spark, target)
+    assert keys == list(range(1, 25))  # as if all were curated at once
+    assert rows == sorted((f"n{k}", f"l{i}", "1", "11" if i == 1 else f"b{i}", {(1, 1): "7", (2, 0): "8"}.get((k, i), "")) for k in range(6) for i in range(4))
+    assert feeds.read_rejects(spark, target).count() == 6
+    assert not any(os.scandir(f"{target}/staged"))
+
+
+def test_shuffle_files_of_loads_and_resyncs_go_with_their_queries(spark):
+    src, target = staging_path(spark, "t-drop-src"), staging_path(spark, "t-drop-out")
+    _survey_files(src, 2)
+    places = _places(spark)
+    was = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    before = _shuffle_files(spark)
+    feeds.load_feed(spark, src, feeds.SURVEY, target, lambda good: feeds.curate_survey(good, places[0]))
+    assert _gone(spark, before)
+    assert len(feeds.resync(spark, target, *places)) == 1
+    assert _gone(spark, before)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == was
+
+
+def test_resync_rewrites_a_load_in_batches_of_its_files(spark, monkeypatch):
+    monkeypatch.setattr(feeds, "STAGED_ROWS", 3, raising=False)
+    monkeypatch.setattr(feeds, "BATCH_BYTES", 1, raising=False)
+    monkeypatch.setattr(feeds, "BATCHES", 3, raising=False)
+    src, target = staging_path(spark, "t-rewrite-src"), staging_path(spark, "t-rewrite-out")
+    _survey_files(src, 4)
+    muni, demo, brgy = _places(spark)
+    feeds.load_feed(spark, src, feeds.SURVEY, target, lambda good: feeds.curate_survey(good, muni.limit(0), demo.limit(0), brgy.limit(0)))
+    calls, curate = [], feeds.curate_survey
+    monkeypatch.setattr(feeds, "curate_survey", lambda *a: calls.append(1) or curate(*a))
+    assert len(feeds.resync(spark, target, muni, demo, brgy)) == 1
+    assert 1 < len(calls) <= feeds.BATCHES
+    rows, keys = _state(spark, target)
+    assert keys == list(range(1, 17))
+    assert rows == sorted((f"n{k}", f"l{i}", "1", "11" if i == 1 else f"b{i}", {(1, 1): "7", (2, 0): "8"}.get((k, i), "")) for k in range(4) for i in range(4))
