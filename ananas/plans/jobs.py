@@ -245,10 +245,10 @@ def sync_barangay_id_job(t: Tables) -> DataFrame:
 
 def load_to_area_ranking(t: Tables) -> DataFrame:
     """S3 + N2, N1, N3 + S9, then AR5: survey CSV files loaded into a table that the report reads."""
-    src = _write_csv(survey_feed(t), staging_path(t.spark, "survey-load"))
+    src = _write_survey(t, staging_path(t.spark, "survey-load"))
     target = staging_path(t.spark, "survey-table")
-    feeds.load_feed(t.spark, src, feeds.SURVEY, target,
-                    lambda good: feeds.curate_survey(good, t.tbl_muni, t.farmer_demo, t.tbl_barangay))
+    _load_survey(t, src, target)
+    feeds.drop_path(t.spark, src)  # the report reads the table
     return area.area_ranking(t.with_loaded(survey=target))
 
 

@@ -1,5 +1,6 @@
 """Ingest, sync and streaming jobs on hand-made feeds."""
 
+import dataclasses
 import datetime as dt
 import os
 import time
@@ -545,3 +546,26 @@ def test_resync_rewrites_a_load_in_batches_of_its_files(spark, monkeypatch):
     rows, keys = _state(spark, target)
     assert keys == list(range(1, 17))
     assert rows == sorted((f"n{k}", f"l{i}", "1", "11" if i == 1 else f"b{i}", {(1, 1): "7", (2, 0): "8"}.get((k, i), "")) for k in range(4) for i in range(4))
+
+
+def test_the_survey_is_laid_out_in_passes_and_dropped_when_loaded(spark, make_tables, monkeypatch):
+    from ananas.plans import area, jobs
+    from tests.conftest import survey_row
+
+    keys = [None, None, *range(0, 12_000, 1000)]
+    t = make_tables(qp_farmer_raw=[survey_row(logs=k, fname=f"n{i}", muni=str(1 + i % 2)) for i, k in enumerate(keys)])
+    t = t.write(staging_path(spark, "t-passes"), files=2)
+    monkeypatch.setattr(jobs, "PASS_BYTES", 1, raising=False)
+    monkeypatch.setattr(jobs, "PASSES", 2, raising=False)
+    made = []
+    monkeypatch.setattr(jobs, "staging_path", lambda *a: made.append(staging_path(*a)) or made[-1])
+    assert jobs.load_to_area_ranking(t).collect() == area.area_ranking(t).collect()
+    src, target = made
+    assert feeds.read_loaded(spark, target).count() == len(keys)
+    assert not os.path.exists(src)
+    names = [r["First Name"] for r in feeds.read_text(spark, jobs._write_survey(t, staging_path(spark, "t-laid")), feeds.SURVEY).collect()]
+    assert sorted(names) == sorted(f"n{i}" for i in range(len(keys)))
+    made.clear()
+    rows = jobs.resync_survey(dataclasses.replace(t, qp_farmer_raw=t.qp_farmer_raw.where("logs is not null"))).collect()
+    assert sorted(r.raw_fname for r in rows) == sorted(f"n{i}" for i, k in enumerate(keys) if k is not None)
+    assert not os.path.exists(made[0])  # the drop folder; both loads are in the table
